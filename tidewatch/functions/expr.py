@@ -102,6 +102,15 @@ def row_order(key: Column, seed: int) -> Column:
     return mixed(key + F.lit(seed))
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum that does not depend on the order in which parts are added.
+
+    Sums of doubles differ in their last bits from run to run, which would show
+    as changed bounds of a mart; fixed-point sums do not.
+    """
+    return F.sum(value.try_cast("decimal(28,8)"))
+
+
 def any_of(predicates) -> Column:
     return reduce(lambda a, b: a | b, predicates)
 
@@ -118,7 +127,7 @@ def middle(values: Column) -> Column:
     """Median of an array of doubles without nulls; null when it is empty."""
     ordered = F.array_sort(values)
     n = F.size(values)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.try_element_at(ordered, half + 1)).otherwise(
+    half = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
+    return F.when(n % 2 == 1, F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)).otherwise(
         (F.try_element_at(ordered, half) + F.try_element_at(ordered, half + 1)) / 2
     )
