@@ -67,14 +67,23 @@ def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
 
 
-def text_of(value: Column, dtype: T.DataType) -> Column:
-    """A min or max as text; fractional numbers with six decimals."""
+def literal(text: str) -> str:
+    """A string as SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def text_of(value: str, dtype: T.DataType) -> str:
+    """SQL text for a min or max as text; fractional numbers with six decimals."""
     if is_fractional(dtype):
-        fixed = F.round(value, 6).try_cast("decimal(38,6)").cast("string")
-        return F.coalesce(fixed, value.cast("string"))
+        fixed = f"cast(try_cast(round({value}, 6) as decimal(38,6)) as string)"
+        return f"coalesce({fixed}, cast({value} as string))"
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(value)
-    return value.cast("string")
+        return f"to_json({value})"
+    return f"cast({value} as string)"
 
 
 def shown_bound(column_name: Column, text: Column, settings: Settings) -> Column:
@@ -83,23 +92,24 @@ def shown_bound(column_name: Column, text: Column, settings: Settings) -> Column
     return F.when(text.isNull(), None).when(settings.masked(column_name), "<masked>").otherwise(cut)
 
 
-def mixed(key: Column) -> Column:
-    """(key * 2654435761) mod 2**32 on a bigint key, in halves so that no key overflows."""
+def mixed(key: str) -> str:
+    """SQL text for (key * 2654435761) mod 2**32 on a bigint key.
+
+    Taken in 16-bit halves, so that no key overflows.
+    """
     # Fixed value: the multiplier, shared with the oracle SQL.
-    factor, half, whole = F.lit(2654435761), F.lit(65536), F.lit(4294967296)
-    k = F.pmod(key.cast("bigint"), whole)
-    low, high = k % half, F.floor(k / half)
-    return (low * factor + (high * factor % half) * half) % whole
+    k, factor = f"pmod(cast({key} as bigint), 4294967296L)", "2654435761L"
+    return f"(({k} & 65535L) * {factor} + ((shiftright({k}, 16) * {factor}) & 65535L) * 65536L) % 4294967296L"
 
 
-def row_share(key: Column, percent: int) -> Column:
-    """A fixed share of rows chosen by key: the same rows on every run."""
-    return mixed(key) % 100 < percent
+def row_share(key: str, percent: int) -> str:
+    """SQL text for a fixed share of rows chosen by key: the same rows on every run."""
+    return f"({mixed(key)}) % 100 < {percent}"
 
 
-def row_order(key: Column, seed: int) -> Column:
+def row_order(key: str, seed: int) -> Column:
     """A seeded pseudo-random rank for repeatable samples."""
-    return mixed(key + F.lit(seed))
+    return F.expr(mixed(f"({key} + {seed})"))
 
 
 def exact_sum(value: Column) -> Column:

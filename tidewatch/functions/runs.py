@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expr import literal
+
 RUNS = "_runs"
 MAX_RUNS = 63
 
@@ -34,25 +36,18 @@ def has_runs(df: DataFrame) -> bool:
     return RUNS in df.columns
 
 
-def run_names(mask: Column, runs: Sequence[str]) -> Column:
-    """The array of run ids whose bit is set."""
+def run_names(mask: str, runs: Sequence[str]) -> Column:
+    """The array of run ids whose bit is set in a mask column."""
     if len(runs) > MAX_RUNS:
         raise ValueError(f"at most {MAX_RUNS} runs per batch")
-    pairs = F.array(
-        *[
-            F.struct(F.lit(bit(i)).cast("bigint").alias("bit"), F.lit(r).alias("run"))
-            for i, r in enumerate(runs)
-        ]
-    )
-    hit = F.filter(pairs, lambda p: p["bit"].bitwiseAND(mask) != 0)
-    return F.transform(hit, lambda p: p["run"])
+    pairs = ", ".join(f"struct({bit(i)}L as bit, {literal(r)} as run)" for i, r in enumerate(runs))
+    return F.expr(f"transform(filter(array({pairs}), p -> (p.bit & {mask}) != 0), p -> p.run)")
 
 
 def single_bits(df: DataFrame) -> DataFrame:
     """Fan rows out so that each carries exactly one run."""
-    bits = F.array(*[F.lit(bit(i)).cast("bigint") for i in range(MAX_RUNS)])
-    hit = F.filter(bits, lambda b: b.bitwiseAND(F.col(RUNS)) != 0)
-    return df.withColumn(RUNS, F.explode(hit))
+    bits = f"transform(sequence(0, {MAX_RUNS - 1}), i -> shiftleft(1L, i))"
+    return df.withColumn(RUNS, F.explode(F.expr(f"filter({bits}, b -> (b & {RUNS}) != 0)")))
 
 
 def aggregate_per_run(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:

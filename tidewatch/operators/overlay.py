@@ -56,19 +56,18 @@ class Scope:
     until: str | None = None
     percent: int = 100
 
-    def where(self, time_column: str, key_column: str) -> Column:
-        t = F.col(time_column)
+    def sql(self, time_column: str, key_column: str) -> str:
         parts = []
         if self.since:
-            parts.append(t >= F.lit(self.since).cast("timestamp_ntz"))
+            parts.append(f"{time_column} >= timestamp_ntz'{self.since}'")
         if self.until:
-            parts.append(t < F.lit(self.until).cast("timestamp_ntz"))
+            parts.append(f"{time_column} < timestamp_ntz'{self.until}'")
         if self.percent < 100:
-            parts.append(X.row_share(F.col(key_column), self.percent))
-        out = F.lit(True)
-        for p in parts:
-            out = out & p
-        return out
+            parts.append(X.row_share(key_column, self.percent))
+        return " and ".join(parts) or "true"
+
+    def where(self, time_column: str, key_column: str) -> Column:
+        return F.expr(self.sql(time_column, key_column))
 
 
 def apply_fault(df: DataFrame, edit: Edit, where: Column) -> DataFrame:
@@ -79,8 +78,8 @@ def apply_fault(df: DataFrame, edit: Edit, where: Column) -> DataFrame:
     return df.withColumn(c, F.when(where, edit.value(dict(df.dtypes)[c])).otherwise(F.col(c)))
 
 
-def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, Column]]) -> DataFrame:
-    """Many runs at once: each fault is (bit index, edit, rows it touches).
+def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, str]]) -> DataFrame:
+    """Many runs at once: each fault is (bit index, edit, SQL condition of the rows it touches).
 
     A row is emitted once for the runs it is unchanged in, and once per distinct
     edit for the runs that edit it; faults that differ only in their rows share
@@ -89,33 +88,27 @@ def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, Column]]) -> D
     if not faults:
         return df
     types = dict(df.dtypes)
-    none = F.lit(0).cast("bigint")
-
-    def bits(members: Sequence[tuple[int, Column]]) -> Column:
-        out = none
-        for index, where in members:
-            out = out.bitwiseOR(F.when(F.coalesce(where, F.lit(False)), F.lit(bit(index))).otherwise(none))
-        return out.bitwiseAND(F.col(RUNS))
-
-    by_edit: dict[Edit, list[tuple[int, Column]]] = {}
+    by_edit: dict[Edit, list[tuple[int, str]]] = {}
     for index, edit, where in faults:
         by_edit.setdefault(edit, []).append((index, where))
 
+    def bits(members: Sequence[tuple[int, str]]) -> Column:
+        parts = [f"(case when {where} then {bit(index)}L else 0L end)" for index, where in members]
+        return F.expr(f"({' | '.join(parts)}) & {RUNS}")
+
     edits = list(by_edit)
     masked = df.withColumns({f"_hit{i}": bits(by_edit[e]) for i, e in enumerate(edits)})
-    changed = none
-    for i in range(len(edits)):
-        changed = changed.bitwiseOR(F.col(f"_hit{i}"))
+    changed = " | ".join(f"_hit{i}" for i in range(len(edits)))
     touched = list(dict.fromkeys(e.column for e in edits if e.op != DROP))
 
-    def variant(mask: Column, edit: Edit | None) -> Column:
+    def variant(mask: str, edit: Edit | None) -> Column:
         cells = [
             (edit.value(types[c]) if edit and edit.column == c else F.col(c)).alias(c) for c in touched
         ]
-        return F.struct(mask.alias(RUNS), *cells)
+        return F.struct(F.expr(mask).alias(RUNS), *cells)
 
-    variants = [variant(F.col(RUNS).bitwiseAND(F.bitwise_not(changed)), None)] + [
-        variant(F.col(f"_hit{i}"), e) for i, e in enumerate(edits) if e.op != DROP
+    variants = [variant(f"{RUNS} & ~({changed})", None)] + [
+        variant(f"_hit{i}", e) for i, e in enumerate(edits) if e.op != DROP
     ]
     kept = F.filter(F.array(*variants), lambda v: v[RUNS] != 0)
     rest = [c for c in df.columns if c not in touched and c != RUNS]

@@ -54,65 +54,65 @@ def _day(axis: str | None) -> Column:
 # ---------------------------------------------------------------- pass one
 
 
+def _has_bounds(f: T.StructField) -> bool:
+    return not isinstance(f.dataType, (T.MapType, T.VariantType))
+
+
 def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = ["count(1) as n"]
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"n{i}"))
+        c = X.name(f.name)
+        aggs.append(f"count({c}) as n{i}")
         if isinstance(f.dataType, T.NumericType):
-            aggs.append(F.sum(c.cast("double")).alias(f"s{i}"))
-        if not isinstance(f.dataType, (T.MapType, T.VariantType)):
-            aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+            aggs.append(f"sum(cast({c} as double)) as s{i}")
+        if _has_bounds(f):
+            aggs += [f"min({c}) as lo{i}", f"max({c}) as hi{i}"]
     # A text minimum cannot live in a fixed-width buffer, and Spark would sort the
     # table by day to aggregate it.  One object-buffer aggregate in the list makes
     # the whole aggregation hash-based instead; it doubles as the day of the group.
-    aggs.append(F.collect_set("_day").alias("_days"))
+    aggs.append("collect_set(_day) as _days")
     return (
-        df.withColumn("_day", _day(axis))
-        .withColumn(RUNS, mask_of(df))
+        df.withColumns({"_day": _day(axis), RUNS: mask_of(df)})
         .groupBy("_day", RUNS)
-        .agg(*aggs)
+        .agg(*[F.expr(a) for a in aggs])
     )
 
 
 def _per_run(part: DataFrame, fields: Sequence[T.StructField], runs: Sequence[str]) -> DataFrame:
     """Daily and whole-table rows of every run from the daily partials."""
-    aggs = [F.sum("n").alias("n")]
-    for i in range(len(fields)):
-        for name, fn in ((f"n{i}", F.sum), (f"s{i}", F.sum), (f"lo{i}", F.min), (f"hi{i}", F.max)):
-            if name in part.columns:
-                aggs.append(fn(name).alias(name))
-    each = part.withColumn("run_id", F.explode(run_names(F.col(RUNS), runs))).withColumn(
-        "_day", F.try_element_at("_days", F.lit(1))
-    )
+    aggs = ["sum(n) as n"]
+    for i, f in enumerate(fields):
+        aggs.append(f"sum(n{i}) as n{i}")
+        if isinstance(f.dataType, T.NumericType):
+            aggs.append(f"sum(s{i}) as s{i}")
+        if _has_bounds(f):
+            aggs += [f"min(lo{i}) as lo{i}", f"max(hi{i}) as hi{i}"]
+    each = part.withColumns({"run_id": F.explode(run_names(RUNS, runs)), "_day": F.expr("try_element_at(_days, 1)")})
     return each.groupingSets([["run_id", "_day"], ["run_id"]], "run_id", "_day").agg(
-        F.grouping("_day").alias("_all"), *aggs
+        F.grouping("_day").alias("_all"), *[F.expr(a) for a in aggs]
     )
 
 
 def _long(stats: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """One row per column instead of one set of columns per column."""
-    def entry(i: int, f: T.StructField) -> Column:
-        has = stats.columns
-        lo = X.text_of(F.col(f"lo{i}"), f.dataType) if f"lo{i}" in has else F.lit(None).cast("string")
-        hi = X.text_of(F.col(f"hi{i}"), f.dataType) if f"hi{i}" in has else F.lit(None).cast("string")
-        mean = F.try_divide(F.col(f"s{i}"), F.col(f"n{i}")) if f"s{i}" in has else F.lit(None).cast("double")
-        return F.struct(
-            F.lit(i).alias("idx"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.col(f"n{i}").alias("present"),
-            lo.alias("min_value"), hi.alias("max_value"), mean.alias("mean_value"),
+    def entry(i: int, f: T.StructField) -> str:
+        lo, hi = (X.text_of(v, f.dataType) if _has_bounds(f) else "cast(null as string)" for v in (f"lo{i}", f"hi{i}"))
+        mean = f"try_divide(s{i}, n{i})" if isinstance(f.dataType, T.NumericType) else "cast(null as double)"
+        return (
+            f"struct({i} as idx, {X.literal(f.name)} as column_name, {X.literal(f.dataType.simpleString())} as data_type, "
+            f"n{i} as present, {lo} as min_value, {hi} as max_value, {mean} as mean_value)"
         )
 
-    entries = F.array(*[entry(i, f) for i, f in enumerate(fields)])
-    return stats.select("run_id", "_day", "_all", F.col("n").alias("row_count"), F.inline(entries))
+    entries = ", ".join(entry(i, f) for i, f in enumerate(fields))
+    return stats.select("run_id", "_day", "_all", F.col("n").alias("row_count"), F.expr(f"inline(array({entries}))"))
 
 
 # ---------------------------------------------------------------- pass two
 
+_KEY_TYPES = {"k_int": "bigint", "k_real": "double", "k_time": "timestamp_ntz", "k_text": "string"}
+
 
-def _key_parts(f: T.StructField) -> dict[str, Column]:
+def _key_parts(f: T.StructField) -> dict[str, str]:
     """The value as a compact grouping key, typed so that nothing is formatted as text.
 
     Fractional values are keyed by their count of millionths, which is rounding
@@ -120,32 +120,31 @@ def _key_parts(f: T.StructField) -> dict[str, Column]:
     no sixth decimal and is its own key.  Long texts are keyed by a digest, so a
     shuffle never carries whole documents.
     """
-    c, t = F.col(f"`{f.name}`"), f.dataType
+    c, t = X.name(f.name), f.dataType
     if isinstance(t, (T.IntegralType, T.BooleanType)):
-        return {"k_int": c.cast("bigint")}
+        return {"k_int": f"cast({c} as bigint)"}
     if isinstance(t, T.DateType):
-        return {"k_int": F.unix_date(c).cast("bigint")}
+        return {"k_int": f"cast(unix_date({c}) as bigint)"}
     if isinstance(t, T.TimestampType):
-        return {"k_int": F.unix_micros(c)}
+        return {"k_int": f"unix_micros({c})"}
     if isinstance(t, T.TimestampNTZType):
         return {"k_time": c}
     if isinstance(t, (T.FloatType, T.DoubleType)):
-        x = c.cast("double")
-        scaled, fits = x * 1e6, F.abs(x) < 9e9
-        millionths = F.when(scaled < 0, -F.floor(F.lit(0.5) - scaled)).otherwise(F.floor(scaled + 0.5))
-        return {"k_int": F.when(fits, millionths), "k_real": F.when(~fits, x)}
+        x = f"cast({c} as double)"
+        millionths = f"case when {x} < 0 then -floor(0.5D - {x} * 1e6D) else floor({x} * 1e6D + 0.5D) end"
+        return {
+            "k_int": f"case when abs({x}) < 9e9D then {millionths} end",
+            "k_real": f"case when not abs({x}) < 9e9D then {x} end",
+        }
     if isinstance(t, T.DecimalType):
-        return {"k_text": F.round(c, 6).cast("string")}
+        return {"k_text": f"cast(round({c}, 6) as string)"}
     if isinstance(t, T.MapType):
-        text = F.to_json(F.array_sort(F.map_entries(c)))
+        text = f"to_json(array_sort(map_entries({c})))"
     elif isinstance(t, (T.ArrayType, T.StructType)):
-        text = F.to_json(c)
+        text = f"to_json({c})"
     else:
-        text = c.cast("string")
-    return {"k_text": F.when(F.length(text) <= 40, text).otherwise(F.sha2(text, 256))}
-
-
-_KEY_TYPES = {"k_int": "bigint", "k_real": "double", "k_time": "timestamp_ntz", "k_text": "string"}
+        text = f"cast({c} as string)"
+    return {"k_text": f"case when length({text}) <= 40 then {text} else sha2({text}, 256) end"}
 
 
 def distinct_values(df: DataFrame, fields: Sequence[T.StructField], axis: str | None) -> DataFrame:
@@ -153,27 +152,25 @@ def distinct_values(df: DataFrame, fields: Sequence[T.StructField], axis: str |
     parts = [_key_parts(f) for f in fields]
     used = [k for k in _KEY_TYPES if any(k in p for p in parts)]
 
-    def entry(i: int, p: dict[str, Column]) -> Column:
-        keys = [p.get(k, F.lit(None).cast(_KEY_TYPES[k])).alias(k) for k in used]
-        return F.struct(F.lit(i).alias("idx"), *keys)
+    def entry(i: int, p: dict[str, str]) -> str:
+        keys = ", ".join(f"{p.get(k, f'cast(null as {_KEY_TYPES[k]})')} as {k}" for k in used)
+        return f"struct({i} as idx, {keys})"
 
-    cells = df.select(
-        _day(axis).alias("_day"),
-        mask_of(df).alias(RUNS),
-        F.inline(F.array(*[entry(i, p) for i, p in enumerate(parts)])),
-    )
-    present = X.any_of([F.col(k).isNotNull() for k in used])
+    entries = ", ".join(entry(i, p) for i, p in enumerate(parts))
+    cells = df.select(_day(axis).alias("_day"), mask_of(df).alias(RUNS), F.expr(f"inline(array({entries}))"))
+    present = " or ".join(f"{k} is not null" for k in used)
     return cells.where(present).groupBy("idx", "_day", *used).agg(F.bit_or(RUNS).alias(RUNS))
 
 
 def _distinct_counts(values: DataFrame, runs: Sequence[str]) -> DataFrame:
-    keys = [k for k in _KEY_TYPES if k in values.columns]
+    keys = [k for k in values.columns if k in _KEY_TYPES]
+    names = run_names(RUNS, runs)
 
     def count(of: DataFrame, by: list[str], whole: int) -> DataFrame:
         # Few masks exist, so counting per mask first keeps the fan-out tiny.
         per_mask = of.groupBy(*by, RUNS).agg(F.count(F.lit(1)).alias("d"))
         return (
-            per_mask.withColumn("run_id", F.explode(run_names(F.col(RUNS), runs)))
+            per_mask.select(*by, "d", F.explode(names).alias("run_id"))
             .groupBy("run_id", *by)
             .agg(F.sum("d").alias("distinct_count"))
             .withColumn("_all", F.lit(whole))
@@ -202,30 +199,26 @@ def profile(
     stats = _long(_per_run(_mergeable(df, fields, axis), fields, runs), fields)
     counts = _distinct_counts(distinct_values(df, fields, axis), runs)
 
-    c = counts.select(
-        F.col("run_id").alias("c_run"), F.col("idx").alias("c_idx"),
-        F.col("_all").alias("c_all"), F.col("_day").alias("c_day"), "distinct_count",
-    )
-    same = (
-        (F.col("run_id") == F.col("c_run")) & (F.col("idx") == F.col("c_idx"))
-        & (F.col("_all") == F.col("c_all")) & F.col("_day").eqNullSafe(F.col("c_day"))
+    c = counts.selectExpr("run_id as c_run", "idx as c_idx", "_all as c_all", "_day as c_day", "distinct_count as d")
+    joined = stats.join(
+        c, F.expr("run_id = c_run and idx = c_idx and _all = c_all and _day <=> c_day"), "left"
     )
-    joined = stats.join(c, same, "left")
-    distinct = F.coalesce("distinct_count", F.lit(0).cast("bigint"))
-    nulls = F.col("row_count") - F.col("present")
-    out = joined.where((F.col("_all") == 1) | F.col("_day").isNotNull()).select(
+    return joined.where("_all = 1 or _day is not null").selectExpr(
         "run_id",
-        F.when(F.col("_all") == 1, WHOLE).otherwise(DAY).alias("grain"),
-        F.lit(node).alias("model_name"),
-        F.when(F.col("_all") == 0, F.col("_day")).alias("partition_value"),
-        "column_name", "data_type", "row_count",
-        nulls.alias("null_count"),
-        X.safe_ratio(nulls, F.col("row_count")).alias("null_rate"),
-        distinct.alias("distinct_count"),
-        X.safe_ratio(distinct, F.col("row_count")).alias("distinct_rate"),
-        "min_value", "max_value", "mean_value",
+        f"case when _all = 1 then '{WHOLE}' else '{DAY}' end as grain",
+        f"{X.literal(node)} as model_name",
+        "case when _all = 0 then _day end as partition_value",
+        "column_name",
+        "data_type",
+        "row_count",
+        "row_count - present as null_count",
+        "case when row_count > 0 then (row_count - present) / row_count else 0D end as null_rate",
+        "coalesce(d, 0L) as distinct_count",
+        "case when row_count > 0 then coalesce(d, 0L) / row_count else 0D end as distinct_rate",
+        "min_value",
+        "max_value",
+        "mean_value",
     )
-    return out
 
 
 def profile_nodes(

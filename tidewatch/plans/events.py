@@ -103,7 +103,7 @@ def build(events: DataFrame, scenarios: Sequence[Scenario] = ()) -> dict[str, Da
     def broken(df: DataFrame, node: str) -> DataFrame:
         time_column, key_column = _SCOPE_COLUMNS[node]
         faults = [
-            (i + 1, s.edit, s.scope.where(time_column, key_column))
+            (i + 1, s.edit, s.scope.sql(time_column, key_column))
             for i, s in enumerate(scenarios)
             if s.node == node and s.edit is not None
         ]

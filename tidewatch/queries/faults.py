@@ -86,7 +86,7 @@ def fault_model_layer(spark, sf):
     from ..functions.runs import RUNS, run_names
 
     mart = E.build(table(spark, sf, "events"), MODEL)["agg_daily_events"]
-    named = mart.withColumn("run_id", F.explode(run_names(F.col(RUNS), E.run_ids(MODEL))))
+    named = mart.withColumn("run_id", F.explode(run_names(RUNS, E.run_ids(MODEL))))
     return named.select(
         "run_id", text("event_date").alias("event_date"), "event_type", "events",
         rounded("revenue", 4).alias("revenue"), r6("avg_value").alias("avg_value"),

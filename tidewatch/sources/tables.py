@@ -53,7 +53,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
     Only n rows per task survive to the final merge, so the table is not sorted.
     """
-    order = row_order(F.col(key), seed)
+    order = row_order(key, seed)
     return df.withColumn("_o", order).orderBy("_o", key).limit(n).drop("_o")
 
 
