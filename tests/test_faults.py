@@ -52,6 +52,18 @@ def test_sample_does_not_depend_on_splits(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 50
 
 
+def test_large_sample_equals_small_one(spark, small, monkeypatch):
+    from tidewatch.sources import tables
+
+    events = read_parquet(spark, f"{small}/events.parquet").repartition(5)
+    for n in (1, 77, 999, 5000):
+        want = sorted(r.event_id for r in sample_rows(events, "event_id", n, 3).collect())
+        monkeypatch.setattr(tables, "MERGED_SAMPLE", 0)
+        monkeypatch.setattr(tables, "_SLICE_BITS", 25)
+        assert sorted(r.event_id for r in sample_rows(events, "event_id", n, 3).collect()) == want
+        monkeypatch.undo()
+
+
 def test_scope_share_is_nested(spark, small):
     events = read_parquet(spark, f"{small}/events.parquet")
     counts = [events.where(Scope(percent=p).where("ts", "event_id")).count() for p in (5, 20, 50, 100)]

@@ -88,21 +88,23 @@ class Observatory:
     def detect(self, run_id: str | None = None, baseline: str | None = None, at: datetime | None = None) -> DataFrame:
         """Signals of a run in the configured mode; stored, replacing those of an earlier detection."""
         run_id, baseline = self._runs(run_id, baseline)
-        partitions = self.store.read("partition_profiles")
         if baseline is None:
-            found = W.rolling(partitions.where(F.col("run_id") == run_id), self.settings)
+            found = W.rolling(self._of("partition_profiles", run_id), self.settings)
         else:
-            found = D.previous_run(
-                self.store.read("column_profiles"), partitions, self._pairs(run_id, baseline), self.settings
-            )
+            columns, partitions = (self._of(t, run_id, baseline) for t in ("column_profiles", "partition_profiles"))
+            found = D.previous_run(columns, partitions, self._pairs(run_id, baseline), self.settings)
         self.store.save_signals(found, [run_id], at or datetime.now())
         return self.signals(run_id)
 
+    def _of(self, table: str, *runs: str) -> DataFrame:
+        """Rows of the named runs only: their folders are all that is read of the history."""
+        return self.store.read(table).where(F.col("run_id").isin(*runs))
+
     def signals(self, run_id: str) -> DataFrame:
-        return self.store.read("drift_signals").where(F.col("run_id") == run_id)
+        return self._of("drift_signals", run_id)
 
     def volume_mismatch(self, run_id: str, baseline: str) -> DataFrame:
-        return D.volume_mismatch(self.store.read("column_profiles"), self._pairs(run_id, baseline))
+        return D.volume_mismatch(self._of("column_profiles", run_id, baseline), self._pairs(run_id, baseline))
 
     def gate(self, run_id: str, level: str = "critical") -> None:
         D.assert_no_drift(self.signals(run_id), level)
@@ -137,21 +139,21 @@ class Observatory:
     # ------------------------------------------------------------ reports
 
     def series(self, run_id: str, baseline: str, how: str = "inner") -> DataFrame:
-        return P.series(self.store.read("partition_profiles"), self._pairs(run_id, baseline), how)
+        return P.series(self._of("partition_profiles", run_id, baseline), self._pairs(run_id, baseline), how)
 
     def lineage_status(self, run_id: str) -> DataFrame:
-        runs = self.store.read("profile_runs").where(F.col("run_id") == run_id)
+        runs = self._of("profile_runs", run_id)
         depths = L.depth(self.nodes, self.edges, self.reach)
         return P.lineage_status(self.nodes, depths, runs, self.signals(run_id), self.reach)
 
     def overview(self, run_id: str) -> DataFrame:
-        columns = self.store.read("column_profiles").where(F.col("run_id") == run_id)
+        columns = self._of("column_profiles", run_id)
         return P.overview(columns, self.signals(run_id), self.incidents(run_id))
 
     def report(self, run_id: str, baseline: str, explanations: DataFrame | None = None) -> DataFrame:
         """The whole report of a run as one JSON document."""
         found, points = self.incidents(run_id), self.series(run_id, baseline)
-        columns = self.store.read("column_profiles").where(F.col("run_id") == run_id)
+        columns = self._of("column_profiles", run_id)
         return P.payload_json(
             P.payload(
                 self.settings.project, columns, self._pairs(run_id, baseline), self.signals(run_id), found,

@@ -18,8 +18,12 @@ SIGNAL_COLUMNS = [
 
 
 def run_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    """Which run is compared with which: (baseline, current) pairs."""
-    return spark.createDataFrame(list(pairs), "baseline_run_id string, run_id string")
+    """Which run is compared with which: (baseline, current) pairs.
+
+    A literal table, whose size Catalyst knows, so that joins with it need no shuffle.
+    """
+    rows = ", ".join(f"({X.literal(b)}, {X.literal(c)})" for b, c in pairs)
+    return spark.sql(f"select * from values {rows} as t(baseline_run_id, run_id)")
 
 
 def paired(profiles: DataFrame, pairs: DataFrame, keys: list[str], values: list[str], how: str = "inner") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,7 +251,12 @@ def partition_guard(profiles: DataFrame, settings: Settings | None = None) -> Da
 
 
 def partition_profiles(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Daily rows of the nodes whose axis is not over the partition limit."""
-    kept = partition_guard(profiles, settings).where("kept").select("run_id", "model_name")
-    days = profiles.where(F.col("grain") == DAY)
-    return days.join(kept, ["run_id", "model_name"], "left_semi").drop("grain", "data_type", "distinct_rate")
+    """Daily rows of the nodes whose axis is not over the partition limit.
+
+    A column has one row per day, so its own row count is the number of days;
+    the profile is not evaluated a second time to find it.
+    """
+    settings = settings or Settings()
+    series = Window.partitionBy("run_id", "model_name", "column_name")
+    days = profiles.where(F.col("grain") == DAY).withColumn("_days", F.count(F.lit(1)).over(series))
+    return days.where(F.col("_days") <= settings.max_partitions).drop("grain", "data_type", "distinct_rate", "_days")

@@ -63,12 +63,19 @@ class MetricStore:
         )
 
     def replace_runs(self, table: str, df: DataFrame, run_ids: Sequence[str]) -> None:
-        """Make the rows of these runs exactly df; a run without rows loses its old ones."""
-        for run in run_ids:
+        """Make the rows of these runs exactly df; a run without rows loses its old ones.
+
+        New rows replace old ones first, and only runs that have none are removed, so
+        that a job that dies half-way leaves no run without its rows.
+        """
+        rows = materialise(conform(df.where(F.col("run_id").isin(*run_ids)), TABLES[table]), table)
+        present = {r.run_id for r in rows.select("run_id").distinct().collect()}
+        if present:
+            self.append(table, rows)
+        for run in set(run_ids) - present:
             where, fs = self._fs(f"{self.path(table)}/run_id={run}")
             if fs.exists(where):
                 fs.delete(where, True)
-        self.append(table, df.where(F.col("run_id").isin(*run_ids)))
 
     def run_profile(
         self, nodes: dict[str, DataFrame], run_id: str, started_at: datetime,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +48,32 @@ def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# Up to here the top rows of every task are merged in one task; beyond, none may be.
+MERGED_SAMPLE = 100_000
+_SLICE_BITS = 12
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows, the same ones however the table is split.
+    """Exactly n rows, the same ones however the table is split; the key has to be unique.
 
-    Only n rows per task survive to the final merge, so the table is not sorted.
+    Rows are ranked by a hash of their key.  A small sample is a top-n, where a
+    task passes on no more than n rows.  A large one is cut at a hash value: the
+    hash range is counted in a million slices, whole slices are taken by a filter,
+    and only the slice that holds the cut is ranked.
     """
-    order = row_order(key, seed)
-    return df.withColumn("_o", order).orderBy("_o", key).limit(n).drop("_o")
+    ordered = df.withColumn("_o", row_order(key, seed))
+    if n <= MERGED_SAMPLE:
+        return ordered.orderBy("_o", key).limit(n).drop("_o")
+    sliced = ordered.withColumn("_s", F.shiftright("_o", _SLICE_BITS))
+    counts = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("c"))
+    # One window over the slice counts: at most 2**20 of them, whatever the table holds.
+    seen = counts.withColumn("seen", F.sum("c").over(Window.orderBy("_s")))
+    cut = seen.where(F.col("seen") >= n).agg(F.min_by(F.struct("_s", (F.col("seen") - F.col("c")).alias("before")), "_s").alias("cut"))
+    marked = sliced.withColumn("_cut", cut.scalar())
+    below = marked.where(F.col("_cut").isNull() | (F.col("_s") < F.col("_cut._s")))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_o", key))
+    rim = marked.where(F.col("_s") == F.col("_cut._s")).withColumn("_r", rank).where(F.col("_r") <= n - F.col("_cut.before"))
+    return below.unionByName(rim.drop("_r")).drop("_o", "_s", "_cut")
 
 
 def write_sample(df: DataFrame, path: str) -> None:
