@@ -4,6 +4,7 @@ from tidewatch.operators.overlay import Edit, Scope, apply_fault, apply_faults
 from tidewatch.functions.runs import RUNS, run_names
 from tidewatch.plans import evaluate as V
 from tidewatch.plans import scenarios as S
+from tidewatch.settings import Settings
 from tidewatch.sources.store import MetricStore, conform
 from tidewatch.sources.tables import read_parquet, sample_rows, write_sample
 from tidewatch.schemas import DRIFT_SIGNALS
@@ -37,6 +38,23 @@ def test_batched_faults_equal_single_faults(spark, small):
     assert batch.where("run = 'clean'").drop("run").select(*events.columns).exceptAll(events).count() == 0
 
 
+def test_more_runs_than_one_mask_holds(spark, small, monkeypatch):
+    """Batches of runs give what one batch gives."""
+    events = read_parquet(spark, f"{small}/events.parquet")
+    chosen = S.by_id("row-drop-large-week", "null-spike-small-month", "case-change-large-day")
+    keep = ["run_id", "grain", "model_name", "partition_value", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value"]
+    one = V.profiles(events, chosen, Settings()).select(*keep).collect()
+    monkeypatch.setattr(V, "MAX_RUNS", 3)
+    assert sorted(map(str, V.profiles(events, chosen, Settings()).select(*keep).collect())) == sorted(map(str, one))
+
+
+def test_named_faults(spark, small):
+    events = read_parquet(spark, f"{small}/events.parquet")
+    for key, fault in S.FAULTS.items():
+        changed = S.inject(events, key, "2024-01-20").exceptAll(events)
+        assert changed.count() > 0 and changed.where("ts < timestamp_ntz'2024-01-20'").count() == 0, fault
+
+
 def test_capitalise(spark):
     df = spark.createDataFrame([("casual",), ("",), (None,)], "s string")
     assert [r.s for r in apply_fault(df, Edit("capitalise", "s"), F.lit(True)).collect()] == ["Casual", "", None]

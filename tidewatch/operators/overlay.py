@@ -110,6 +110,7 @@ def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, str]]) -> Data
     variants = [variant(f"{RUNS} & ~({changed})", None)] + [
         variant(f"_hit{i}", e) for i, e in enumerate(edits) if e.op != DROP
     ]
-    kept = F.filter(F.array(*variants), lambda v: v[RUNS] != 0)
     rest = [c for c in df.columns if c not in touched and c != RUNS]
-    return masked.select(*rest, F.inline(kept)).select(*df.columns)
+    # Built in a projection, which is compiled; empty variants are dropped after the fan-out.
+    fanned = masked.select(*rest, F.array(*variants).alias("_variants")).select(*rest, F.inline("_variants"))
+    return fanned.where(F.col(RUNS) != 0).select(*df.columns)

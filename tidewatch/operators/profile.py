@@ -157,7 +157,9 @@ def distinct_values(df: DataFrame, fields: Sequence[T.StructField], axis: str |
         return f"struct({i} as idx, {keys})"
 
     entries = ", ".join(entry(i, p) for i, p in enumerate(parts))
-    cells = df.select(_day(axis).alias("_day"), mask_of(df).alias(RUNS), F.expr(f"inline(array({entries}))"))
+    # The cells are built in a projection, which is compiled; a generator would interpret them.
+    row = df.select(_day(axis).alias("_day"), mask_of(df).alias(RUNS), F.expr(f"array({entries})").alias("_cells"))
+    cells = row.select("_day", RUNS, F.inline("_cells"))
     present = " or ".join(f"{k} is not null" for k in used)
     return cells.where(present).groupBy("idx", "_day", *used).agg(F.bit_or(RUNS).alias(RUNS))
 

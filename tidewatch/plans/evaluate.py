@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.runs import MAX_RUNS
 from ..operators import drift, lineage, profile, rca
 from ..session import materialise
 from ..settings import Settings
@@ -28,6 +29,7 @@ class Observed:
     reach: DataFrame
     settings: Settings
     _signals: DataFrame | None = None
+    _incidents: DataFrame | None = None
 
     @property
     def signals(self) -> DataFrame:
@@ -38,15 +40,28 @@ class Observed:
 
     @property
     def incidents(self) -> DataFrame:
-        return rca.ranked(rca.incidents(self.signals, self.reach, self.nodes))
+        if self._incidents is None:
+            found = rca.ranked(rca.incidents(self.signals, self.reach, self.nodes))
+            self._incidents = materialise(found, "incidents")
+        return self._incidents
+
+
+def profiles(events: DataFrame, scenarios: Sequence[Scenario], settings: Settings) -> DataFrame:
+    """Profiles of the clean run and of every scenario, in as few batches as the run masks allow."""
+    step = MAX_RUNS - 1  # the baseline takes part in every batch
+    batches = [scenarios[i : i + step] for i in range(0, len(scenarios), step)] or [[]]
+    out = None
+    for batch in batches:
+        part = profile.profile_nodes(E.build(events, batch), settings, E.run_ids(batch))
+        out = part if out is None else out.unionByName(part.where(F.col("run_id") != BASELINE))
+    return out
 
 
 def observe(events: DataFrame, scenarios: Sequence[Scenario], settings: Settings | None = None) -> Observed:
     """Profile the clean nodes and one run per scenario, reading the events once per pass."""
     settings = settings or Settings()
     spark = events.sparkSession
-    tables = E.build(events, scenarios)
-    stored = materialise(profile.profile_nodes(tables, settings, E.run_ids(scenarios)), "profiles")
+    stored = materialise(profiles(events, scenarios, settings), "profiles")
     nodes = lineage.node_frame(spark, E.PARENTS)
     edge = lineage.edges(nodes)
     return Observed(

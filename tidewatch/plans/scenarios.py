@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.overlay import DROP, Edit, Scope
+from ..operators.overlay import DROP, Edit, Scope, apply_fault
 
 # Windows, factors and shares of the benchmark.
 WINDOWS = {
@@ -26,6 +27,37 @@ CONTROLS = {"tip": 1.03, "extra": 1.02, "tip-near-limit": 1.045}
 BASELINE = "baseline"
 
 
+@dataclass(frozen=True)
+class Fault:
+    """A single break to try by hand, from a given day onwards."""
+
+    key: str
+    description: str
+    edit: Edit
+    only: str = "true"
+    percent: int = 100
+
+
+FAULTS = {
+    f.key: f
+    for f in (
+        Fault("unit-change", "value silently switches its unit", Edit("scale_cents", "value", 1.60934)),
+        Fault("null-spike", "half of the users stop sending user_id", Edit("null", "user_id"), "user_id % 2 = 0"),
+        Fault("enum-drift", "an undocumented event_type starts to appear", Edit("set", "event_type", "unknown"), "event_type = 'view'", 10),
+        Fault("case-change", "event_type starts with a capital letter", Edit("capitalise", "event_type")),
+    )
+}
+
+
+def inject(events: DataFrame, key: str, since: str) -> DataFrame:
+    """The events with one named fault from a day onwards; the stored table stays clean."""
+    if key not in FAULTS:
+        raise ValueError(f"unknown fault {key!r}; known: {', '.join(sorted(FAULTS))}")
+    fault = FAULTS[key]
+    scope = Scope(since, None, fault.percent).sql("ts", "event_id")
+    return apply_fault(events, fault.edit, F.expr(f"({scope}) and ({fault.only})"))
+
+
 @dataclass(frozen=True)
 class Scenario:
     id: str

@@ -16,12 +16,8 @@ SINCE = Scope("2024-01-20")
 _SINCE = "ts >= timestamp '2024-01-20'"
 
 
-def _fault(spark, sf, edit, extra=None, scope=SINCE):
-    events = table(spark, sf, "events")
-    where = scope.where("ts", "event_id")
-    if extra is not None:
-        where = where & extra
-    return apply_fault(events, edit, where)
+def _fault(spark, sf, edit, scope):
+    return apply_fault(table(spark, sf, "events"), edit, scope.where("ts", "event_id"))
 
 
 def _rows(df):
@@ -39,17 +35,17 @@ def _sql(where: str, **replaced: str) -> str:
 
 @query("fault_unit_change", _sql(_SINCE, value="round(value * 1.60934e0, 2)"))
 def fault_unit_change(spark, sf):
-    return _rows(_fault(spark, sf, Edit("scale_cents", "value", 1.60934)))
+    return _rows(S.inject(table(spark, sf, "events"), "unit-change", "2024-01-20"))
 
 
 @query("fault_null_spike", _sql(f"{_SINCE} and user_id % 2 = 0", user_id="null"))
 def fault_null_spike(spark, sf):
-    return _rows(_fault(spark, sf, Edit("null", "user_id"), F.col("user_id") % 2 == 0))
+    return _rows(S.inject(table(spark, sf, "events"), "null-spike", "2024-01-20"))
 
 
 @query("fault_enum_drift", _sql(f"{_SINCE} and event_type = 'view' and {O.share('event_id', 10)}", event_type="'unknown'"))
 def fault_enum_drift(spark, sf):
-    return _rows(_fault(spark, sf, Edit("set", "event_type", "unknown"), F.col("event_type") == "view", Scope("2024-01-20", None, 10)))
+    return _rows(S.inject(table(spark, sf, "events"), "enum-drift", "2024-01-20"))
 
 
 @query(
@@ -60,18 +56,18 @@ def fault_enum_drift(spark, sf):
 def fault_case_change(spark, sf):
     events = table(spark, sf, "events").withColumn("shout", F.upper("event_type"))
     where = SINCE.where("ts", "event_id")
-    out = apply_fault(apply_fault(events, Edit("capitalise", "event_type"), where), Edit("lower", "shout"), where)
+    out = apply_fault(S.inject(events, "case-change", "2024-01-20"), Edit("lower", "shout"), where)
     return out.select("event_id", F.col("event_type").alias("capitalised"), F.col("shout").alias("lowered"))
 
 
 @query("fault_row_drop", _sql("true") + f" where not ({_SINCE} and {O.share('event_id', 20)})")
 def fault_row_drop(spark, sf):
-    return _rows(_fault(spark, sf, Edit(DROP), scope=Scope("2024-01-20", None, 20)))
+    return _rows(_fault(spark, sf, Edit(DROP), Scope("2024-01-20", None, 20)))
 
 
 @query("fault_precision_loss", _sql("ts >= timestamp '2024-01-20' and ts < timestamp '2024-01-27'", value="round(value, 0)"))
 def fault_precision_loss(spark, sf):
-    return _rows(_fault(spark, sf, Edit("round", "value", 0), scope=Scope("2024-01-20", "2024-01-27")))
+    return _rows(_fault(spark, sf, Edit("round", "value", 0), Scope("2024-01-20", "2024-01-27")))
 
 
 MODEL = S.by_id("flag-logic-break-large-month", "mart-scaling-large-month", "mart-null-large-month")
