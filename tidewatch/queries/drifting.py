@@ -201,17 +201,27 @@ def rolling_median_mad(spark, sf):
     return _point_view(rows, r6("median").alias("median"), r6("mad").alias("mad"))
 
 
-@query("robust_z", sql(f"select {_POINT}, round(z, 4) as z from scored where n_hist >= 14 and value is not null", ROLLING))
+# A flat history at zero makes z as large as 1e11: small scores are shown as they are,
+# and all of them by their logarithm.
+_Z = "case when z < 100000 then round(z, 4) end as z, round(ln(1 + z), 6) as log_z"
+
+
+def _z():
+    z = F.col("z")
+    return [F.when(z < 100000, rounded(z, 4)).alias("z"), r6(F.log(1 + z)).alias("log_z")]
+
+
+@query("robust_z", sql(f"select {_POINT}, {_Z} from scored where n_hist >= 14 and value is not null", ROLLING))
 def robust_z(spark, sf):
     rows = W.scored(_points(observed(spark, sf)), ROLL)
     kept = rows.where((F.size("history") >= ROLL.min_history) & F.col("value").isNotNull())
-    return _point_view(kept, rounded("z", 4).alias("z"))
+    return _point_view(kept, *_z())
 
 
-@query("rolling_flags", sql(f"select {_POINT}, round(value, 6) as value, round(median, 6) as median, round(z, 4) as z from flags", ROLLING))
+@query("rolling_flags", sql(f"select {_POINT}, round(value, 6) as value, round(median, 6) as median, {_Z} from flags", ROLLING))
 def rolling_flags(spark, sf):
     rows = W.flags(_points(observed(spark, sf)), ROLL)
-    return _point_view(rows, r6("value").alias("value"), r6("median").alias("median"), rounded("z", 4).alias("z"))
+    return _point_view(rows, r6("value").alias("value"), r6("median").alias("median"), *_z())
 
 
 # A higher share than the default, so that ordinary uneven days are dropped too.
