@@ -9,10 +9,9 @@
    the similarity (uniform prior) is known; a pair whose chance to reach the threshold is below
    `miss` is dropped.  The survivors are compared exactly, on full sets.
 5. Verified links give components.  What a bucket's smallest node didn't link may still link
-   to another member: the bucket's members of different components are paired next, again
-   through the smallest member of each component, until a bucket holds one component or
-   nodes that all have been compared.  The last round compares whatever is left across
-   components, so no link between different texts is lost in a bucket.
+   to another member, so in buckets that hold several components the pairs across components
+   are compared too, in blocks of at most `BLOCK` nodes a side.  A pair that shares several
+   bands is compared in the first of them.  No link between texts that share a band is lost.
 
 Contract of `near_duplicates`: returns every row and column of docs with `n_shingles`,
 `component_id` and `kept`, which replace columns of those names.  A null or empty text has an
@@ -32,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, join_hashes, map_texts, materialise, mix, query, rolling, table
+from .base import Words, join_hashes, map_texts, materialise, mix, partitions, query, rolling, table
 
 SHINGLE = 5
 SIMILAR = (75, 100)  # linked when 100 * intersection >= 75 * union
 BANDS, ROWS = 32, 4
-BATCH, MISS = 16, 1e-6
+LENGTH = 256  # signature values; the bands are cut from the first BANDS * ROWS
+BATCH, MISS = 32, 1e-4
+BLOCK = 1024
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
@@ -59,26 +60,22 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
-
-
-def signatures(texts: list[str], bands: int, rows: int, k: int) -> dict[str, pa.Array]:
-    a, b = _permutations(bands * rows)
+def signatures(texts: list[str], bands: int, rows: int, k: int, length: int) -> dict[str, pa.Array]:
+    """Shingle counts, set keys, 16-bit signature values and band keys."""
+    odd = np.random.default_rng(20).integers(0, 2**31, length, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     sizes, keys, signs, band_keys = [], [], [], []
     for s in shingle_sets(texts, k):
         sizes.append(len(s))
         if not len(s):
             keys.append(None), signs.append(None), band_keys.append(None)
             continue
-        least = np.full(bands * rows, 2**64 - 1, np.uint64)
-        for at in range(0, len(s), 2048):
-            np.minimum(least, (s[None, at : at + 2048] * a[:, None] + b[:, None]).min(axis=1), out=least)
-        sign = (least >> np.uint64(32)).astype("<u4")
+        least = np.full(length, 2**32 - 1, np.uint32)
+        short = (s >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(s), 1024):
+            np.minimum(least, (short[None, at : at + 1024] * odd[:, None]).min(axis=1), out=least)
         keys.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], "<u8").tobytes())
-        signs.append(sign.tobytes())
-        in_band = sign.reshape(bands, rows).astype(np.uint64)
+        signs.append((least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2").tobytes())
+        in_band = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
         folded = mix(np.arange(bands, dtype=np.uint64))
         for r in range(rows):
             folded = join_hashes(folded, in_band[:, r])
@@ -105,27 +102,84 @@ def least_matches(n: int, miss: float, similar: tuple[int, int] = SIMILAR) -> in
     return n
 
 
-def plausible(pairs: DataFrame, length: int, batch: int, miss: float, similar: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, sign_a, sign_b) that no batch of signature values rules out, as (a, b)."""
-    steps = [(i, min(i + batch, length), least_matches(min(i + batch, length), miss, similar)) for i in range(0, length, batch)]
+def batches_of(length: int, batch: int, miss: float, similar: tuple[int, int]) -> list[tuple[int, int, int]]:
+    ends = [min(i + batch, length) for i in range(0, length, batch)]
+    return [(i, end, least_matches(end, miss, similar)) for i, end in zip(range(0, length, batch), ends)]
+
+
+def stay(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """Indices of the pairs (rows of left and right) that no batch of values rules out."""
+    alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
+    for start, end, least in steps:
+        matches = matches + (left[alive, start:end] == right[alive, start:end]).sum(axis=1)
+        keep = matches >= least
+        alive, matches = alive[keep], matches[keep]
+    return alive
+
+
+def plausible(pairs: DataFrame, length: int, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs (a, b, sign_a, sign_b) that may be similar enough, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            if not got.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(got.column(c).to_pylist()), "<u4").reshape(-1, length) for c in ("sign_a", "sign_b")
-            )
-            alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-            for start, end, least in steps:
-                matches = matches + (left[alive, start:end] == right[alive, start:end]).sum(axis=1)
-                stay = matches >= least
-                alive, matches = alive[stay], matches[stay]
-            yield got.select(["a", "b"]).take(pa.array(alive))
+            if got.num_rows:
+                left, right = (_matrix(got.column(c), length) for c in ("sign_a", "sign_b"))
+                yield got.select(["a", "b"]).take(pa.array(stay(left, right, steps)))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _matrix(column: pa.Array, width: int, kind: str = "<u2") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def across(members: DataFrame, bands: int, length: int, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Plausible pairs (a, b) of one bucket and different roots.
+
+    members: band, i, j, side, doc_id, root, signature, bands; rows of one (band, i, j) are
+    compared, those with side 0 to those with side 1, or among themselves where i = j.
+    """
+
+    def compare(got: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, roots, side = (got[c].to_numpy() for c in ("doc_id", "root", "side"))
+        signs, keys = _matrix(got["signature"], length), np.array(got["bands"].to_pylist(), np.int64).reshape(-1, bands)
+        band, within = got["band"][0].as_py(), got["i"][0].as_py() == got["j"][0].as_py()
+        at = int(np.argmax(keys[0] == band))
+        left = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
+        right = left if within else np.flatnonzero(side == 1)
+        for x in left.tolist():
+            y = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) | (not within))]
+            if at:
+                y = y[~(keys[y, :at] == keys[x, :at]).any(axis=1)]
+            if len(y):
+                y = y[stay(np.broadcast_to(signs[x], (len(y), length)), signs[y], steps)]
+            if len(y):
+                one = np.full(len(y), ids[x])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, ids[y])), pa.array(np.maximum(one, ids[y]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for got in batches:
+            if not got.num_rows:
+                continue
+            keys = np.stack([got.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                key = tuple(keys[start])
+                if key != last and held:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                held.append(got.slice(start, end - start))
+                last = key
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    order = ["band", "i", "j"]
+    dealt = members.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough.  texts: one text of each node."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -182,47 +236,48 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_nodes(
-    nodes: DataFrame, texts: DataFrame, ties: DataFrame, bands: int, rows: int, k: int, similar, batch: int, miss: float
+    nodes: DataFrame, texts: DataFrame, ties: DataFrame, bands: int, k: int, similar: tuple[int, int], length: int, batch: int, miss: float
 ) -> DataFrame:
     """(node, root) of all nodes that a tie or a verified link reaches.  nodes: doc_id, signature, bands."""
+    steps = batches_of(length, batch, miss, similar)
     spread = nodes.select("doc_id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(spread.join(shared.select("band", "first"), "band"), "buckets")
+    members = materialise(spread.join(shared, "band"), "buckets")
     signs = nodes.select("doc_id", "signature")
 
     def check(pairs: DataFrame) -> DataFrame:
-        signed = pairs.join(signs.withColumnsRenamed({"doc_id": "a", "signature": "sign_a"}), "a").join(
-            signs.withColumnsRenamed({"doc_id": "b", "signature": "sign_b"}), "b"
-        )
-        signed = signed.select("a", "b", "sign_a", "sign_b")
-        kept = materialise(plausible(signed, bands * rows, batch, miss, similar).distinct(), "plausible")
-        return materialise(verified(kept, texts, k, similar).distinct(), "links")
+        pairs = materialise(pairs.distinct(), "plausible")
+        return materialise(verified(pairs, texts, k, similar).distinct(), "links")
 
     pairs = members.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    links, compared = ties.unionByName(check(pairs)), pairs
-    while True:
-        roots = components(links)
-        rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "doc_id"))
-        split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-        rooted = rooted.join(split, "band").select("band", "doc_id", "root")
-        other = rooted.withColumnsRenamed({"doc_id": "other", "root": "other_root"})
-        pairs = rooted.join(other, "band").where("doc_id < other and root <> other_root")
-        pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-        pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return roots
-        links, compared = links.unionByName(check(pairs)), compared.unionByName(pairs)
+    signed = pairs.join(signs.withColumnsRenamed({"doc_id": "a", "signature": "sign_a"}), "a").join(
+        signs.withColumnsRenamed({"doc_id": "b", "signature": "sign_b"}), "b"
+    )
+    links = ties.unionByName(check(plausible(signed.select("a", "b", "sign_a", "sign_b"), length, steps)))
+    roots = components(links)
+
+    rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+    split = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    # A bucket of more than BLOCK nodes is compared block against block.
+    n_blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rooted.join(split, "band").join(nodes, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+    dealt = dealt.select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "root", "signature", "bands",
+    )
+    found = check(across(dealt, bands, length, steps))
+    return components(links.unionByName(found))
 
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE,
-    similar: tuple[int, int] = SIMILAR, batch: int = BATCH, miss: float = MISS, keep_text: bool = True,
+    similar: tuple[int, int] = SIMILAR, length: int = LENGTH, batch: int = BATCH, miss: float = MISS, keep_text: bool = True,
 ) -> DataFrame:
     docs = docs.drop("n_shingles", "component_id", "kept", "set_key", "signature", "bands")
     made = map_texts(
-        docs, lambda t: signatures(t, bands, rows, k), text,
+        docs, lambda t: signatures(t, bands, rows, k, length), text,
         n_shingles="long", set_key="binary", signature="binary", bands="array<long>",
     )
     measured = materialise(made if keep_text else made.drop(text), "signatures")
@@ -237,7 +292,7 @@ def near_duplicates(
     ties = members.join(several, "doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
 
     texts = docs.select("doc_id", F.col(text).alias("text"))
-    roots = link_nodes(nodes, texts, ties, bands, rows, k, similar, batch, miss)
+    roots = link_nodes(nodes, texts, ties, bands, k, similar, length, batch, miss)
     found = members.join(roots.withColumnRenamed("node", "first"), "first", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
     out = measured.drop("set_key", "signature", "bands").join(found, "doc_id", "left")
