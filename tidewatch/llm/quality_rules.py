@@ -2,10 +2,11 @@
 
 A document is described by two histograms: of its characters over eight classes, and of its
 words over the common words of some languages (and one bin for all other words).  The
-references are the same histograms of each language's documents, summed over all of them.
+references are the same histograms of each language's documents, summed over those that pass
+the base rule; a second round leaves out the documents that the first references reject.
 A document whose Jensen-Shannon distance to its nearest reference is above a threshold is
-rejected.  A short text says little about a distribution, so each distance counts only from a
-minimum length on.
+rejected.  A short text says little about a distribution: each distance counts only from a
+minimum length on, and its threshold falls with the root of the length.
 
 Contract of `judge`: returns every row and column of docs with the struct `rules` (n_words,
 word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
@@ -34,12 +35,15 @@ COMMON_WORDS = {
 }
 BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
-# The character classes, as what a regular expression removes; the last class is the rest.
-CLASSES = ["a-z", "A-Z", "0-9", SPACES, ".,;:?'\"()\\-", "!", "#*$%&|<>"]
+# Character classes, as regular expressions know them.  Two more classes are
+# white space, whose count is what words leave, and the rest.
+CLASSES = ["a-z", "A-Z", "0-9", ".,;:?'\"()\\-", "!", "#*$%&|<>"]
+SYMBOLS = CLASSES.index("#*$%&|<>")
 
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rule: words, and per cent of words in repeated windows
-MIN_CHARS_FOR_CHARS, MAX_CHAR_DISTANCE = 200, 0.2
-MIN_WORDS_FOR_WORDS, MAX_WORD_DISTANCE = 100, 0.6
+# From a length on, the most distance: a + b / sqrt(length), by characters and by words.
+CHAR_LIMIT = (200, 0.06, 3.2)
+WORD_LIMIT = (50, 0.26, 0.7)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,10 +88,15 @@ def _word_counts(words: Column) -> Column:
     )
 
 
-def _char_counts(text: Column) -> Column:
-    counts = [F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES]
-    rest = F.length(F.regexp_replace(text, f"[{''.join(CLASSES)}]+", ""))
-    return F.array(*counts, rest)
+def _char_counts(text: Column, word_chars: Column) -> Column:
+    """Counts of CLASSES, white space and the rest."""
+    counts = F.array(*[F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES])
+    return let(
+        counts,
+        lambda c: F.concat(
+            c, F.array(F.length(text) - word_chars, word_chars - F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        ),
+    )
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -98,19 +107,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     def of_words(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.length(F.array_join(words, "")).alias("word_chars"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             _word_counts(words).alias("words"),
         )
 
-    made = docs.withColumn("measured", let(words_of(t), of_words))
-    return made.withColumn(
+    return docs.withColumn("measured", let(words_of(t), of_words)).withColumn(
         "measured",
-        F.struct(
-            "measured.*",
-            F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _char_counts(t).alias("chars"),
+        let(
+            F.struct("measured.*", _char_counts(t, F.col("measured.word_chars")).alias("chars")),
+            lambda m: F.struct(
+                m.n_words.alias("n_words"), m.word_chars.cast("long").alias("word_chars"),
+                m.n_repeat_words.alias("n_repeat_words"), m.words.alias("words"), m.chars.alias("chars"),
+                F.get(m.chars, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            ),
         ),
     )
 
@@ -129,8 +140,8 @@ def references(measured: DataFrame, lang: str = "lang") -> list[tuple[list[float
     def sums(field: str, n: int) -> list[Column]:
         return [F.sum(F.get(F.col(f"measured.{field}"), F.lit(i)).cast("long")).alias(f"{field}{i}") for i in range(n)]
 
-    n_chars, n_words = len(CLASSES) + 1, len(BINS) + 1
-    known = measured.where(F.col(lang).isin(*COMMON_WORDS) & ~base_failed())
+    n_chars, n_words = len(CLASSES) + 2, len(BINS) + 1
+    known = measured.where(F.col(lang).isin(*COMMON_WORDS))
     rows = known.groupBy(lang).agg(*sums("chars", n_chars), *sums("words", n_words)).collect()
     out = []
     for row in sorted(rows, key=lambda r: r[0]):
@@ -153,31 +164,34 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda t: F.when(t > 0, of(t.cast("double"))))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
-    """Two steps over the texts' measures: they are written once, as the references need all of them."""
-    measured = measure(docs.drop("rules", "measured"), text)
-    measured = materialise(measured if keep_text else measured.drop(text), "measured")
-    known = references(measured, lang)
-
+def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """measured with char_distance, word_distance and kept, against the references."""
     def nearest(field: str, which: int) -> Column:
         found = [distance(F.col(f"measured.{field}"), r[which]) for r in known]
         return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
 
+    def off(length: Column, found: str, limit: tuple[int, float, float]) -> Column:
+        least, a, b = limit
+        return F.coalesce((length >= least) & (F.col(found) > a + b / F.sqrt(length)), F.lit(False))
+
     n_chars = F.aggregate("measured.chars", F.lit(0), lambda a, x: a + x)
-    chars_off = (n_chars >= MIN_CHARS_FOR_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
-    words_off = (F.col("measured.n_words") >= MIN_WORDS_FOR_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    near = measured.select("*", nearest("chars", 0).alias("char_distance"), nearest("words", 1).alias("word_distance"))
+    rejected = off(n_chars, "char_distance", CHAR_LIMIT) | off(F.col("measured.n_words"), "word_distance", WORD_LIMIT)
+    return near.withColumn("kept", ~base_failed() & ~rejected)
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
+    """The texts' measures are written once, as the references need all of them."""
+    measured = measure(docs.drop("rules", "measured", "char_distance", "word_distance", "kept"), text)
+    measured = materialise(measured if keep_text else measured.drop(text), "measured")
+    first = references(measured.where(~base_failed()), lang)
+    known = references(verdicts(measured, first).where("kept"), lang)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    columns = [F.col(f"`{c}`") for c in measured.columns if c != "measured"]
-    return measured.select(
-        *columns, "measured", nearest("chars", 0).alias("char_distance"), nearest("words", 1).alias("word_distance")
-    ).select(
-        *columns,
-        F.struct(
-            *[F.col(f"measured.{c}").alias(c) for c in counts],
-            base_failed().alias("base_failed"), "char_distance", "word_distance",
-            (~base_failed() & ~F.coalesce(chars_off, F.lit(False)) & ~F.coalesce(words_off, F.lit(False))).alias("kept"),
-        ).alias("rules"),
+    rules = F.struct(
+        *[F.col(f"measured.{c}").alias(c) for c in counts],
+        base_failed().alias("base_failed"), "char_distance", "word_distance", "kept",
     )
+    return verdicts(measured, known).select(*[f"`{c}`" for c in measured.columns if c != "measured"], rules.alias("rules"))
 
 
 @query("op3_quality_rules")
