@@ -1,6 +1,6 @@
 """Every query of this folder, registered by its module."""
 
-from . import byte_bpe, near_dedup, quality_rules, token_counts  # noqa: F401
+from . import byte_bpe, near_dedup, quality_rules, substring_dedup, token_counts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
