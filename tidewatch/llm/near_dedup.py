@@ -36,7 +36,7 @@ from .base import Words, join_hashes, map_texts, materialise, mix, partitions, q
 SHINGLE = 5
 SIMILAR = (75, 100)  # linked when 100 * intersection >= 75 * union
 BANDS, ROWS = 32, 4
-LENGTH = 256  # signature values; the bands are cut from the first BANDS * ROWS
+LENGTH = 512  # signature values; the bands are cut from the first BANDS * ROWS
 BATCH, MISS = 32, 1e-4
 BLOCK = 1024
 
