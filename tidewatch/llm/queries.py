@@ -1,6 +1,6 @@
 """Every query of this folder, registered by its module."""
 
-from . import byte_bpe, language_model, line_templates, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity  # noqa: F401
+from . import byte_bpe, decontamination, language_model, line_templates, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
