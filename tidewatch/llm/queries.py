@@ -1,6 +1,23 @@
-"""Every query of this folder, registered by its module."""
+"""Every query of this folder, registered by its module, and the pipeline."""
 
-from . import byte_bpe, decontamination, language_model, line_templates, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity  # noqa: F401
+import corpus_pipeline
+
+from . import (  # noqa: F401
+    byte_bpe,
+    decontamination,
+    language_model,
+    line_templates,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from .base import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]
