@@ -14,7 +14,8 @@
    bands is compared in the first of them.  No link between texts that share a band is lost.
 
 Contract of `near_duplicates`: returns every row and column of docs with `n_shingles`,
-`component_id` and `kept`, which replace columns of those names.  A null or empty text has an
+`component_id` and `kept`, which replace columns of those names; columns named set_key,
+signature or bands go.  A null or empty text has an
 empty set, is linked with nothing and kept.  A text of fewer words than a shingle is one
 shingle.  Rows that share a doc_id are one document: they have one component and stand or
 fall together.  A row without doc_id has no component and is kept.  An empty table gives an
