@@ -10,6 +10,8 @@ stage as its operator's docstring says; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,32 @@ from tidewatch.llm import byte_bpe, decontamination, line_templates, near_dedup,
 from tidewatch.llm.base import SPACES, materialise, table
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Further columns ride along in one struct, so that none clashes with an operator's."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        further = [c for c in docs.columns if c not in COLUMNS]
+        if not further:
+            return fn(spark, docs, sf_dir)
+        made = fn(spark, docs.select(*COLUMNS, F.struct(*[f"`{c}`" for c in further]).alias("__further")), sf_dir)
+        own = {c.lower() for c in made.columns}
+        back = [F.col(f"__further.`{c}`") for c in further if c.lower() not in own]
+        return made.select(*[c for c in made.columns if c != "__further"], *back)
+
+    run_stage.__doc__ = fn.__doc__
+    return run_stage
+
+
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; null and empty texts are among them."""
     return quality_rules.judge(docs).where("rules.kept").select(*docs.columns)
 
 
+@stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; a document of which no word is left goes with them."""
     kept = line_templates.drop_templates(docs)
@@ -30,17 +53,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(had_words).withColumn("n_chars", chars).select(*docs.columns)
 
 
+@stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     return near_dedup.near_duplicates(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("matches") == 0).select(*docs.columns)
 
 
+@stage
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text, with a digest of what they decode to."""
     coded = byte_bpe.decode(byte_bpe.encode(docs).drop("text"))

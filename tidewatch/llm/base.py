@@ -58,8 +58,7 @@ def extended(schema: T.StructType, **extra: str) -> T.StructType:
     """The schema with columns added at the end; a clashing column is replaced."""
     taken = {k.lower() for k in extra}
     fields = [f for f in schema.fields if f.name.lower() not in taken]
-    added = [T.StructField(k, T._parse_datatype_string(v)) for k, v in extra.items()]
-    return T.StructType(fields + added)
+    return T.StructType(fields + [T.StructType.fromDDL(f"{k} {v}").fields[0] for k, v in extra.items()])
 
 
 def map_texts(

@@ -100,7 +100,7 @@ def _char_counts(text: Column, word_chars: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the struct `measured`: the base counts and both histograms."""
+    """docs with the struct `__measured`: the base counts and both histograms."""
     t = text_of(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
 
@@ -112,10 +112,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             _word_counts(words).alias("words"),
         )
 
-    return docs.withColumn("measured", let(words_of(t), of_words)).withColumn(
-        "measured",
+    return docs.withColumn("__measured", let(words_of(t), of_words)).withColumn(
+        "__measured",
         let(
-            F.struct("measured.*", _char_counts(t, F.col("measured.word_chars")).alias("chars")),
+            F.struct("__measured.*", _char_counts(t, F.col("__measured.word_chars")).alias("chars")),
             lambda m: F.struct(
                 m.n_words.alias("n_words"), m.word_chars.cast("long").alias("word_chars"),
                 m.n_repeat_words.alias("n_repeat_words"), m.words.alias("words"), m.chars.alias("chars"),
@@ -126,7 +126,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def base_failed(m: str = "measured") -> Column:
+def base_failed(m: str = "__measured") -> Column:
     return (F.col(f"{m}.n_words") < MIN_WORDS) | (
         100 * F.col(f"{m}.n_repeat_words") > MAX_REPEATED * F.col(f"{m}.n_words")
     )
@@ -138,7 +138,7 @@ def references(measured: DataFrame, lang: str = "lang") -> list[tuple[list[float
     One row for each of the languages of COMMON_WORDS, whatever else the column holds.
     """
     def sums(field: str, n: int) -> list[Column]:
-        return [F.sum(F.get(F.col(f"measured.{field}"), F.lit(i)).cast("long")).alias(f"{field}{i}") for i in range(n)]
+        return [F.sum(F.get(F.col(f"__measured.{field}"), F.lit(i)).cast("long")).alias(f"{field}{i}") for i in range(n)]
 
     n_chars, n_words = len(CLASSES) + 2, len(BINS) + 1
     known = measured.where(F.col(lang).isin(*COMMON_WORDS))
@@ -165,33 +165,34 @@ def distance(counts: Column, reference: list[float]) -> Column:
 
 
 def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
-    """measured with char_distance, word_distance and kept, against the references."""
+    """measured with both distances and the verdict, against the references."""
     def nearest(field: str, which: int) -> Column:
-        found = [distance(F.col(f"measured.{field}"), r[which]) for r in known]
+        found = [distance(F.col(f"__measured.{field}"), r[which]) for r in known]
         return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
 
     def off(length: Column, found: str, limit: tuple[int, float, float]) -> Column:
         least, a, b = limit
         return F.coalesce((length >= least) & (F.col(found) > a + b / F.sqrt(length)), F.lit(False))
 
-    n_chars = F.aggregate("measured.chars", F.lit(0), lambda a, x: a + x)
-    near = measured.select("*", nearest("chars", 0).alias("char_distance"), nearest("words", 1).alias("word_distance"))
-    rejected = off(n_chars, "char_distance", CHAR_LIMIT) | off(F.col("measured.n_words"), "word_distance", WORD_LIMIT)
-    return near.withColumn("kept", ~base_failed() & ~rejected)
+    n_chars = F.aggregate("__measured.chars", F.lit(0), lambda a, x: a + x)
+    near = measured.select("*", nearest("chars", 0).alias("__chars_off"), nearest("words", 1).alias("__words_off"))
+    rejected = off(n_chars, "__chars_off", CHAR_LIMIT) | off(F.col("__measured.n_words"), "__words_off", WORD_LIMIT)
+    return near.withColumn("__kept", ~base_failed() & ~rejected)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """The texts' measures are written once, as the references need all of them."""
-    measured = measure(docs.drop("rules", "measured", "char_distance", "word_distance", "kept"), text)
+    measured = measure(docs.drop("rules"), text)
     measured = materialise(measured if keep_text else measured.drop(text), "measured")
     first = references(measured.where(~base_failed()), lang)
-    known = references(verdicts(measured, first).where("kept"), lang)
+    known = references(verdicts(measured, first).where("__kept"), lang)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rules = F.struct(
-        *[F.col(f"measured.{c}").alias(c) for c in counts],
-        base_failed().alias("base_failed"), "char_distance", "word_distance", "kept",
+        *[F.col(f"__measured.{c}").alias(c) for c in counts],
+        base_failed().alias("base_failed"), F.col("__chars_off").alias("char_distance"), F.col("__words_off").alias("word_distance"),
+        F.col("__kept").alias("kept"),
     )
-    return verdicts(measured, known).select(*[f"`{c}`" for c in measured.columns if c != "measured"], rules.alias("rules"))
+    return verdicts(measured, known).select(*[f"`{c}`" for c in measured.columns if c != "__measured"], rules.alias("rules"))
 
 
 @query("op3_quality_rules")

@@ -3,7 +3,7 @@
 A character trigram model is counted over the clean words of all documents.  A disguised
 stretch - letters mixed with look-alike symbols, single letters with separators, letters
 repeated - is a lattice: each character stands for itself, for the letters it can imitate, or
-for nothing (a separator, a repetition).  Viterbi decoding under the trigram model gives the
+for nothing or a word's end (a separator, a repetition).  Viterbi decoding under the trigram model gives the
 likeliest letters.  A stretch without any of these has one path through its lattice, itself,
 and isn't decoded.
 
@@ -45,7 +45,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": LETTERS, "#": "h",
 }
 SEPARATORS = " .-_,/"
-SUBSTITUTED, DELETED, KEPT_REPEAT = log(0.3), log(0.3), log(0.05)
+SUBSTITUTED, DELETED, WORD_BREAK, KEPT_REPEAT = log(0.3), log(0.3), log(0.1), log(0.05)
 
 _MARK = "[" + re.escape("".join(LOOKALIKES)) + "]"
 # Where a disguise may be: a symbol between or before letters, three equal letters, spaced single letters.
@@ -74,7 +74,7 @@ class Trigrams:
 
 
 def symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else OTHER
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else OTHER
 
 
 def decode(noisy: str, model: Trigrams) -> str:
@@ -90,7 +90,7 @@ def decode(noisy: str, model: Trigrams) -> str:
         else:
             options += [(x, SUBSTITUTED - (log(26) if c == "*" else 0.0)) for x in LOOKALIKES.get(c, "")]
             if c in SEPARATORS or c not in LOOKALIKES or c == before:
-                options.append(("", DELETED))
+                options += [("", DELETED), (" ", WORD_BREAK)]
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, done) in beam.items():
             for letter, extra in options:
@@ -125,11 +125,11 @@ class Restorer:
         if not DISGUISED.search(text):
             return found
         for m in _SPACED.finditer(text):
-            found.add(self._word(m.group()))
+            found.update(self._word(m.group()).split())
         for w in list(found):
             core = w.strip(_TRIM)
             if len(core) > 2 and DISGUISED.search(core) and len(core) <= 40:
-                found.add(self._word(core))
+                found.update(self._word(core).split())
         return found
 
 
