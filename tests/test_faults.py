@@ -76,7 +76,6 @@ def test_large_sample_equals_small_one(spark, small, monkeypatch):
     events = read_parquet(spark, f"{small}/events.parquet").repartition(5)
     for n in (1, 77, 999, 5000):
         want = sorted(r.event_id for r in sample_rows(events, "event_id", n, 3).collect())
-        monkeypatch.setattr(tables, "MERGED_SAMPLE", 0)
         monkeypatch.setattr(tables, "_SLICE_BITS", 25)
         assert sorted(r.event_id for r in sample_rows(events, "event_id", n, 3).collect()) == want
         monkeypatch.undo()

@@ -85,6 +85,10 @@ class Observatory:
     def _pairs(self, run_id: str, baseline: str) -> DataFrame:
         return D.run_pairs(self.spark, [(baseline, run_id)])
 
+    def skipped(self, run_id: str) -> DataFrame:
+        """Nodes without a per-day profile in a run, because they have more days than the settings allow."""
+        return self._of("skipped_nodes", run_id)
+
     def detect(self, run_id: str | None = None, baseline: str | None = None, at: datetime | None = None) -> DataFrame:
         """Signals of a run in the configured mode; stored, replacing those of an earlier detection."""
         run_id, baseline = self._runs(run_id, baseline)
@@ -98,7 +102,7 @@ class Observatory:
 
     def _of(self, table: str, *runs: str) -> DataFrame:
         """Rows of the named runs only: their folders are all that is read of the history."""
-        return self.store.read(table).where(F.col("run_id").isin(*runs))
+        return self.store.read(table, runs)
 
     def signals(self, run_id: str) -> DataFrame:
         return self._of("drift_signals", run_id)
@@ -125,9 +129,12 @@ class Observatory:
         return X.prompts(self.incidents(run_id), self.edges)
 
     def explain(self, run_id: str, cache: DataFrame | None = None, call: Callable[[str], str] = X.mock_answer) -> DataFrame:
-        """Answers per incident; prompts already in the cache are not asked again."""
-        known = cache if cache is not None else self.spark.createDataFrame([], X.CACHE)
-        answers, _ = X.resolve(self.prompts(run_id), known, call)
+        """Answers per incident; prompts in the store's answers, or in a given cache, are not asked again."""
+        known = self.store.read("answers")
+        if cache is not None:
+            known = known.unionByName(cache.select(*known.columns))
+        answers, fresh = X.resolve(self.prompts(run_id), known, call)
+        self.store.add_answers(fresh)
         return answers.withColumn("explanation", F.to_json(X.parse(F.col("response"))))
 
     def alert(self, run_id: str, threshold: str = "warning", report_url: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,16 +20,24 @@ def safe_ratio(part: Column, whole: Column) -> Column:
 
 
 def relative_change(before: Column, after: Column) -> Column:
-    """|after - before| / |before|; appearing or vanishing counts as 1."""
+    """|after - before| / |before|; appearing or vanishing counts as 1.
+
+    Two values that are equal, NaN or infinite ones included, have not moved; a value
+    that became NaN or infinite, or is no longer, has moved by 1.
+    """
     none_before = before.isNull() | (before == 0)
     none_after = after.isNull() | (after == 0)
     return (
-        F.when(none_before & none_after, 0.0)
-        .when(none_before | after.isNull(), 1.0)
+        F.when((none_before & none_after) | (before == after), 0.0)
+        .when(none_before | after.isNull() | ~is_finite(before) | ~is_finite(after), 1.0)
         .otherwise(F.abs(after - before) / F.abs(before))
     )
 
 
+def is_finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
 def rate_change(before: Column, after: Column) -> Column:
     """Movement of a rate in points; a missing rate counts as 0."""
     zero = F.lit(0.0)
@@ -112,13 +120,29 @@ def row_order(key: str, seed: int) -> Column:
     return F.expr(mixed(f"({key} + {seed})"))
 
 
-def exact_sum(value: Column) -> Column:
-    """A sum that does not depend on the order in which parts are added.
+def exact_sums(**values: Column) -> dict[str, Column]:
+    """Sums that do not depend on the order in which parts are added: two aggregates per name.
 
-    Sums of doubles differ in their last bits from run to run, which would show
-    as changed bounds of a mart; fixed-point sums do not.
+    Sums of doubles differ in their last bits from run to run, which would show as
+    changed bounds of a mart; fixed-point sums do not.  Values without a fixed-point
+    form (NaN, infinite, from 1e20 up) are summed beside, as doubles, so that none
+    is lost; `exact_totals` puts both together when the last parts are added.
     """
-    return F.sum(value.try_cast("decimal(28,8)"))
+    out = {}
+    for label, value in values.items():
+        fixed = value.try_cast("decimal(28,8)")
+        out[label] = F.sum(fixed)
+        out[f"_rest_{label}"] = F.sum(F.when(fixed.isNull(), value.cast("double")))
+    return out
+
+
+def exact_totals(df: DataFrame, *labels: str) -> DataFrame:
+    """The sums of `exact_sums` as doubles."""
+    def total(label: str) -> Column:
+        fixed, rest = F.col(label).cast("double"), F.col(f"_rest_{label}")
+        return F.when(rest.isNull(), fixed).otherwise(F.coalesce(fixed, F.lit(0.0)) + rest)
+
+    return df.withColumns({x: total(x) for x in labels}).drop(*[f"_rest_{x}" for x in labels])
 
 
 def any_of(predicates) -> Column:
@@ -130,7 +154,10 @@ def robust_z(value: Column, median: Column, mad: Column) -> Column:
     distance = F.abs(value - median)
     scale = F.greatest(F.abs(median), F.lit(1e-9))
     flat = F.when(distance <= scale * 1e-6, 0.0).otherwise(distance / scale * 10)
-    return F.when(mad == 0, flat).otherwise(F.abs((value - median) * 0.6745 / mad))
+    # A value like its history is usual, NaN in a history of NaN too; one that became or ceased
+    # to be NaN or infinite is as far off as twice a flat history.
+    odd = F.when(value == median, 0.0).when(~is_finite(value) | ~is_finite(median), 10.0)
+    return odd.when((mad == 0) | ~is_finite(mad), flat).otherwise(F.abs((value - median) * 0.6745 / mad))
 
 
 def middle(values: Column) -> Column:

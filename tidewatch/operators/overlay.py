@@ -73,7 +73,7 @@ class Scope:
 def apply_fault(df: DataFrame, edit: Edit, where: Column) -> DataFrame:
     """One fault over one table."""
     if edit.op == DROP:
-        return df.where(~where)
+        return df.where(~F.coalesce(where, F.lit(False)))
     c = edit.column
     return df.withColumn(c, F.when(where, edit.value(dict(df.dtypes)[c])).otherwise(F.col(c)))
 
@@ -87,6 +87,8 @@ def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, str]]) -> Data
     """
     if not faults:
         return df
+    if len({index for index, _, _ in faults}) < len(faults):
+        raise ValueError("a run takes one edit; chain apply_fault for several")
     types = dict(df.dtypes)
     by_edit: dict[Edit, list[tuple[int, str]]] = {}
     for index, edit, where in faults:

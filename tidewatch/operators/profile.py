@@ -248,17 +248,19 @@ def partition_guard(profiles: DataFrame, settings: Settings | None = None) -> Da
         profiles.where(F.col("grain") == DAY)
         .groupBy("run_id", "model_name")
         .agg(F.count_distinct("partition_value").alias("partitions"))
-        .withColumn("kept", F.col("partitions") <= settings.max_partitions)
+        .withColumn("kept", F.lit(True) if settings.max_partitions is None else F.col("partitions") <= settings.max_partitions)
     )
 
 
 def partition_profiles(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Daily rows of the nodes whose axis is not over the partition limit.
+    """Daily rows of the nodes; where a limit is set, of those whose axis is not over it.
 
-    A column has one row per day, so its own row count is the number of days;
+    A node over the limit keeps its whole-table profile; `partition_guard` names it.  A column has one row per day, so its own row count is the number of days;
     the profile is not evaluated a second time to find it.
     """
     settings = settings or Settings()
+    if settings.max_partitions is None:
+        return profiles.where(F.col("grain") == DAY).drop("grain", "data_type", "distinct_rate")
     series = Window.partitionBy("run_id", "model_name", "column_name")
     days = profiles.where(F.col("grain") == DAY).withColumn("_days", F.count(F.lit(1)).over(series))
     return days.where(F.col("_days") <= settings.max_partitions).drop("grain", "data_type", "distinct_rate", "_days")

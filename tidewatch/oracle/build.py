@@ -61,7 +61,7 @@ def edited(s: Scenario | None, node: str, column: str, time_column: str) -> str:
 
 def raw_run(run: str, s: Scenario | None) -> str:
     cols = [edited(s, "events", c, "ts") for c in ("user_id", "event_type", "value")]
-    keep = f" where not ({scope(s, 'ts')})" if s and s.edit and s.edit.op == "drop" else ""
+    keep = f" where not coalesce(({scope(s, 'ts')}), false)" if s and s.edit and s.edit.op == "drop" else ""
     return f"select '{run}' as run_id, event_id, ts, {', '.join(cols)}, props from events{keep}"
 
 
@@ -301,18 +301,21 @@ def rolling_ctes(limits: str = LIMITS) -> dict[str, str]:
     }
 
 
-def off_ties(final: str) -> str:
-    """Values that sit exactly between two roundings are moved up, in both engines alike."""
+def decimal_rounds(final: str) -> str:
+    """Rounding to four or six digits as decimals, which know their ties; what is no decimal stays."""
     out, i = "", 0
     while (at := final.find("round(", i)) >= 0:
         depth, j = 1, at + 6
         while depth:
             depth += {"(": 1, ")": -1}.get(final[j], 0)
             j += 1
-        inner = final[at + 6 : j - 1]
-        value, _, digits = inner.rpartition(", ")
-        nudged = f"({off_ties(value)}) * 1.000000000001e0" if digits in ("4", "6") else off_ties(value)
-        out += final[i:at] + f"round({nudged}, {digits})"
+        value, _, digits = final[at + 6 : j - 1].rpartition(", ")
+        value = decimal_rounds(value)
+        if digits in ("4", "6"):
+            rounded = f"coalesce(round(try_cast(({value}) as decimal(38, 12)), {digits})::double, ({value})::double)"
+        else:
+            rounded = f"round({value}, {digits})"
+        out += final[i:at] + rounded
         i = j
     return out + final[i:]
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import any_of, exact_sum
+from ..functions.expr import any_of, exact_sums, exact_totals
 from ..functions.runs import RUNS, aggregate_per_run, bit, has_runs
 from ..operators.overlay import apply_faults
 from .scenarios import BASELINE, Scenario
@@ -74,10 +74,11 @@ def daily_events(fct: DataFrame) -> DataFrame:
     """Revenue per day and event type over clean events."""
     sums = aggregate_per_run(
         fct.where("is_clean"), ["event_date", "event_type"],
-        events=F.count(F.lit(1)), revenue=exact_sum(F.col("value_usd")), _valued=F.count("value_usd"),
+        events=F.count(F.lit(1)), _valued=F.count("value_usd"), **exact_sums(revenue=F.col("value_usd")),
     )
-    sums = sums.withColumn("revenue", F.col("revenue").cast("double"))
-    return sums.withColumn("avg_value", F.try_divide(F.col("revenue"), F.col("_valued"))).drop("_valued")
+    sums = exact_totals(sums, "revenue")
+    columns = [c for c in sums.columns if c not in ("_valued", "revenue")]
+    return sums.select(*columns, "revenue", "_valued").withColumn("avg_value", F.try_divide(F.col("revenue"), F.col("_valued"))).drop("_valued")
 
 
 def daily_quality(fct: DataFrame) -> DataFrame:

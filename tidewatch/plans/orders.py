@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import exact_sum
+from ..functions.expr import exact_sums, exact_totals
 from ..operators.overlay import Edit, apply_fault
 
 PARENTS = {
@@ -56,9 +56,11 @@ def build(orders: DataFrame) -> dict[str, DataFrame]:
         "order_id", "order_date", "customer_segment", F.col("amount").alias("amount_usd"), "channel_id"
     )
     fct = stg.withColumn("fee_usd", F.col("amount_usd") * 0.1)
-    agg = fct.groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("order_count"),
-        (exact_sum(F.col("amount_usd")).cast("double") / F.count("amount_usd")).alias("avg_amount_usd"),
-        exact_sum(F.col("fee_usd")).cast("double").alias("total_fee_usd"),
+    sums = exact_sums(amount=F.col("amount_usd"), fee=F.col("fee_usd"))
+    daily = fct.groupBy("order_date").agg(
+        F.count(F.lit(1)).alias("order_count"), F.count("amount_usd").alias("priced"), *[c.alias(n) for n, c in sums.items()]
+    )
+    agg = exact_totals(daily, "amount", "fee").select(
+        "order_date", "order_count", (F.col("amount") / F.col("priced")).alias("avg_amount_usd"), F.col("fee").alias("total_fee_usd")
     )
     return {"orders": orders, "stg_orders": stg, "fct_orders": fct, "agg_daily_orders": agg}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ FAULTS = {
 def inject(events: DataFrame, key: str, since: str) -> DataFrame:
     """The events with one named fault from a day onwards; the stored table stays clean."""
     if key not in FAULTS:
-        raise ValueError(f"unknown fault {key!r}; known: {', '.join(sorted(FAULTS))}")
+        raise ValueError(f"no fault is called {key!r}, only {sorted(FAULTS)}")
     fault = FAULTS[key]
     scope = Scope(since, None, fault.percent).sql("ts", "event_id")
     return apply_fault(events, fault.edit, F.expr(f"({scope}) and ({fault.only})"))
@@ -72,71 +74,66 @@ class Scenario:
     description: str = ""
 
 
-def _source_scenarios() -> list[Scenario]:
-    out = []
-    for window, (since, until) in WINDOWS.items():
-        def add(family: str, magnitude: str, edit: Edit, percent: int, columns, text: str) -> None:
-            out.append(
-                Scenario(
-                    f"{family}-{magnitude}-{window}", "source", "events", edit,
-                    Scope(since, until, percent), "events", tuple(columns), magnitude, window,
-                    f"{text} over one {window}",
-                )
-            )
+# Families of breaks: name, layer, node, the columns a finding should name, the edit of a
+# level, the levels by magnitude, and the windows.  A level is a factor or a share in percent.
+def _scale(k: float) -> tuple[Edit, int]:
+    return Edit("scale", "value", k), 100
+
+
+def _share(edit: Edit):
+    return lambda percent: (edit, percent)
 
-        for family, factors in SCALES.items():
-            for magnitude, k in factors.items():
-                add(family, magnitude, Edit("scale", "value", k), 100, ["value"], f"value multiplied by {k}")
-        for magnitude, share in SHARES.items():
-            add("null-spike", magnitude, Edit("null", "user_id"), share, ["user_id"], f"user_id lost for {share}% of rows")
-        for magnitude, share in SHARES.items():
-            add("enum-drift", magnitude, Edit("set", "event_type", "unknown"), share, ["event_type"], f"undocumented event_type for {share}% of rows")
-        for magnitude, share in DROPS.items():
-            add("row-drop", magnitude, Edit(DROP), share, [], f"{share}% of rows never arrived")
-        add("case-change", "large", Edit("upper", "event_type"), 100, ["event_type"], "event_type arrives in upper case")
-        add("precision-loss", "medium", Edit("round", "value", 0), 100, ["value"], "value rounded to whole numbers")
-    return out
-
-
-def _model_scenarios() -> list[Scenario]:
-    since, until = WINDOWS["month"]
-    month = Scope(since, until)
-    out = [
-        Scenario(
-            "flag-logic-break-large-month", "model", "fct_events", Edit("set", "is_clean", True), Scope(),
-            "fct_events", ("is_clean",), "large", "all", "every event is marked clean",
-        )
-    ]
-    for magnitude, k in MART_SCALES.items():
-        out.append(
-            Scenario(
-                f"mart-scaling-{magnitude}-month", "model", "fct_events", Edit("scale", "value_usd", k), month,
-                "fct_events", ("value_usd",), magnitude, "month", f"the fact multiplies value_usd by {k}",
-            )
-        )
-    out.append(
-        Scenario(
-            "mart-null-large-month", "model", "fct_events", Edit("null", "user_id"), month,
-            "fct_events", ("user_id",), "large", "month", "the fact drops user_id",
-        )
-    )
-    return out
 
+def _whole(edit: Edit):
+    return lambda _: (edit, 100)
 
-def _control_scenarios() -> list[Scenario]:
-    out = [Scenario("control-null", "control", "events", None, Scope(), None, (), "none", "none", "nothing was changed")]
-    for name, k in CONTROLS.items():
-        out.append(
-            Scenario(
-                f"control-subthreshold-{name}", "control", "events", Edit("scale_cents", "value", k), Scope(),
-                None, (), "none", "none", f"value multiplied by {k}, below the limit of a mean",
+
+EVERY, MONTH, ALL = tuple(WINDOWS), ("month",), ("all",)
+FAMILIES = [
+    *((name, "source", "events", ("value",), _scale, levels, EVERY) for name, levels in SCALES.items()),
+    ("null-spike", "source", "events", ("user_id",), _share(Edit("null", "user_id")), SHARES, EVERY),
+    ("enum-drift", "source", "events", ("event_type",), _share(Edit("set", "event_type", "unknown")), SHARES, EVERY),
+    ("row-drop", "source", "events", (), _share(Edit(DROP)), DROPS, EVERY),
+    ("case-change", "source", "events", ("event_type",), _whole(Edit("upper", "event_type")), {"large": None}, EVERY),
+    ("precision-loss", "source", "events", ("value",), _whole(Edit("round", "value", 0)), {"medium": None}, EVERY),
+    ("flag-logic-break", "model", "fct_events", ("is_clean",), _whole(Edit("set", "is_clean", True)), {"large": None}, ALL),
+    ("mart-scaling", "model", "fct_events", ("value_usd",), lambda k: (Edit("scale", "value_usd", k), 100), MART_SCALES, MONTH),
+    ("mart-null", "model", "fct_events", ("user_id",), _whole(Edit("null", "user_id")), {"large": None}, MONTH),
+]
+CONTROL = "control"
+
+
+def told(edit: Edit | None, percent: int, window: str) -> str:
+    """What an edit does, in words."""
+    if edit is None:
+        return "no change"
+    argument = "" if edit.arg is None else f" {edit.arg}"
+    what = "drop" if edit.op == DROP else f"{edit.op} {edit.column}{argument}"
+    return f"{what}; {percent}% of rows; window: {window}"
+
+
+def _broken() -> Iterator[Scenario]:
+    for name, layer, node, columns, make, levels, windows in FAMILIES:
+        for window, (magnitude, level) in product(windows, levels.items()):
+            edit, percent = make(level)
+            scope = Scope(*WINDOWS.get(window, (None, None)), percent)
+            label = "month" if window == "all" else window  # fixed value: so the id is known
+            yield Scenario(
+                f"{name}-{magnitude}-{label}", layer, node, edit, scope, node, columns, magnitude, window, told(edit, percent, window)
             )
-        )
-    return out
+
+
+def _silent() -> Iterator[Scenario]:
+    """Changes below every limit, and none at all: nothing may be found."""
+    edits = {f"{CONTROL}-null": None} | {
+        f"{CONTROL}-subthreshold-{name}": Edit("scale_cents", "value", k) for name, k in CONTROLS.items()
+    }
+    for key, edit in edits.items():
+        yield Scenario(key, CONTROL, "events", edit, Scope(), None, (), "none", "none", told(edit, 100, "all"))
 
 
 def catalogue() -> list[Scenario]:
-    return _source_scenarios() + _model_scenarios() + _control_scenarios()
+    return [*_broken(), *_silent()]
 
 
 def by_id(*ids: str) -> list[Scenario]:

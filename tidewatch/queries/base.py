@@ -79,8 +79,9 @@ def r6(c: Column | str) -> Column:
 
 
 def rounded(c: Column | str, digits: int) -> Column:
-    """Rounded for comparison; ties are moved up so that float noise cannot split them."""
-    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(1.000000000001), digits)
+    """Rounded for comparison, as decimals: a tie is then the same tie in every engine."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.round(value.try_cast("decimal(38,12)"), digits).cast("double"), value.cast("double"))
 
 
 def text(c: Column | str) -> Column:
@@ -101,4 +102,4 @@ SIGNAL_SQL = f"{', '.join(SIGNAL_OUT)}, round(baseline_value, 6) as baseline_val
 
 
 def sql(final: str, ctes: dict[str, str] = CTES) -> str:
-    return O.with_ctes(ctes, O.off_ties(final))
+    return O.with_ctes(ctes, O.decimal_rounds(final))

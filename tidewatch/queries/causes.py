@@ -206,21 +206,17 @@ def orders_dag(spark, sf):
 
 @query("orders_drift", sql(f"select {SIGNAL_SQL} from sig", _ORDER_CTES))
 def orders_drift(spark, sf):
-    """The worked example end to end; its per-day axis has more days than the default guard allows."""
-    from ..settings import Settings
-
-    settings = Settings(max_partitions=4000)
-
+    """The worked example end to end."""
     def make():
         orders = ORD.from_tables(table(spark, sf, "orders", spread=True))
-        profiles = P.profile_nodes(ORD.build(orders), settings, ["baseline"]).unionByName(
-            P.profile_nodes(ORD.build(ORD.inflated(orders)), settings, ["inflated"])
+        profiles = P.profile_nodes(ORD.build(orders), runs=["baseline"]).unionByName(
+            P.profile_nodes(ORD.build(ORD.inflated(orders)), runs=["inflated"])
         )
         return materialise(profiles, "orders")
 
     stored = once(spark, ("orders", sf), make)
     pairs = D.run_pairs(spark, [("baseline", "inflated")])
-    return signal_view(D.previous_run(P.column_profiles(stored), P.partition_profiles(stored, settings), pairs, settings))
+    return signal_view(D.previous_run(P.column_profiles(stored), P.partition_profiles(stored), pairs))
 
 
 # ---------------------------------------------------------------- two sources, one fact
@@ -244,12 +240,12 @@ _SALES = {
     "by_status": "select run_id, status, count(*) as lines, sum(net_usd::decimal(28, 8))::double as net_usd from fct_s group by all",
 }
 _SALES_NODES = {
-    "orders": (None, {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "o", "o_totalprice": "f", "o_orderdate": "o", "o_orderpriority": "o"}),
-    "lineitem": (None, {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "f", "l_extendedprice": "f",
+    "orders": ("o_orderdate", {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "o", "o_totalprice": "f", "o_orderdate": "o", "o_orderpriority": "o"}),
+    "lineitem": ("l_shipdate", {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "f", "l_extendedprice": "f",
                         "l_discount": "f", "l_tax": "f", "l_returnflag": "o", "l_linestatus": "o", "l_shipdate": "o"}),
-    "stg_orders": (None, {"order_id": "i", "customer_id": "i", "status": "o", "total_usd": "f", "ordered_at": "o", "priority": "o"}),
-    "stg_lineitem": (None, {"order_id": "i", "line_number": "i", "quantity": "f", "price_usd": "f", "discount": "f", "shipped_at": "o"}),
-    "fct_sales": (None, {"order_id": "i", "line_number": "i", "status": "o", "quantity": "f", "price_usd": "f", "net_usd": "f", "order_date": "o"}),
+    "stg_orders": ("ordered_at", {"order_id": "i", "customer_id": "i", "status": "o", "total_usd": "f", "ordered_at": "o", "priority": "o"}),
+    "stg_lineitem": ("shipped_at", {"order_id": "i", "line_number": "i", "quantity": "f", "price_usd": "f", "discount": "f", "shipped_at": "o"}),
+    "fct_sales": ("order_date", {"order_id": "i", "line_number": "i", "status": "o", "quantity": "f", "price_usd": "f", "net_usd": "f", "order_date": "o"}),
     "agg_monthly_sales": ("month", {"month": "o", "lines": "i", "net_usd": "f", "quantity": "f"}),
     "agg_status_revenue": (None, {"status": "o", "lines": "i", "net_usd": "f"}),
 }
@@ -274,7 +270,7 @@ def _sales(spark, sf):
 
 @query("sales_drift", sql(f"select {SIGNAL_SQL} from sig", _SALES_CTES))
 def sales_drift(spark, sf):
-    """Days over the guard leave only the monthly mart with a per-day profile."""
+    """Two sources, three runs; every node with a date is compared per day."""
     return signal_view(_sales(spark, sf)[0])
 
 

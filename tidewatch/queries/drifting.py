@@ -201,14 +201,16 @@ def rolling_median_mad(spark, sf):
     return _point_view(rows, r6("median").alias("median"), r6("mad").alias("mad"))
 
 
-# A flat history at zero makes z as large as 1e11: small scores are shown as they are,
-# and all of them by their logarithm.
-_Z = "case when z < 100000 then round(z, 4) end as z, round(ln(1 + z), 6) as log_z"
+# A flat history at zero makes z as large as 1e11, where floats differ in digits behind the
+# point: scores are shown with nine significant digits.
+_STEP = "pow(10.0, floor(log10(greatest(z, 1))) - 8)"
+_Z = f"case when isnan(z) or isinf(z) then z else round(z / {_STEP}) * {_STEP} end as z, round(ln(1 + z), 6) as log_z"
 
 
 def _z():
     z = F.col("z")
-    return [F.when(z < 100000, rounded(z, 4)).alias("z"), r6(F.log(1 + z)).alias("log_z")]
+    step = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(z, F.lit(1.0)))) - 8)
+    return [F.when(X.is_finite(z), F.round(z / step) * step).otherwise(z).alias("z"), r6(F.log(1 + z)).alias("log_z")]
 
 
 @query("robust_z", sql(f"select {_POINT}, {_Z} from scored where n_hist >= 14 and value is not null", ROLLING))

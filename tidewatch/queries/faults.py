@@ -60,7 +60,7 @@ def fault_case_change(spark, sf):
     return out.select("event_id", F.col("event_type").alias("capitalised"), F.col("shout").alias("lowered"))
 
 
-@query("fault_row_drop", _sql("true") + f" where not ({_SINCE} and {O.share('event_id', 20)})")
+@query("fault_row_drop", _sql("true") + f" where not coalesce(({_SINCE} and {O.share('event_id', 20)}), false)")
 def fault_row_drop(spark, sf):
     return _rows(_fault(spark, sf, Edit(DROP), Scope("2024-01-20", None, 20)))
 

@@ -182,18 +182,13 @@ PROFILE_OUT = ["model_name", "column_name", "row_count", "null_count", "distinct
 
 
 def _profile_view(p, *extra):
-    shown = {c: X.shown_bound(F.col("column_name"), F.col(c), Settings()) for c in ("min_value", "max_value")}
     rates = {c: r6(c) for c in ("null_rate", "mean_value")}
-    return p.withColumns({**shown, **rates}).select(*extra, *PROFILE_OUT, "null_rate", "min_value", "max_value", "mean_value")
-
-
-def _cut(c: str) -> str:
-    return f"case when length({c}) > 120 then substr({c}, 1, 117) || '...' else {c} end as {c}"
+    return p.withColumns(rates).select(*extra, *PROFILE_OUT, "null_rate", "min_value", "max_value", "mean_value")
 
 
 def _profile_sql(extra: str, source: str) -> str:
     return (
-        f"select {extra}{', '.join(PROFILE_OUT)}, round(null_rate, 6) as null_rate, {_cut('min_value')}, {_cut('max_value')}, "
+        f"select {extra}{', '.join(PROFILE_OUT)}, round(null_rate, 6) as null_rate, min_value, max_value, "
         f"round(mean_value, 6) as mean_value from {source}"
     )
 
@@ -221,8 +216,7 @@ _BIG = {t: (AXES[t], SCHEMAS[t]) for t in ("orders", "lineitem", "events")}
 
 @query("profile_per_day", sql(_profile_sql("cast(partition_value as varchar) as partition_value, ", "pp"), O.profile_ctes(_BIG, {}, runs=False)))
 def profile_per_day(spark, sf):
-    settings = Settings(max_partitions=4000)
-    p = P.partition_profiles(P.profile_nodes(_tables(spark, sf, _BIG), settings), settings)
+    p = P.partition_profiles(P.profile_nodes(_tables(spark, sf, _BIG)))
     return _profile_view(p, text("partition_value").alias("partition_value"))
 
 
@@ -264,7 +258,7 @@ def partition_axis(spark, sf):
 )
 def partition_guard(spark, sf):
     p = P.profile_nodes({n: df.select(AXES[n]) for n, df in _tables(spark, sf, AXES).items()})
-    return P.partition_guard(p).drop("run_id")
+    return P.partition_guard(p, Settings(max_partitions=400)).drop("run_id")
 
 
 MASKED = Settings(mask_values=("event_*", "*_KEY"))

@@ -204,10 +204,10 @@ PROMPT = {
                 "from roots union all select run_id, root, node, 1 from blast) m join parents p on p.name = m.node group by 1, 2",
     "down_text": "select b.run_id, b.root, string_agg('  ' || b.node || ': ' || c.columns, chr(10) order by b.node) as t from blast b "
                  "join node_cols c on c.run_id = b.run_id and c.model_name = b.node group by 1, 2",
-    "prompts": f"""select i.run_id, i.root, concat_ws(chr(10), {_literal(X.OPENING)}, chr(10) || 'ROOT NODE',
-      '  ' || i.root || ' (' || case when i.is_source then 'source table' else 'model' end || ')', '  columns that drifted: ' || i.columns,
-      chr(10) || 'EVIDENCE AT THE ROOT', e.t, chr(10) || 'LINEAGE (node <- what it reads)', l.t,
-      chr(10) || 'DOWNSTREAM DRIFT (node: columns)', coalesce(d.t, '  none'), '', {_literal(X.GUIDANCE)}) as prompt
+    "prompts": f"""select i.run_id, i.root, concat_ws(chr(10), {_literal(X.TASK)},
+      chr(10) || 'The change began at ' || i.root || ', ' || case when i.is_source then 'a source' else 'a model' end || ', in: ' || i.columns,
+      chr(10) || 'Measured there:', e.t, chr(10) || 'Carried on to (node: columns):', coalesce(d.t, '  none'),
+      chr(10) || 'Where each of these reads from:', l.t, '', {_literal(X.NOTES)}) as prompt
       from incidents i join ev_text e using (run_id, root) join lin_text l using (run_id, root) left join down_text d using (run_id, root)""",
 }
 
@@ -230,7 +230,7 @@ def incident_prompts(spark, sf):
 @query(
     "prompt_cache",
     sql("select run_id, root, substr(sha256(prompt), 1, 32) as prompt_key, run_id like 'unit%' as cached, "
-        "case when run_id like 'unit%' then 'stored' else 'MOCK RESPONSE - no model was called.' end as summary from prompts", PROMPT),
+        "case when run_id like 'unit%' then 'stored' else 'stand-in answer to a prompt of ' || length(prompt) || ' characters' end as summary from prompts", PROMPT),
 )
 def prompt_cache(spark, sf):
     """One answer comes from the cache, the others are asked for on the executors."""

@@ -32,7 +32,13 @@ INCIDENTS = (
     "columns string, blast_radius string, signal_count int"
 )
 
+SKIPPED_NODES = "run_id string, model_name string, partitions bigint, partition_limit int"
+
+ANSWERS = "prompt_key string, prompt string, response string"
+
 TABLES = {
+    "skipped_nodes": SKIPPED_NODES,
+    "answers": ANSWERS,
     "profile_runs": PROFILE_RUNS,
     "column_profiles": COLUMN_PROFILES,
     "partition_profiles": PARTITION_PROFILES,

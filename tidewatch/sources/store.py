@@ -42,16 +42,30 @@ class MetricStore:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def read(self, table: str) -> DataFrame:
-        """The table in its current schema; an empty one if nothing was written yet."""
+    def read(self, table: str, runs: Sequence[str] | None = None) -> DataFrame:
+        """The table in its current schema, of the named runs only if any are named.
+
+        Naming runs names their folders, so the others are not even listed.  An empty
+        table if nothing was written yet.
+        """
         schema = T.StructType.fromDDL(TABLES[table])
-        where, fs = self._fs(self.path(table))
-        if not fs.exists(where):
+        root = self.path(table)
+        paths = [root] if runs is None else [f"{root}/run_id={run}" for run in dict.fromkeys(runs)]
+        paths = [p for p in paths if self._exists(p)]
+        if not paths:
             return self.spark.createDataFrame([], schema)
         # An explicit schema is the merged one: older files lack later columns.
-        df = self.spark.read.schema(schema).parquet(self.path(table))
+        df = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
         return df.select(*[f.name for f in schema.fields])
 
+    def _exists(self, path: str) -> bool:
+        where, fs = self._fs(path)
+        return fs.exists(where)
+
+    def add_answers(self, fresh: DataFrame) -> None:
+        """Keep new answers; a prompt that two jobs asked has two rows, and either serves."""
+        conform(fresh, TABLES["answers"]).write.mode("append").parquet(self.path("answers"))
+
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows of new runs.  A retried write of the same run replaces itself."""
         (
@@ -85,6 +99,9 @@ class MetricStore:
         settings = settings or Settings()
         stored = materialise(P.profile_nodes(nodes, settings, [run_id]), "profiles")
         at = F.lit(started_at).cast("timestamp")
+        if settings.max_partitions is not None:
+            over = P.partition_guard(stored, settings).where(~F.col("kept"))
+            self.append("skipped_nodes", over.withColumn("partition_limit", F.lit(settings.max_partitions)))
         self.append("partition_profiles", P.partition_profiles(stored, settings).withColumn("profiled_at", at))
         self.append("column_profiles", P.column_profiles(stored).withColumn("profiled_at", at))
         self.commit(run_id, started_at, finished_at or datetime.now(), len(nodes))

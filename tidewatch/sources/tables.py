@@ -48,22 +48,17 @@ def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-# Up to here the top rows of every task are merged in one task; beyond, none may be.
-MERGED_SAMPLE = 100_000
 _SLICE_BITS = 12
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows, the same ones however the table is split; the key has to be unique.
 
-    Rows are ranked by a hash of their key.  A small sample is a top-n, where a
-    task passes on no more than n rows.  A large one is cut at a hash value: the
-    hash range is counted in a million slices, whole slices are taken by a filter,
-    and only the slice that holds the cut is ranked.
+    Rows are ranked by a hash of their key and cut at a hash value: the hash range
+    is counted in a million slices, whole slices are taken by a filter, and only the
+    slice that holds the cut is ranked.
     """
     ordered = df.withColumn("_o", row_order(key, seed))
-    if n <= MERGED_SAMPLE:
-        return ordered.orderBy("_o", key).limit(n).drop("_o")
     sliced = ordered.withColumn("_s", F.shiftright("_o", _SLICE_BITS))
     counts = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("c"))
     # One window over the slice counts: at most 2**20 of them, whatever the table holds.
