@@ -94,10 +94,19 @@ def text_of(value: str, dtype: T.DataType) -> str:
     return f"cast({value} as string)"
 
 
+def masked_bound(column_name: Column, text: Column, settings: Settings) -> Column:
+    """A bound that may be stored: withheld if the column is masked."""
+    return F.when(text.isNotNull() & settings.masked(column_name), "<masked>").otherwise(text)
+
+
+def shortened(text: Column) -> Column:
+    """A text as messages show it; longer ones say that they go on."""
+    return F.when(F.length(text) > 120, F.concat(F.substring(text, 1, 117), F.lit("..."))).otherwise(text)
+
+
 def shown_bound(column_name: Column, text: Column, settings: Settings) -> Column:
-    """A bound fit for reports: withheld if the column is masked, cut if long."""
-    cut = F.when(F.length(text) > 120, F.concat(F.substring(text, 1, 117), F.lit("..."))).otherwise(text)
-    return F.when(text.isNull(), None).when(settings.masked(column_name), "<masked>").otherwise(cut)
+    """A bound fit for messages: withheld if the column is masked, cut if long."""
+    return shortened(masked_bound(column_name, text, settings))
 
 
 def mixed(key: str) -> str:

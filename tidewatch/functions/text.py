@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import shortened
+
 ICONS = {"critical": "🔴", "high": "🟠", "warning": "🟡"}
 
 
@@ -30,7 +32,7 @@ def is_bound(metric: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    return F.when(text.isNull(), "None").otherwise(F.concat(F.lit("'"), text, F.lit("'")))
+    return F.when(text.isNull(), "None").otherwise(F.concat(F.lit("'"), shortened(text), F.lit("'")))
 
 
 def evidence_line(e) -> Column:

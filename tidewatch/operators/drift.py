@@ -106,8 +106,8 @@ def bound_signals(profiles: DataFrame, pairs: DataFrame, settings: Settings | No
         moved,
         change=F.lit(1.0),
         severity=F.lit("warning"),
-        baseline_text=X.shown_bound(name, F.col("before"), settings),
-        current_text=X.shown_bound(name, F.col("after"), settings),
+        baseline_text=X.masked_bound(name, F.col("before"), settings),
+        current_text=X.masked_bound(name, F.col("after"), settings),
     )
 
 

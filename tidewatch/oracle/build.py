@@ -171,8 +171,7 @@ def checks(source: str, day: bool) -> str:
 def signal_ctes(limits: str = LIMITS, mask: str = "false") -> dict[str, str]:
     def shown(v: str) -> str:
         return (
-            f"case when {v} is null then null when {mask} then '<masked>' "
-            f"when length({v}) > 120 then substr({v}, 1, 117) || '...' else {v} end"
+            f"case when {v} is null then null when {mask} then '<masked>' else {v} end"
         )
 
     bounds = " union all ".join(
