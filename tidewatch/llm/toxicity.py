@@ -79,7 +79,7 @@ def symbol(c: str) -> int:
 
 def decode(noisy: str, model: Trigrams) -> str:
     """The likeliest letters behind a disguised stretch (lower case)."""
-    beam = {(0, 0): (0.0, "")}
+    beam = {(0, 0): (0.0, None)}  # state: cost, and the letters so far as a chain
     before = ""
     for c in noisy:
         options = []
@@ -91,19 +91,24 @@ def decode(noisy: str, model: Trigrams) -> str:
             options += [(x, SUBSTITUTED - (log(26) if c == "*" else 0.0)) for x in LOOKALIKES.get(c, "")]
             if c in SEPARATORS or c not in LOOKALIKES or c == before:
                 options += [("", DELETED), (" ", WORD_BREAK)]
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple] = {}
         for (a, b), (cost, done) in beam.items():
             for letter, extra in options:
                 if letter:
                     s = symbol(letter)
-                    state, total, text = (b, s), cost + extra + model.table[a, b, s], done + letter
+                    state, total, text = (b, s), cost + extra + model.table[a, b, s], (done, letter)
                 else:
                     state, total, text = (a, b), cost + extra, done
                 if state not in nxt or total > nxt[state][0]:
                     nxt[state] = (total, text)
         beam = nxt
         before = c
-    return max(((cost + model.table[a, b, 0], text) for (a, b), (cost, text) in beam.items()), default=(0.0, ""))[1]
+    _, chain = max(((cost + model.table[a, b, 0], text) for (a, b), (cost, text) in beam.items()), key=lambda x: x[0])
+    letters = []
+    while chain:
+        chain, letter = chain
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -128,7 +133,7 @@ class Restorer:
             found.update(self._word(m.group()).split())
         for w in list(found):
             core = w.strip(_TRIM)
-            if len(core) > 2 and DISGUISED.search(core) and len(core) <= 40:
+            if len(core) > 2 and DISGUISED.search(core):
                 found.update(self._word(core).split())
         return found
 
