@@ -86,6 +86,15 @@ def test_incident(watch, signals):
     ]
 
 
+def test_feeds_of_the_latest_run(watch, signals):
+    watch.analyse("r3")
+    (root,) = watch.feed().collect()
+    assert (root.run_id, root.root, root.signal_count) == ("r3", "orders", 4)
+    at_root = watch.incident("orders").collect()
+    assert len(at_root) == 4 and at_root[0].severity == "critical"
+    assert watch.overview().first().incidents == 1
+
+
 def test_a_quiet_run_loses_its_old_signals(watch, signals):
     """Replacing a run by nothing must not leave what was there before."""
     watch.detect("r3", "r3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
@@ -64,6 +65,12 @@ class Observatory:
     def latest_runs(self, n: int = 2) -> list[str]:
         return [r.run_id for r in P.latest_runs(self.store.read("profile_runs"), n).collect()]
 
+    def _latest(self) -> str:
+        latest = self.latest_runs(1)
+        if not latest:
+            raise ValueError("no profile runs yet")
+        return latest[0]
+
     # ------------------------------------------------------------ drift
 
     def _runs(self, run_id: str | None, baseline: str | None) -> tuple[str, str | None]:
@@ -97,6 +104,8 @@ class Observatory:
         else:
             columns, partitions = (self._of(t, run_id, baseline) for t in ("column_profiles", "partition_profiles"))
             found = D.previous_run(columns, partitions, self._pairs(run_id, baseline), self.settings)
+            for r in self.volume_mismatch(run_id, baseline).collect():  # one row, of the pair
+                warnings.warn(f"run {run_id} measured {r.current_rows} rows, {baseline} {r.baseline_rows}: compare with care", stacklevel=2)
         self.store.save_signals(found, [run_id], at or datetime.now())
         return self.signals(run_id)
 
@@ -122,6 +131,14 @@ class Observatory:
         self.store.save_incidents(found, [run_id], at or datetime.now())
         return found
 
+    def feed(self, run_id: str | None = None) -> DataFrame:
+        """The stored incidents of a run, by default of the latest one."""
+        return self._of("incidents", run_id or self._latest())
+
+    def incident(self, root: str, run_id: str | None = None) -> DataFrame:
+        """The signals at one root of a run, worst first."""
+        return D.ranked(self.signals(run_id or self._latest()).where(F.col("model_name") == root))
+
     def incidents(self, run_id: str) -> DataFrame:
         return R.ranked(R.incidents(self.signals(run_id), self.reach, self.nodes))
 
@@ -153,7 +170,9 @@ class Observatory:
         depths = L.depth(self.nodes, self.edges, self.reach)
         return P.lineage_status(self.nodes, depths, runs, self.signals(run_id), self.reach)
 
-    def overview(self, run_id: str) -> DataFrame:
+    def overview(self, run_id: str | None = None) -> DataFrame:
+        """Nodes, rows, signals and incidents of a run, by default of the latest one."""
+        run_id = run_id or self._latest()
         columns = self._of("column_profiles", run_id)
         return P.overview(columns, self.signals(run_id), self.incidents(run_id))
 

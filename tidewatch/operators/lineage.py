@@ -64,21 +64,15 @@ def depth(nodes: DataFrame, edge: DataFrame, reach: DataFrame) -> DataFrame:
     """Longest path from a source; nodes on a cycle count as depth 0."""
     cyclic = reach.where(F.col("descendant") == F.col("ancestor")).select(F.col("descendant").alias("child"))
     steps = edge.select("child", "parent").distinct().join(cyclic, "child", "left_anti")
-    longest = materialise(steps.withColumn("length", F.lit(1)), "depth")
-    total = -1
+    known = materialise(nodes.select("name", F.lit(0).alias("depth")), "depth")
+    total = 0
     while True:
-        left = longest.select("child", F.col("parent").alias("_via"), F.col("length").alias("_l"))
-        right = longest.select(F.col("child").alias("_via"), "parent", F.col("length").alias("_r"))
-        joined = left.join(right, "_via").select("child", "parent", (F.col("_l") + F.col("_r")).alias("length"))
-        longest = materialise(
-            longest.unionByName(joined).groupBy("child", "parent").agg(F.max("length").alias("length")),
-            "depth",
-        )
-        now = longest.agg(F.sum("length")).first()[0] or 0
+        # One row per node and round; there are as many rounds as the graph has layers.
+        above = steps.join(known.withColumnRenamed("name", "parent"), "parent")
+        deeper = above.groupBy(F.col("child").alias("name")).agg(F.max(F.col("depth") + 1).alias("found"))
+        known = known.join(deeper, "name", "left").select("name", F.coalesce("found", "depth").alias("depth"))
+        known = materialise(known, "depth")
+        now = known.agg(F.sum("depth")).first()[0] or 0
         if now == total:
-            break
+            return known
         total = now
-    deepest = longest.groupBy("child").agg(F.max("length").alias("depth"))
-    return nodes.select("name").join(
-        deepest.withColumnRenamed("child", "name"), "name", "left"
-    ).select("name", F.coalesce("depth", F.lit(0)).alias("depth"))
