@@ -14,8 +14,7 @@
    bands is compared in the first of them.  No link between texts that share a band is lost.
 
 Contract of `near_duplicates`: returns every row and column of docs with `n_shingles`,
-`component_id` and `kept`, which replace columns of those names; columns named set_key,
-signature or bands go.  A null or empty text has an
+`component_id` and `kept`, which replace columns of those names.  A null or empty text has an
 empty set, is linked with nothing and kept.  A text of fewer words than a shingle is one
 shingle.  Rows that share a doc_id are one document: they have one component and stand or
 fall together.  A row without doc_id has no component and is kept.  An empty table gives an
@@ -276,13 +275,16 @@ def near_duplicates(
     docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE,
     similar: tuple[int, int] = SIMILAR, length: int = LENGTH, batch: int = BATCH, miss: float = MISS, keep_text: bool = True,
 ) -> DataFrame:
-    docs = docs.drop("n_shingles", "component_id", "kept", "set_key", "signature", "bands")
+    docs = docs.drop("n_shingles", "component_id", "kept")
+    columns = [c for c in docs.columns if keep_text or c != text]
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(text)))
+    own = keyed.where("doc_id is not null").select("doc_id", "__text_key", F.col(text).alias("text"))
     made = map_texts(
-        docs, lambda t: signatures(t, bands, rows, k, length), text,
+        own, lambda t: signatures(t, bands, rows, k, length),
         n_shingles="long", set_key="binary", signature="binary", bands="array<long>",
     )
-    measured = materialise(made if keep_text else made.drop(text), "signatures")
-    sets = measured.where("doc_id is not null and set_key is not null").select("doc_id", "set_key", "signature", "bands")
+    measured = materialise(made.drop("text"), "signatures")
+    sets = measured.where("set_key is not null").select("doc_id", "set_key", "signature", "bands")
 
     # Equal sets are one node; an id with several texts ties their nodes together.
     firsts = sets.groupBy("set_key").agg(F.min("doc_id").alias("first"))
@@ -292,15 +294,26 @@ def near_duplicates(
     several = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     ties = members.join(several, "doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
 
-    texts = docs.select("doc_id", F.col(text).alias("text"))
+    texts = own.drop("__text_key")
     roots = link_nodes(nodes, texts, ties, bands, k, similar, length, batch, miss)
     found = members.join(roots.withColumnRenamed("node", "first"), "first", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
-    out = measured.drop("set_key", "signature", "bands").join(found, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        *[c for c in docs.columns if keep_text or c != text], "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+
+    # The texts are joined to what was found, not written beside it; rows of one id and text are alike.
+    sizes = measured.groupBy("doc_id", "__text_key").agg(F.first("n_shingles").alias("__n"))
+    known = sizes.join(found, "doc_id", "left").select(
+        "doc_id", "__text_key", "__n", F.coalesce("component_id", "doc_id").alias("__component")
+    )
+    rows_of = keyed.select(*columns, "__text_key") if keep_text else keyed.drop(text)
+    with_id = rows_of.where("doc_id is not null").join(known, ["doc_id", "__text_key"]).select(
+        *columns, F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"),
+        (F.col("doc_id") == F.col("__component")).alias("kept"),
+    )
+    without = map_texts(
+        docs.where("doc_id is null"), lambda t: {"n_shingles": pa.array([len(s) for s in shingle_sets(t, k)], pa.int64())}, text, n_shingles="long"
+    )
+    return with_id.unionByName(
+        without.select(*columns, "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     )
 
 
