@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import byte_bpe, decontamination, line_templates, near_dedup, quality_rules
-from tidewatch.llm.base import SPACES, materialise, table
+from tidewatch.llm.base import SPACES, bounded_batches, materialise, table
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +26,7 @@ def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
     """Further columns ride along in one struct, so that none clashes with an operator's."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         further = [c for c in docs.columns if c not in COLUMNS]
         if not further:
             return fn(spark, docs, sf_dir)

@@ -36,11 +36,15 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Arrow batches by bytes as well as by rows: texts differ in length by orders of magnitude.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches by bytes as well as by rows: texts differ in length by orders of magnitude."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, by modulus; a null id has remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))
@@ -66,7 +70,7 @@ def map_texts(
 ) -> DataFrame:
     """Add columns that a function makes of the texts (null: empty), batch by batch.
 
-    The function gets at most about 8 MB of text at a time.
+    The function gets at most about 2 MB of text at a time.
     """
     schema = extended(df.schema, **extra)
     keep = [f.name for f in schema.fields if f.name not in extra]
@@ -82,7 +86,7 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch that hold about `most` bytes of text each, never less than a row."""
     texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
     start, size = 0, 0

@@ -31,9 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, blocks, extended, join_hashes, partitions, query, rolling, table
+from .base import Words, blocks, bounded_batches, extended, join_hashes, partitions, query, rolling, table
 
 WINDOW = 20
+BATCH = 8 << 20  # bytes of text within which equal probes and windows travel once
 _ALIGNED, _TWICE = 64, 128  # flags in the high byte of a packed gap
 
 
@@ -99,7 +100,7 @@ def probes(docs: DataFrame, block: int, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for got in batches:
-            for part, texts in blocks(got):
+            for part, texts in blocks(got, most=BATCH):
                 words = Words(texts)
                 n = np.diff(words.first)
                 at = inside(words.first, block)
@@ -262,7 +263,7 @@ def windows_of(texts: DataFrame, block: int, n_buckets: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for got in batches:
             got = got.filter(pa.compute.is_valid(got.column("runs")))
-            for part, texts in blocks(got):
+            for part, texts in blocks(got, most=BATCH):
                 words = Words(texts)
                 local = [_expand(r) for r in part.column("runs").to_pylist()]
                 row = np.repeat(np.arange(len(texts)), [len(x) for x in local])
@@ -383,6 +384,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, keep
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bounded_batches(spark, 4 * BATCH)
     return drop_repeats(docs, keep_text=False).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
