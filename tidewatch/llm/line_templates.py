@@ -31,15 +31,20 @@ FIELD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    tokens = F.filter(F.split(line, f"[{SPACES}]+"), lambda t: t != "")
-    return F.regexp_replace(F.array_join(tokens, " "), "[^ ]*[0-9][^ ]*", FIELD)
+    """The line's tokens with one space between them, those with a digit as a field.
+
+    Most lines are in that form already, and a search that finds nothing is cheap.
+    """
+    uneven = line.rlike("[\\x09-\\x0D]|  |^ | $")
+    even = F.when(uneven, F.trim(F.regexp_replace(line, f"[{SPACES}]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(even, "[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(even)
 
 
 def lines_of(docs: DataFrame, depth: int, text: str) -> DataFrame:
     """(doc_id, text_key, at, form, n, leaf): the lines with enough tokens."""
     rows = docs.where("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
     rows = rows.select("doc_id", "text_key", "at", _masked(F.col("line")).alias("form"))
-    n = F.length("form") - F.length(F.translate("form", " ", "")) + 1
+    n = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("n", n).where(F.col("n") >= max(depth, MIN_TOKENS))
     return rows.withColumn("leaf", F.concat_ws(" ", "n", F.substring_index("form", " ", depth)))
 
