@@ -216,3 +216,12 @@ def test_templates_of_odd_rows(odd, empty):
     assert line_templates.drop_templates(empty).collect() == []
 
 
+def dropped(spark, texts, **how):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in line_templates.drop_templates(rows, **how).collect()}
+
+
+def test_short_lines_recur_too(spark):
+    got = dropped(spark, [f"Les.\nown{'abcdefghijkl'[i]}\n \n And \t ornd.\n{i}" for i in range(12)])
+    assert got[0] == "Les.\nowna\n \n And \t ornd.\n0"
+    assert all(got[i] == f"own{'abcdefghijkl'[i]}\n \n{i}" for i in range(1, 12))
