@@ -225,3 +225,13 @@ def test_short_lines_recur_too(spark):
     got = dropped(spark, [f"Les.\nown{'abcdefghijkl'[i]}\n \n And \t ornd.\n{i}" for i in range(12)])
     assert got[0] == "Les.\nowna\n \n And \t ornd.\n0"
     assert all(got[i] == f"own{'abcdefghijkl'[i]}\n \n{i}" for i in range(1, 12))
+
+
+def test_the_same_line_recurs_from_the_second_document(spark):
+    long = " ".join(f"{a}{b}" for a in "abcdefghi" for b in "klmnopqrstu")
+    page, order = "Printed on page 7 of the 3rd book", "Order {} shipped to {} today"
+    texts = [f"{long}\n{page}", f"one\n{long}", f"two\n {page}  ", f"three\n{page.replace('7', '8')}"]
+    got = dropped(spark, texts + [order.format(i, "abcd"[i]) for i in range(4)] + ["1 2 3 4", "1 2 3 4"])
+    assert got == {
+        0: texts[0], 1: "one", 2: "two", 3: texts[3], **{4 + i: order.format(i, "abcd"[i]) for i in range(4)}, 8: "1 2 3 4", 9: "1 2 3 4",
+    }

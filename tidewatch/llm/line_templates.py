@@ -6,6 +6,8 @@ holds the lines that agree in all of these.  Within a leaf, a token is constant
 documents have it at that position, and a variable field elsewhere; that gives each line
 its template.  A template that enough documents share and that is constant in at least half of
 its tokens is boilerplate: its lines are dropped in every document but the first, by doc_id.
+A line that is the same, token for token, in `SAME_DOCS` documents recurs already; at least half
+of its tokens must be without a digit.
 
 Only lines in leaves of enough lines are looked at token by token, and only once per distinct
 form of a line with its number of documents, so a line that a third of all documents share
@@ -21,6 +23,8 @@ empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 from .base import SPACES, blocks, extended, materialise, query, table
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 3, 10
+SAME_DOCS = 2  # documents that make a line recur which is the same in all of them
 FIELD = "<*>"
 # What the SQL of op4_line_templates asks for; the operator's own rules, by default, go further.
-AS_SQL = {"min_tokens": max(DEPTH, MIN_TOKENS)}
+AS_SQL = {"min_tokens": max(DEPTH, MIN_TOKENS), "same_docs": None}
 
 
 def _masked(line: Column) -> Column:
@@ -43,21 +48,38 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(even, "[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(even)
 
 
-def lines_of(docs: DataFrame, depth: int, text: str, least: int = 1) -> DataFrame:
-    """(doc_id, text_key, at, form, n, leaf): the lines with enough tokens."""
+def lines_of(docs: DataFrame, depth: int, text: str, least: int = 1, same: bool = True) -> DataFrame:
+    """(doc_id, text_key, at, form, n, leaf): the lines with enough tokens.
+
+    With `same` also `exact`, a hash of the line's own tokens where the form has fields.
+    """
     rows = docs.where("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    rows = rows.select("doc_id", "text_key", "at", _masked(F.col("line")).alias("form"))
+    exact = F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.trim(F.regexp_replace("line", f"[{SPACES}]+", " "))))
+    rows = rows.select("doc_id", "text_key", "at", _masked(F.col("line")).alias("form"), *([exact.alias("exact")] if same else []))
     n = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("n", n).where((F.col("n") >= least) & (F.col("form") != ""))
     return rows.withColumn("leaf", F.concat_ws(" ", "n", F.substring_index("form", " ", depth)))
 
 
-def boilerplate(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(form, first): forms of lines whose template recurs, and the first document of the template."""
+def forms_of(lines: DataFrame) -> DataFrame:
+    """(leaf, n, form, docs, first): distinct forms, with their number of documents and the first."""
     forms = lines.select("doc_id", "leaf", "n", "form").distinct().groupBy("leaf", "n", "form").agg(
         F.count("*").alias("docs"), F.min("doc_id").alias("first")
     )
-    forms = materialise(forms, "forms")
+    return materialise(forms, "forms")
+
+
+def same_lines(lines: DataFrame, forms: DataFrame, same_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(form, first) of forms without a field, and (form, exact, first) of lines with fields, that recur as they are."""
+    whole = forms.where((F.col("docs") >= same_docs) & ~F.contains("form", F.lit(FIELD))).select("form", "first")
+    fields = F.size(F.split("form", "<\\*>")) - 1
+    fixed = lines.where(F.col("exact").isNotNull() & (2 * fields <= F.col("n"))).select("doc_id", "form", "exact").distinct()
+    fixed = fixed.groupBy("form", "exact").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    return whole, fixed.where(F.col("docs") >= same_docs).drop("docs")
+
+
+def boilerplate(forms: DataFrame, min_docs: int) -> DataFrame:
+    """(form, first): forms of lines whose template recurs, and the first document of the template."""
     tokens = forms.select("leaf", "n", "form", "docs", F.posexplode(F.split("form", " ")).alias("pos", "token"))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("seen"))
     constant = constant.where((F.col("seen") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(True).alias("constant"))
@@ -77,16 +99,29 @@ def boilerplate(lines: DataFrame, min_docs: int) -> DataFrame:
     return placed.select("form", "template").join(recurring, "template").select("form", "first")
 
 
-def drop_templates(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = 1) -> DataFrame:
+def drop_templates(
+    docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = 1,
+    same_docs: int | None = SAME_DOCS,
+) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped", "text_key", "dropped")
     keyed = docs.withColumn("text_key", F.xxhash64(F.col(text)))
-    lines = lines_of(keyed, depth, text, min_tokens)
+    lines = lines_of(keyed, depth, text, min_tokens, same_docs is not None)
     frequent = lines.groupBy(F.xxhash64("leaf").alias("leaf_key")).agg(F.count("*").alias("lines"))
     # Written, so that Spark knows its size and chooses how to join.
-    frequent = materialise(frequent.where(F.col("lines") >= min_docs).select("leaf_key"), "leaves")
+    frequent = materialise(frequent.where(F.col("lines") >= min(min_docs, same_docs or min_docs)).select("leaf_key"), "leaves")
     lines = materialise(lines.join(frequent, F.xxhash64("leaf") == F.col("leaf_key"), "left_semi"), "lines")
-    bad = materialise(boilerplate(lines, min_docs), "boilerplate")
-    gone = lines.join(bad, "form").where("doc_id > first").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("dropped"))
+    forms, found = forms_of(lines), []
+    if not same_docs:
+        bad = boilerplate(forms, min_docs)
+    else:
+        leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
+        bad = boilerplate(forms.join(leaves.select("leaf"), "leaf"), min_docs)
+        whole, fixed = same_lines(lines, forms, same_docs)
+        bad = bad.unionByName(whole).groupBy("form").agg(F.min("first").alias("first"))
+        found.append(lines.join(materialise(fixed, "same"), ["form", "exact"]))
+    found.append(lines.join(materialise(bad, "boilerplate"), "form"))
+    found = [x.where("doc_id > first").select("doc_id", "text_key", "at") for x in found]
+    gone = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("dropped"))
     marked = keyed.join(gone, ["doc_id", "text_key"], "left").select(*docs.columns, "dropped")
     schema = extended(docs.schema, n_lines="int", n_dropped="int")
     columns = docs.columns
