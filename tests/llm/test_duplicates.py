@@ -235,3 +235,17 @@ def test_the_same_line_recurs_from_the_second_document(spark):
     assert got == {
         0: texts[0], 1: "one", 2: "two", 3: texts[3], **{4 + i: order.format(i, "abcd"[i]) for i in range(4)}, 8: "1 2 3 4", 9: "1 2 3 4",
     }
+
+
+def test_a_common_opening_is_no_template(spark):
+    import string
+
+    letters = string.ascii_lowercase
+    tails = [f"{a}{b}x {b}{a}y" for a in letters[:6] for b in letters[:5]]
+    clean = [f"It was a {t}" for t in tails]
+    page = [f"Page views : {i}" for i in range(30)]
+    got = dropped(spark, clean + page + ["Page views : many"])
+    assert [got[i] for i in range(30)] == clean
+    assert [got[30 + i] for i in range(30)] == [page[0]] + [""] * 29 and got[60] == "Page views : many"
+    crowd = [f"It was a {a}{b}{c} {'night' if a == 'a' else c + b + a}" for a in letters for b in letters[:6] for c in letters[:4]]
+    assert list(dropped(spark, crowd).values()) == crowd  # 24 of 624 end alike

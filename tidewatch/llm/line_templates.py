@@ -5,7 +5,7 @@ level is the number of tokens, the next `DEPTH` levels are the leading tokens, a
 holds the lines that agree in all of these.  Within a leaf, a token is constant where enough
 documents have it at that position, and a variable field elsewhere; that gives each line
 its template.  A template that enough documents share and that is constant in at least half of
-its tokens is boilerplate: its lines are dropped in every document but the first, by doc_id.
+its tokens, and of those beyond the leading ones, is boilerplate: its lines are dropped in every document but the first, by doc_id.
 A line that is the same, token for token, in `SAME_DOCS` documents recurs already; at least half
 of its tokens must be without a digit.
 
@@ -33,9 +33,10 @@ from .base import SPACES, blocks, extended, materialise, query, table
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 3, 10
 SAME_DOCS = 2  # documents that make a line recur which is the same in all of them
+SHARE = 0.1  # of a leaf's documents, that have a token which is constant beyond the leading ones
 FIELD = "<*>"
 # What the SQL of op4_line_templates asks for; the operator's own rules, by default, go further.
-AS_SQL = {"min_tokens": max(DEPTH, MIN_TOKENS), "same_docs": None}
+AS_SQL = {"min_tokens": max(DEPTH, MIN_TOKENS), "same_docs": None, "share": None}
 
 
 def _masked(line: Column) -> Column:
@@ -61,6 +62,10 @@ def lines_of(docs: DataFrame, depth: int, text: str, least: int = 1, same: bool
     return rows.withColumn("leaf", F.concat_ws(" ", "n", F.substring_index("form", " ", depth)))
 
 
+def _fields() -> Column:
+    return F.size(F.split("form", "<\\*>")) - 1
+
+
 def forms_of(lines: DataFrame) -> DataFrame:
     """(leaf, n, form, docs, first): distinct forms, with their number of documents and the first."""
     forms = lines.select("doc_id", "leaf", "n", "form").distinct().groupBy("leaf", "n", "form").agg(
@@ -72,17 +77,26 @@ def forms_of(lines: DataFrame) -> DataFrame:
 def same_lines(lines: DataFrame, forms: DataFrame, same_docs: int) -> tuple[DataFrame, DataFrame]:
     """(form, first) of forms without a field, and (form, exact, first) of lines with fields, that recur as they are."""
     whole = forms.where((F.col("docs") >= same_docs) & ~F.contains("form", F.lit(FIELD))).select("form", "first")
-    fields = F.size(F.split("form", "<\\*>")) - 1
-    fixed = lines.where(F.col("exact").isNotNull() & (2 * fields <= F.col("n"))).select("doc_id", "form", "exact").distinct()
+    fixed = lines.where(F.col("exact").isNotNull() & (2 * _fields() <= F.col("n"))).select("doc_id", "form", "exact").distinct()
     fixed = fixed.groupBy("form", "exact").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     return whole, fixed.where(F.col("docs") >= same_docs).drop("docs")
 
 
-def boilerplate(forms: DataFrame, min_docs: int) -> DataFrame:
-    """(form, first): forms of lines whose template recurs, and the first document of the template."""
-    tokens = forms.select("leaf", "n", "form", "docs", F.posexplode(F.split("form", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("seen"))
-    constant = constant.where((F.col("seen") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+def boilerplate(forms: DataFrame, min_docs: int, depth: int = DEPTH, share: float | None = SHARE) -> DataFrame:
+    """(form, first): forms of lines whose template recurs, and the first document of the template.
+
+    With `share`, the leading tokens that make the leaf are no sign of a template: half of the
+    others must be constant too, in that share of the leaf's documents.  A form that stands in
+    enough documents itself needs no other.
+    """
+    if share is not None:
+        leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
+        forms = forms.join(leaves, "leaf")
+    least = F.lit(min_docs) if share is None else F.when(F.col("pos") < depth, min_docs).otherwise(F.greatest(F.lit(min_docs), share * F.col("leaf_docs")))
+    leaf = ["leaf"] if share is None else ["leaf", "leaf_docs"]
+    tokens = forms.select(*leaf, "n", "form", "docs", F.posexplode(F.split("form", " ")).alias("pos", "token"))
+    constant = tokens.groupBy(*leaf, "pos", "token").agg(F.sum("docs").alias("seen"))
+    constant = constant.where((F.col("seen") >= least) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(True).alias("constant"))
     marked = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy("leaf", "n", "form").agg(
         F.array_join(
             F.transform(
@@ -90,18 +104,25 @@ def boilerplate(forms: DataFrame, min_docs: int) -> DataFrame:
                 lambda t: t.token,
             ), " ",
         ).alias("template"),
-        F.count("constant").alias("constants"),
+        F.count("constant").alias("constants"), F.count_if(F.col("constant") & (F.col("pos") >= depth)).alias("beyond"),
     )
-    marked = materialise(marked.where("2 * constants >= n"), "templates")
+    marked = marked.where("2 * constants >= n")
+    if share is not None:
+        marked = marked.where(2 * F.col("beyond") >= F.col("n") - depth)
+    marked = materialise(marked, "templates")
     placed = forms.join(marked, ["leaf", "n", "form"])
     recurring = placed.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
     recurring = recurring.where(F.col("docs") >= min_docs).select("template", "first")
-    return placed.select("form", "template").join(recurring, "template").select("form", "first")
+    bad = placed.select("form", "template").join(recurring, "template").select("form", "first")
+    if share is None:
+        return bad
+    alone = forms.where((F.col("docs") >= min_docs) & (2 * _fields() <= F.col("n"))).select("form", "first")
+    return bad.unionByName(alone).groupBy("form").agg(F.min("first").alias("first"))
 
 
 def drop_templates(
     docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = 1,
-    same_docs: int | None = SAME_DOCS,
+    same_docs: int | None = SAME_DOCS, share: float | None = SHARE,
 ) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped", "text_key", "dropped")
     keyed = docs.withColumn("text_key", F.xxhash64(F.col(text)))
@@ -110,12 +131,9 @@ def drop_templates(
     # Written, so that Spark knows its size and chooses how to join.
     frequent = materialise(frequent.where(F.col("lines") >= min(min_docs, same_docs or min_docs)).select("leaf_key"), "leaves")
     lines = materialise(lines.join(frequent, F.xxhash64("leaf") == F.col("leaf_key"), "left_semi"), "lines")
-    forms, found = forms_of(lines), []
-    if not same_docs:
-        bad = boilerplate(forms, min_docs)
-    else:
-        leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-        bad = boilerplate(forms.join(leaves.select("leaf"), "leaf"), min_docs)
+    forms = forms_of(lines)
+    bad, found = boilerplate(forms, min_docs, depth, share), []
+    if same_docs:
         whole, fixed = same_lines(lines, forms, same_docs)
         bad = bad.unionByName(whole).groupBy("form").agg(F.min("first").alias("first"))
         found.append(lines.join(materialise(fixed, "same"), ["form", "exact"]))
