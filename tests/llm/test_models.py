@@ -93,6 +93,20 @@ def test_restored_words_of_a_text(trigrams):
     assert toxicity.Restorer(trigrams).words("a plain text!! onst$$$ this*** end.") == {"a", "plain", "text!!", "onst$$$", "this***", "end."}
 
 
+@pytest.mark.parametrize("noisy", [
+    "i/d/i/o/t", "i,d,i,o,t", "!diot", "|diot", "(|diot)", "i d 1 o t", "1.d.1.o.t", "i  d  i  o  t", "i - d - i - o - t", "1 d i 0 +", "id'iot", "idio+", "1d!0t",
+])
+def test_mixed_disguises_of_a_text(trigrams, noisy):
+    assert "idiot" in toxicity.Restorer(trigrams).words(f"you {noisy} there")
+
+
+def test_marks_of_any_number_are_disguises(trigrams):
+    own = toxicity.Restorer(trigrams)
+    for text in ("a m$$$ron", "so b i g", "in win10", "5 h 1 t", "l o"):
+        assert own.words(text) > set(text.split()), text
+    assert own.words("1 2 3, 10 of 20 words - all plain.") == set("1 2 3, 10 of 20 words - all plain.".split())
+
+
 def test_viterbi_is_the_best_path(trigrams):
     """Against all readings of short stretches."""
     import itertools

@@ -4,8 +4,8 @@ A character trigram model is counted over the clean words of all documents.  A d
 stretch - letters mixed with look-alike symbols, single letters with separators, letters
 repeated - is a lattice: each character stands for itself, for the letters it can imitate, or
 for nothing or a word's end (a separator, a repetition).  Viterbi decoding under the trigram model gives the
-likeliest letters.  A stretch without any of these has one path through its lattice, itself,
-and isn't decoded.
+likeliest letters.  Stretches without any of these, and with letters at most doubled as in ordinary
+spelling, aren't decoded; nor are marks that end a sentence, or that repeat thrice at a word's end.
 
 Words of a bounded sample of labelled documents (`PER_CLASS` of each label, by hash), restored,
 give the terms (a word, or its first four to six letters) that occur in more toxic than other
@@ -48,13 +48,18 @@ SEPARATORS = " .-_,/"
 SUBSTITUTED, DELETED, WORD_BREAK, KEPT_REPEAT = log(0.3), log(0.3), log(0.1), log(0.05)
 
 _MARK = "[" + re.escape("".join(LOOKALIKES)) + "]"
-# Where a disguise may be: a symbol between or before letters, three equal letters, spaced single letters.
+_TRIM = ".,;:!?\"'()[]{}&%#*"
+_QUOTES = "".join(c for c in _TRIM if c not in LOOKALIKES)  # around a word these are no part of it
+# Where a word's lattice has more than one path: a symbol between, before or after letters, three
+# equal letters.  What _TRIM holds ends sentences, and a mark thrice at the end is emphasis.
 DISGUISED = re.compile(
-    rf"[^\W\d_]{_MARK}{{1,2}}[^\W\d_]|(?<!\S)[\d@$]{{1,2}}[^\W\d_]{{2}}|[^\W\d_][$]{{1,2}}(?!\S|\$)"
-    r"|([^\W\d_])\1\1|(?<!\w)[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?!\w)"
+    rf"[^\W\d_][\W\d_]+[^\W\d_]|^{_MARK}+[^\W\d_]|[^\W\d_](?!.*(.)\1\1$)[\d@$|+€]+$|([^\W\d_])\2\2"
 )
-_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?!\w)")
-_TRIM = ".,;:!?\"'()[]{}&%#*"
+_TRIPLE = re.compile(r"(.)\1\1")
+# Single characters, a letter among them, with any number of separators.
+_ONE, _GAP = rf"(?:[^\W\d_]|{_MARK})", "[" + re.escape(SEPARATORS) + "]"
+_SPACED = re.compile(rf"(?<![^\s{re.escape(_QUOTES + SEPARATORS)}]){_ONE}(?:{_GAP}+{_ONE}(?![^\W_]))+(?![^\W_])")
+_GAPS = re.compile(rf"({_GAP})(?:{_GAP})+")
 
 
 @dataclass
@@ -127,14 +132,15 @@ class Restorer:
         """The distinct words of a text, in lower case, with restored ones beside the disguised."""
         text = text.lower()
         found = set(text.split())
-        if not DISGUISED.search(text):
-            return found
         for m in _SPACED.finditer(text):
-            found.update(self._word(m.group()).split())
+            if any(c.isalpha() for c in m.group()):
+                found.update(self._word(_GAPS.sub(r"\1", m.group())).split())
         for w in list(found):
-            core = w.strip(_TRIM)
-            if len(core) > 2 and DISGUISED.search(core):
-                found.update(self._word(core).split())
+            if w.isalpha() and not _TRIPLE.search(w):
+                continue
+            for core in {w.strip(_TRIM), w.lstrip(_QUOTES).rstrip(_TRIM)}:
+                if len(core) > 2 and DISGUISED.search(core):
+                    found.update(self._word(core).split())
         return found
 
 
