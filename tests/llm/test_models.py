@@ -244,6 +244,18 @@ def test_quality_rules_of_odd_rows(odd, empty):
     assert quality_rules.judge(empty).collect() == []
 
 
+def test_languages_without_a_reference_are_kept(spark):
+    """By language or by script; junk in a known language, or in none, still goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(4)
+    stems = ["".join(rnd.choice("bcdklmnprstwz") + rnd.choice("aeiouy") for _ in range(rnd.randint(1, 4))) for _ in range(500)]
+    greek = str.maketrans("abcdeiklmnoprstuwyz", "αβγδεικλμνοπρστυωψζ")
+    text = " ".join(rnd.choice(stems) for _ in range(400)) + "."
+    own = [(-1, text, "pl"), (-2, text.translate(greek), "el"), (-3, text.translate(greek), None), (-4, text, "en"), (-5, text, None), (-6, text, "en-GB")]
+    got = quality_rules.judge(docs.unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string"))).where("doc_id < 0")
+    assert {r.doc_id: r.rules.kept for r in got.collect()} == {-1: True, -2: True, -3: True, -4: False, -5: False, -6: False}
+
+
 def test_rules_stay_native(spark, small):
     plan = entry.queries()["op3_quality_rules"](spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

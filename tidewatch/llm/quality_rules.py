@@ -13,7 +13,9 @@ word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
 word_distance, kept), which replaces a column of that name.  A null or empty text has no
 words, fails the base rule and has null distances; repeated rows are judged each; an empty
 table gives an empty table; with no reference the distances are null and only the base rule
-counts.  The language of a document is used for the references alone, never for its verdict.
+counts.  No reference fits a document in a language that isn't among COMMON_WORDS, or one mostly
+of letters that aren't Latin: its distances are given, but the base rule alone decides.  A document
+without a language is held against the nearest reference like those of the known languages.
 """
 
 from __future__ import annotations
@@ -99,6 +101,18 @@ def _char_counts(text: Column, word_chars: Column) -> Column:
     )
 
 
+def _foreign(text: Column, rest: Column, word_chars: Column) -> Column:
+    """Whether most of the characters are letters of another script; they are counted in `rest`, with symbols."""
+    letters = F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}]|\\p{IsLatin}", ""))
+    return F.when(2 * rest > word_chars, 2 * letters > word_chars).otherwise(False)
+
+
+def _language(lang: str) -> Column:
+    """The language without its region; empty where none is named."""
+    found = F.lower(F.regexp_extract(F.col(lang).cast("string"), "^[A-Za-z]*", 0))
+    return F.when(found == "und", "").otherwise(F.coalesce(found, F.lit("")))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the struct `__measured`: the base counts and both histograms."""
     t = text_of(text)
@@ -120,6 +134,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 m.n_words.alias("n_words"), m.word_chars.cast("long").alias("word_chars"),
                 m.n_repeat_words.alias("n_repeat_words"), m.words.alias("words"), m.chars.alias("chars"),
                 F.get(m.chars, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                _foreign(t, F.get(m.chars, F.lit(len(CLASSES) + 1)), m.word_chars).alias("foreign"),
                 let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             ),
         ),
@@ -141,7 +156,7 @@ def references(measured: DataFrame, lang: str = "lang") -> list[tuple[list[float
         return [F.sum(F.get(F.col(f"__measured.{field}"), F.lit(i)).cast("long")).alias(f"{field}{i}") for i in range(n)]
 
     n_chars, n_words = len(CLASSES) + 2, len(BINS) + 1
-    known = measured.where(F.col(lang).isin(*COMMON_WORDS))
+    known = measured.where(F.col(lang).isin(*COMMON_WORDS) & ~F.col("__measured.foreign"))
     rows = known.groupBy(lang).agg(*sums("chars", n_chars), *sums("words", n_words)).collect()
     out = []
     for row in sorted(rows, key=lambda r: r[0]):
@@ -164,7 +179,7 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda t: F.when(t > 0, of(t.cast("double"))))
 
 
-def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
+def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]], lang: str = "lang") -> DataFrame:
     """measured with both distances and the verdict, against the references."""
     def nearest(field: str, which: int) -> Column:
         found = [distance(F.col(f"__measured.{field}"), r[which]) for r in known]
@@ -177,7 +192,8 @@ def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]])
     n_chars = F.aggregate("__measured.chars", F.lit(0), lambda a, x: a + x)
     near = measured.select("*", nearest("chars", 0).alias("__chars_off"), nearest("words", 1).alias("__words_off"))
     rejected = off(n_chars, "__chars_off", CHAR_LIMIT) | off(F.col("__measured.n_words"), "__words_off", WORD_LIMIT)
-    return near.withColumn("__kept", ~base_failed() & ~rejected)
+    fits = ~F.col("__measured.foreign") & _language(lang).isin("", *COMMON_WORDS)
+    return near.withColumn("__kept", ~base_failed() & ~(fits & rejected))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
@@ -185,14 +201,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bo
     measured = measure(docs.drop("rules"), text)
     measured = materialise(measured if keep_text else measured.drop(text), "measured")
     first = references(measured.where(~base_failed()), lang)
-    known = references(verdicts(measured, first).where("__kept"), lang)
+    known = references(verdicts(measured, first, lang).where("__kept"), lang)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rules = F.struct(
         *[F.col(f"__measured.{c}").alias(c) for c in counts],
         base_failed().alias("base_failed"), F.col("__chars_off").alias("char_distance"), F.col("__words_off").alias("word_distance"),
         F.col("__kept").alias("kept"),
     )
-    return verdicts(measured, known).select(*[f"`{c}`" for c in measured.columns if c != "__measured"], rules.alias("rules"))
+    return verdicts(measured, known, lang).select(*[f"`{c}`" for c in measured.columns if c != "__measured"], rules.alias("rules"))
 
 
 @query("op3_quality_rules")
