@@ -3,6 +3,7 @@
 import corpus_pipeline
 
 from . import (  # noqa: F401
+    alignment,
     byte_bpe,
     decontamination,
     language_model,
