@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import binary, blocks, materialise, query, table
+from .base import agreeing, binary, blocks, materialise, query, table
 from .token_counts import PROVEN
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,28 +51,6 @@ COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 # ---------------------------------------------------------------- alignment of one text
 
 
-def same_for(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends agree from a[i] and b[j] on, by exponential probing."""
-    most = min(len(a) - i, len(b) - j)
-    done, step = 0, 1
-    while done < most:
-        step = min(step, most - done)
-        if a[i + done : i + done + step] != b[j + done : j + done + step]:
-            break
-        done += step
-        step *= 2
-    else:
-        return done
-    while step > 1:  # the first difference lies in this block
-        half = step // 2
-        if a[i + done : i + done + half] == b[j + done : j + done + half]:
-            done += half
-            step -= half
-        else:
-            step = half
-    return done
-
-
 def cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Of each group how many tokens of a, and of b, lie before its end; both end at the same byte."""
     i = j = 0
@@ -80,7 +58,7 @@ def cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     b_cuts: list[int] = []
     n = len(a)
     while i < n:
-        run = same_for(a, b, i, j)
+        run = agreeing(a, b, i, j, min(n - i, len(b) - j))
         if run:
             a_cuts += range(i + 1, i + run + 1)
             b_cuts += range(j + 1, j + run + 1)

@@ -189,6 +189,27 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def agreeing(a: list[int], b: list[int], i: int, j: int, most: int) -> int:
+    """How many values agree from a[i] and b[j] on, at most `most`, by exponential probing and halving."""
+    done, step = 0, 1
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done : i + done + step] != b[j + done : j + done + step]:
+            break
+        done += step
+        step *= 2
+    else:
+        return done
+    while step > 1:  # the first difference lies in this block
+        half = step // 2
+        if a[i + done : i + done + half] == b[j + done : j + done + half]:
+            done += half
+            step -= half
+        else:
+            step = half
+    return done
+
+
 def binary(items: Iterable[bytes]) -> pa.Array:
     return pa.array(list(items), pa.binary())
 

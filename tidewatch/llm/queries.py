@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     language_model,
     line_templates,
     near_dedup,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     substring_dedup,
