@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     periodic_runs,
     quality_classifier,
     quality_rules,
+    sanitisation,
     substring_dedup,
     token_counts,
     toxicity,
