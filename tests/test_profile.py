@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.runs import RUNS
+from tidewatch.operators import drift
 from tidewatch.operators import profile as P
 from tidewatch.plans import events as E
 from tidewatch.plans import scenarios as S
@@ -82,6 +83,65 @@ def test_guard_drops_the_daily_grain_only(spark):
     assert P.partition_profiles(p, Settings(max_partitions=10)).count() == 20
 
 
+def test_coarser_grains_equal_direct_profiles(spark):
+    """A month merged from days equals a profile by month; the finest grain within the limit is taken."""
+    df = spark.range(4000).select(
+        F.expr("if(id % 50 = 0, null, date_add(date'2023-11-05', cast(id * 7 % 900 as int)))").alias("d"),
+        (F.col("id") % 37).alias("v"), F.when(F.col("id") % 5 != 0, F.col("id") / 3).alias("x"),
+    )
+    wide = Settings(max_partitions=1, coarser=("month", "year"), partition_columns={"n": "d"})
+    p = P.profile(df, "n", wide)
+    for grain, part in (("month", "MM"), ("year", "YY")):
+        direct = P.profile(df.withColumn("d", F.trunc("d", part)), "n", Settings(partition_columns={"n": "d"}))
+        want = {(r.column_name, r.partition_value): r for r in direct.where("grain = 'day' and column_name <> 'd'").collect()}
+        got = {(r.column_name, r.partition_value): r for r in p.where(f"grain = '{grain}' and column_name <> 'd'").collect()}
+        assert got.keys() == want.keys()
+        for key, r in got.items():
+            w = want[key]
+            assert (r.row_count, r.null_count, r.distinct_count, r.min_value, r.max_value) == (w.row_count, w.null_count, w.distinct_count, w.min_value, w.max_value)
+            assert r.mean_value == (pytest.approx(w.mean_value) if w.mean_value is not None else None)
+    for limit in (900, 40, 31, 30, 4, 3, 2):
+        s = Settings(max_partitions=limit, coarser=("month", "year"))
+        grains = {r.grain for r in P.partition_profiles(p, s).select("grain").distinct().collect()}
+        (guard,) = P.partition_guard(p, s).collect()
+        assert grains == ({guard.grain} if guard.kept else set())
+        sizes = {g: df.select(F.count_distinct(F.trunc("d", t) if t else F.col("d"))).first()[0] for g, t in (("day", None), ("month", "MM"), ("year", "YY"))}
+        assert guard.partitions == sizes["day"]
+        assert guard.grain == next((g for g, n in sizes.items() if n <= limit), None)
+    with pytest.raises(ValueError):
+        P.profile(df, "n", Settings(coarser=("week",)))
+
+
+def test_months_are_not_compared_with_days(spark):
+    """A run that fell back to months has no days in common with one by day."""
+    df = spark.range(100).select(F.expr("date_add(date'2024-01-01', cast(id % 60 as int))").alias("d"), "id")
+    s = Settings(max_partitions=10, coarser=("month",))
+    month = P.partition_profiles(P.profile(df, "n", s, ["coarse"]), s)
+    day = P.partition_profiles(P.profile(df, "n", runs=["fine"]))
+    pairs = drift.run_pairs(spark, [("fine", "coarse"), ("coarse", "coarse")])
+    both = drift.daily_checks(month.unionByName(day), pairs)
+    assert both.where("baseline_run_id = 'fine'").count() == 0 < both.where("baseline_run_id = 'coarse'").count()
+
+
+def test_sketches_of_spans(spark):
+    """Sketches stand beside exact counts, are near them, and unite over any span."""
+    df = spark.range(60_000).select(
+        F.expr("date_add(date'2024-01-01', cast(id % 40 as int))").alias("d"), (F.col("id") * 7919 % 20_011).alias("v"),
+        F.concat(F.lit("t"), (F.col("id") % 9).cast("string")).alias("t"), F.lit(None).cast("double").alias("none"),
+    )
+    assert P.profile(df, "n").where("distinct_sketch is not null").count() == 0
+    p = P.profile(df, "n", Settings(sketches=True))
+    near = p.select("distinct_count", F.hll_sketch_estimate("distinct_sketch").alias("guess")).collect()
+    assert all(abs(r.guess - r.distinct_count) <= 0.05 * r.distinct_count for r in near)
+    spans = spark.sql("select 'a' as span, date'2024-01-03' as first_day, date'2024-01-20' as last_day union all select 'b', date'2024-01-01', date'2024-01-02'")
+    got = {(r.span, r.column_name): r.distinct_estimate for r in P.distinct_over(P.partition_profiles(p), spans).collect()}
+    for span, low, high in (("a", 3, 20), ("b", 1, 2)):
+        rows = df.where(F.dayofyear("d").between(low, high))
+        for c in ("v", "t", "none"):
+            exact = rows.select(F.count_distinct(c)).first()[0]
+            assert abs(got[span, c] - exact) <= 0.05 * exact
+
+
 def test_skewed_value_and_day_match_brute_force(spark):
     """A third of the rows share one value and one day."""
     df = spark.range(3000).select(

@@ -17,6 +17,7 @@ from .operators import lineage as L
 from .operators import rca as R
 from .operators import report as P
 from .operators import rolling as W
+from .session import materialise
 from .settings import Settings
 from .sources.store import MetricStore, history
 
@@ -32,13 +33,13 @@ class Observatory:
         self.settings = settings or Settings()
         self.store = MetricStore(spark, store)
         self.edges = L.edges(nodes)
-        self._reach: DataFrame | None = None
+        self._hops: L.Hops | None = None
 
     @property
-    def reach(self) -> DataFrame:
-        if self._reach is None:
-            self._reach = L.closure(self.edges)
-        return self._reach
+    def hops(self) -> L.Hops:
+        if self._hops is None:
+            self._hops = L.hops(self.edges)
+        return self._hops
 
     # ------------------------------------------------------------ profiling
 
@@ -140,7 +141,7 @@ class Observatory:
         return D.ranked(self.signals(run_id or self._latest()).where(F.col("model_name") == root))
 
     def incidents(self, run_id: str) -> DataFrame:
-        return R.ranked(R.incidents(self.signals(run_id), self.reach, self.nodes))
+        return R.ranked(R.incidents(self.signals(run_id), self.hops, self.nodes))
 
     def prompts(self, run_id: str) -> DataFrame:
         return X.prompts(self.incidents(run_id), self.edges)
@@ -155,8 +156,9 @@ class Observatory:
         return answers.withColumn("explanation", F.to_json(X.parse(F.col("response"))))
 
     def alert(self, run_id: str, threshold: str = "warning", report_url: str | None = None) -> DataFrame:
+        signals = self.signals(run_id)
         return A.messages(
-            self.signals(run_id), self.incidents(run_id), self.reach, self.settings.project,
+            signals, self.incidents(run_id), R.roots(signals, self.hops), self.settings.project,
             self.settings.baseline_mode, threshold, report_url,
         )
 
@@ -166,9 +168,10 @@ class Observatory:
         return P.series(self._of("partition_profiles", run_id, baseline), self._pairs(run_id, baseline), how)
 
     def lineage_status(self, run_id: str) -> DataFrame:
-        runs = self._of("profile_runs", run_id)
-        depths = L.depth(self.nodes, self.edges, self.reach)
-        return P.lineage_status(self.nodes, depths, runs, self.signals(run_id), self.reach)
+        signals, depths = self.signals(run_id), L.depth(self.nodes, self.hops)
+        root = materialise(R.roots(signals, self.hops), "roots")
+        blast = R.blast_radius(signals, root, self.hops)
+        return P.lineage_status(self.nodes, depths, self._of("column_profiles", run_id), signals, root, blast)
 
     def overview(self, run_id: str | None = None) -> DataFrame:
         """Nodes, rows, signals and incidents of a run, by default of the latest one."""

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .expr import shortened
 
-ICONS = {"critical": "🔴", "high": "🟠", "warning": "🟡"}
-
-
 def grouped(value: Column, digits: int) -> Column:
     """1234.5 -> 1,234.5000; rounded first so that every engine agrees on ties."""
     return F.format_number(F.round(value, digits), digits)
@@ -20,13 +17,6 @@ def percent(value: Column) -> Column:
     return F.concat(F.format_string("%.1f", F.round(value * 100, 1)), F.lit("%"))
 
 
-def compact(value: Column) -> Column:
-    """Thousands grouped, no trailing zeros; a dash when there is no number."""
-    whole = (F.abs(value) >= 1000) & (value == F.floor(value))
-    trimmed = F.regexp_replace(F.regexp_replace(grouped(value, 4), "0+$", ""), "\\.$", "")
-    return F.when(value.isNull(), "—").when(whole, F.format_number(value, 0)).otherwise(trimmed)
-
-
 def is_bound(metric: Column) -> Column:
     return metric.isin("min_value", "max_value")
 
@@ -52,8 +42,3 @@ def evidence_line(e) -> Column:
         F.lit("  ("), percent(e["change"]), F.lit(" change, severity "), e["severity"], ratio, F.lit(")"),
     )
     return F.when(is_bound(metric), bound).otherwise(number)
-
-
-def icon(severity: Column) -> Column:
-    out = F.when(severity == "critical", ICONS["critical"])
-    return out.when(severity == "high", ICONS["high"]).otherwise(ICONS["warning"])

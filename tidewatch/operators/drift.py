@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..settings import METRICS, Settings
+from .ranking import positions
 
 SIGNAL_COLUMNS = [
     "run_id", "baseline_run_id", "model_name", "column_name", "metric",
@@ -112,9 +113,18 @@ def bound_signals(profiles: DataFrame, pairs: DataFrame, settings: Settings | No
 
 
 def daily_checks(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every metric of every day next to the same day of the baseline run."""
+    """Every metric of every day next to the same day of the baseline run.
+
+    A month is compared with the same month only: rows without a grain are days.
+    """
     keys = [*_KEYS, "partition_value"]
-    return checks(paired(profiles, pairs, keys, list(METRICS)), _RUN_KEYS + keys)
+    return checks(paired(with_grain(profiles), pairs, [*keys, "grain"], list(METRICS)), _RUN_KEYS + keys)
+
+
+def with_grain(profiles: DataFrame) -> DataFrame:
+    """Profiles written before there were coarser grains are of days."""
+    known = F.col("grain") if "grain" in profiles.columns else F.lit(None)
+    return profiles.withColumn("grain", F.coalesce(known.cast("string"), F.lit("day")))
 
 
 def per_day_signals(profiles: DataFrame, pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -151,12 +161,22 @@ def grain_of(first_partition: Column) -> Column:
     return F.when(first_partition.isNull(), "table").otherwise("day")
 
 
+# Worst first, with a total order so that ties never depend on scheduling.
+def _worst_first() -> list[Column]:
+    return [
+        X.severity_rank(F.col("severity")), F.desc(X.settled(F.col("change"))),
+        *[F.col(c) for c in ("model_name", "column_name", "metric", "partitions")],
+    ]
+
+
 def ranked(signals: DataFrame, *extra: Column) -> DataFrame:
-    """Worst first, with a total order so that ties never depend on scheduling."""
-    return signals.orderBy(
-        "run_id", X.severity_rank(F.col("severity")), F.desc(X.settled(F.col("change"))),
-        "model_name", "column_name", "metric", "partitions", *extra,
-    )
+    """Signals by run, worst first."""
+    return signals.orderBy("run_id", *_worst_first(), *extra)
+
+
+def numbered(signals: DataFrame) -> DataFrame:
+    """Signals with their position in their run, worst first."""
+    return positions(signals, ["run_id"], _worst_first())
 
 
 def assert_no_drift(signals: DataFrame, level: str = "critical") -> None:

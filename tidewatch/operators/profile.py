@@ -7,6 +7,11 @@ volume grows linearly with the number of columns where a multi-distinct
 aggregate would carry every column in every expanded row.  Both passes combine
 map-side, so a value or a day that holds most of the rows reaches its reducer as
 one row per task.
+
+Where the settings name coarser grains, months and years are merged from the same daily
+partials and distinct values; the table is not read again for them.  With `sketches`, pass
+one also keeps a mergeable sketch of the distinct values per column and period, from which
+the distinct count of any span of periods is estimated without the table.
 """
 
 from __future__ import annotations
@@ -22,13 +27,17 @@ from ..functions.runs import RUNS, mask_of, run_names
 from ..settings import Settings
 
 WHOLE, DAY = "table", "day"
+# From fine to coarse: the first day of the period that a day lies in.
+PERIODS = {DAY: "_day", "month": "trunc(_day, 'MM')", "year": "trunc(_day, 'YY')"}
 
 PROFILE_COLUMNS = [
     "run_id", "grain", "model_name", "partition_value", "column_name", "data_type",
     "row_count", "null_count", "null_rate", "distinct_count", "distinct_rate",
-    "min_value", "max_value", "mean_value",
+    "min_value", "max_value", "mean_value", "distinct_sketch",
 ]
 
+SKETCH_BITS = 12
+
 _DATE_LIKE = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -58,7 +67,12 @@ def _has_bounds(f: T.StructField) -> bool:
     return not isinstance(f.dataType, (T.MapType, T.VariantType))
 
 
-def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None) -> DataFrame:
+def _sketched(f: T.StructField) -> str:
+    """The value as text for a sketch: the same key that exact counts group by."""
+    return "coalesce(" + ", ".join(f"cast({p} as string)" for p in _key_parts(f).values()) + ")"
+
+
+def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None, sketches: bool = False) -> DataFrame:
     aggs = ["count(1) as n"]
     for i, f in enumerate(fields):
         c = X.name(f.name)
@@ -67,6 +81,8 @@ def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None)
             aggs.append(f"sum(cast({c} as double)) as s{i}")
         if _has_bounds(f):
             aggs += [f"min({c}) as lo{i}", f"max({c}) as hi{i}"]
+        if sketches:
+            aggs.append(f"hll_sketch_agg({_sketched(f)}, {SKETCH_BITS}) as sk{i}")
     # A text minimum cannot live in a fixed-width buffer, and Spark would sort the
     # table by day to aggregate it.  One object-buffer aggregate in the list makes
     # the whole aggregation hash-based instead; it doubles as the day of the group.
@@ -78,8 +94,20 @@ def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None)
     )
 
 
-def _per_run(part: DataFrame, fields: Sequence[T.StructField], runs: Sequence[str]) -> DataFrame:
-    """Daily and whole-table rows of every run from the daily partials."""
+def grains_of(settings: Settings, axis: str | None) -> list[str]:
+    """The grains to profile besides the whole table: days, and coarser ones where they may be needed."""
+    if axis is None:
+        return []
+    unknown = set(settings.coarser) - set(PERIODS)
+    if unknown:
+        raise ValueError(f"no such grain: {', '.join(sorted(unknown))}")
+    return [g for g in PERIODS if g == DAY or g in settings.coarser]
+
+
+def _per_run(
+    part: DataFrame, fields: Sequence[T.StructField], runs: Sequence[str], grains: Sequence[str], sketches: bool = False
+) -> DataFrame:
+    """Rows of every run, whole-table and of each period, from the daily partials."""
     aggs = ["sum(n) as n"]
     for i, f in enumerate(fields):
         aggs.append(f"sum(n{i}) as n{i}")
@@ -87,24 +115,33 @@ def _per_run(part: DataFrame, fields: Sequence[T.StructField], runs: Sequence[st
             aggs.append(f"sum(s{i}) as s{i}")
         if _has_bounds(f):
             aggs += [f"min(lo{i}) as lo{i}", f"max(hi{i}) as hi{i}"]
-    each = part.withColumns({"run_id": F.explode(run_names(RUNS, runs)), "_day": F.expr("try_element_at(_days, 1)")})
-    return each.groupingSets([["run_id", "_day"], ["run_id"]], "run_id", "_day").agg(
-        F.grouping("_day").alias("_all"), *[F.expr(a) for a in aggs]
-    )
-
-
-def _long(stats: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+        if sketches:
+            aggs.append(f"hll_union_agg(sk{i}) as sk{i}")
+    spans = [f"struct('{WHOLE}' as grain, cast(null as date) as period)"]
+    spans += [f"if(_day is null, null, struct('{g}' as grain, cast({PERIODS[g]} as date) as period))" for g in grains]
+    # One generator for both: (run, grain, period) of each daily partial.
+    each = part.withColumn("_day", F.expr("try_element_at(_days, 1)")).withColumn("_spans", F.expr(f"array_compact(array({', '.join(spans)}))"))
+    every = F.flatten(F.transform(
+        run_names(RUNS, runs),
+        lambda r: F.transform("_spans", lambda s: F.struct(r.alias("run_id"), s["grain"].alias("grain"), s["period"].alias("period"))),
+    ))
+    each = each.withColumn("_of", F.explode(every))
+    return each.groupBy("_of.run_id", "_of.grain", "_of.period").agg(*[F.expr(a) for a in aggs])
+
+
+def _long(stats: DataFrame, fields: Sequence[T.StructField], sketches: bool = False) -> DataFrame:
     """One row per column instead of one set of columns per column."""
     def entry(i: int, f: T.StructField) -> str:
         lo, hi = (X.text_of(v, f.dataType) if _has_bounds(f) else "cast(null as string)" for v in (f"lo{i}", f"hi{i}"))
         mean = f"try_divide(s{i}, n{i})" if isinstance(f.dataType, T.NumericType) else "cast(null as double)"
         return (
             f"struct({i} as idx, {X.literal(f.name)} as column_name, {X.literal(f.dataType.simpleString())} as data_type, "
-            f"n{i} as present, {lo} as min_value, {hi} as max_value, {mean} as mean_value)"
+            f"n{i} as present, {lo} as min_value, {hi} as max_value, {mean} as mean_value, "
+            f"{f'sk{i}' if sketches else 'cast(null as binary)'} as distinct_sketch)"
         )
 
     entries = ", ".join(entry(i, f) for i, f in enumerate(fields))
-    return stats.select("run_id", "_day", "_all", F.col("n").alias("row_count"), F.expr(f"inline(array({entries}))"))
+    return stats.select("run_id", "grain", "period", F.col("n").alias("row_count"), F.expr(f"inline(array({entries}))"))
 
 
 # ---------------------------------------------------------------- pass two
@@ -164,24 +201,32 @@ def distinct_values(df: DataFrame, fields: Sequence[T.StructField], axis: str |
     return cells.where(present).groupBy("idx", "_day", *used).agg(F.bit_or(RUNS).alias(RUNS))
 
 
-def _distinct_counts(values: DataFrame, runs: Sequence[str]) -> DataFrame:
+def _distinct_counts(values: DataFrame, runs: Sequence[str], grains: Sequence[str]) -> DataFrame:
+    """Distinct values per column, for the whole table and each period, merged from those of the days.
+
+    Without days the values are the whole table's already.  With coarser grains the values are
+    dealt by column and value once; every period is then counted where they lie.
+    """
     keys = [k for k in values.columns if k in _KEY_TYPES]
     names = run_names(RUNS, runs)
 
-    def count(of: DataFrame, by: list[str], whole: int) -> DataFrame:
+    def count(of: DataFrame, grain: str, period: str) -> DataFrame:
         # Few masks exist, so counting per mask first keeps the fan-out tiny.
-        per_mask = of.groupBy(*by, RUNS).agg(F.count(F.lit(1)).alias("d"))
-        return (
-            per_mask.select(*by, "d", F.explode(names).alias("run_id"))
-            .groupBy("run_id", *by)
-            .agg(F.sum("d").alias("distinct_count"))
-            .withColumn("_all", F.lit(whole))
-        )
-
-    whole = values.groupBy("idx", *keys).agg(F.bit_or(RUNS).alias(RUNS))
-    return count(values, ["idx", "_day"], 0).unionByName(
-        count(whole, ["idx"], 1), allowMissingColumns=True
-    )
+        per_mask = of.groupBy("idx", F.expr(period).alias("period"), RUNS).agg(F.count(F.lit(1)).alias("d"))
+        each = per_mask.select("idx", "period", "d", F.explode(names).alias("run_id"))
+        summed = each.groupBy("run_id", "idx", "period").agg(F.sum("d").alias("distinct_count"))
+        return summed.withColumn("grain", F.lit(grain))
+
+    if not grains:
+        return count(values, WHOLE, "cast(null as date)")
+    coarser = [g for g in grains if g != DAY]
+    dealt = values.repartition("idx", *keys) if coarser else values
+    out = count(dealt.groupBy("idx", *keys).agg(F.bit_or(RUNS).alias(RUNS)), WHOLE, "cast(null as date)")
+    out = out.unionByName(count(values.where("_day is not null"), DAY, "_day"))
+    for g in coarser:
+        within = dealt.where("_day is not null").groupBy("idx", F.expr(PERIODS[g]).alias("_period"), *keys)
+        out = out.unionByName(count(within.agg(F.bit_or(RUNS).alias(RUNS)), g, "_period"))
+    return out
 
 
 # ---------------------------------------------------------------- the operator
@@ -198,18 +243,18 @@ def profile(
     axis = partition_axis(df, node, settings)
     fields = [f for f in df.schema.fields if f.name != RUNS]
 
-    stats = _long(_per_run(_mergeable(df, fields, axis), fields, runs), fields)
-    counts = _distinct_counts(distinct_values(df, fields, axis), runs)
+    grains = grains_of(settings, axis)
+    parts = _mergeable(df, fields, axis, settings.sketches)
+    stats = _long(_per_run(parts, fields, runs, grains, settings.sketches), fields, settings.sketches)
+    counts = _distinct_counts(distinct_values(df, fields, axis), runs, grains)
 
-    c = counts.selectExpr("run_id as c_run", "idx as c_idx", "_all as c_all", "_day as c_day", "distinct_count as d")
-    joined = stats.join(
-        c, F.expr("run_id = c_run and idx = c_idx and _all = c_all and _day <=> c_day"), "left"
-    )
-    return joined.where("_all = 1 or _day is not null").selectExpr(
+    c = counts.selectExpr("run_id as c_run", "idx as c_idx", "grain as c_grain", "period as c_period", "distinct_count as d")
+    joined = stats.join(c, F.expr("run_id = c_run and idx = c_idx and grain = c_grain and period <=> c_period"), "left")
+    return joined.selectExpr(
         "run_id",
-        f"case when _all = 1 then '{WHOLE}' else '{DAY}' end as grain",
+        "grain",
         f"{X.literal(node)} as model_name",
-        "case when _all = 0 then _day end as partition_value",
+        "period as partition_value",
         "column_name",
         "data_type",
         "row_count",
@@ -220,6 +265,7 @@ def profile(
         "min_value",
         "max_value",
         "mean_value",
+        "distinct_sketch",
     )
 
 
@@ -241,26 +287,53 @@ def column_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.col("grain") == WHOLE).drop("grain", "partition_value")
 
 
+def _taken(settings: Settings, sizes: dict[str, Column]) -> Column:
+    """The finest grain with no more periods than the settings allow; null where none is."""
+    if settings.max_partitions is None:
+        return F.lit(DAY)
+    return F.coalesce(*[F.when(n.between(1, settings.max_partitions), g) for g, n in sizes.items()])
+
+
 def partition_guard(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Days per node and run, and whether the per-day profile is kept."""
+    """Days per node and run, the grain at which it is profiled, and whether it is at all."""
     settings = settings or Settings()
-    return (
-        profiles.where(F.col("grain") == DAY)
-        .groupBy("run_id", "model_name")
-        .agg(F.count_distinct("partition_value").alias("partitions"))
-        .withColumn("kept", F.lit(True) if settings.max_partitions is None else F.col("partitions") <= settings.max_partitions)
+    grains = [DAY, *[g for g in PERIODS if g in settings.coarser and g != DAY]]
+    counts = profiles.where(F.col("grain") != WHOLE).groupBy("run_id", "model_name").agg(
+        *[F.count_distinct(F.when(F.col("grain") == g, F.col("partition_value"))).alias(g) for g in grains]
+    )
+    taken = _taken(settings, {g: F.col(g) for g in grains})
+    return counts.select("run_id", "model_name", F.col(DAY).alias("partitions"), taken.alias("grain")).withColumn(
+        "kept", F.col("grain").isNotNull()
     )
 
 
 def partition_profiles(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Daily rows of the nodes; where a limit is set, of those whose axis is not over it.
+    """Rows per day of the nodes, or per month or year where a node has more days than are allowed.
 
-    A node over the limit keeps its whole-table profile; `partition_guard` names it.  A column has one row per day, so its own row count is the number of days;
-    the profile is not evaluated a second time to find it.
+    Each node and run is profiled at the finest grain that is within the limit; one that no named
+    grain brings within it keeps its whole-table profile, and `partition_guard` tells.  A column has
+    one row per period, so its own rows are the number of periods; the profile is not evaluated a
+    second time to find it.
     """
     settings = settings or Settings()
+    dropped = ("data_type", "distinct_rate")
     if settings.max_partitions is None:
-        return profiles.where(F.col("grain") == DAY).drop("grain", "data_type", "distinct_rate")
+        return profiles.where(F.col("grain") == DAY).drop(*dropped)
     series = Window.partitionBy("run_id", "model_name", "column_name")
-    days = profiles.where(F.col("grain") == DAY).withColumn("_days", F.count(F.lit(1)).over(series))
-    return days.where(F.col("_days") <= settings.max_partitions).drop("grain", "data_type", "distinct_rate", "_days")
+    grains = [DAY, *[g for g in PERIODS if g in settings.coarser and g != DAY]]
+    sizes = {g: F.count_if(F.col("grain") == g).over(series) for g in grains}
+    parts = profiles.where(F.col("grain") != WHOLE).withColumn("_taken", _taken(settings, sizes))
+    return parts.where(F.col("grain") == F.col("_taken")).drop(*dropped, "_taken")
+
+
+def distinct_over(partitions: DataFrame, spans: DataFrame) -> DataFrame:
+    """Estimated distinct values of each column over spans of periods, from their sketches alone.
+
+    spans: (span, first_day, last_day), a small table; a period belongs to each span that it starts
+    in.  The relative error of a sketch of 2^12 buckets is about 1.6 %, of one standard deviation.
+    """
+    day = F.col("partition_value")
+    held = partitions.join(spans, (day >= F.col("first_day")) & (day <= F.col("last_day")))
+    return held.groupBy("run_id", "model_name", "column_name", "span").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_estimate")
+    )

@@ -1,47 +1,41 @@
 """Root-cause analysis: where drift starts, and what it was carried into.
 
-A node is a root if it drifted and none of its ancestors did.  Every step is a
-join keyed by run_id, so any number of runs is analysed in one plan.
+A node is a root if it drifted and none of its ancestors did.  The search starts at the drifted
+nodes and walks down by hops; every step is a join keyed by run_id, so any number of runs is
+analysed in one plan, whose rows are runs x drifted nodes and what they reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..session import materialise
+from .lineage import Hops, below
+from .ranking import positions
 
 
 def affected(signals: DataFrame) -> DataFrame:
     return signals.select("run_id", "model_name").distinct()
 
 
-def drifted_paths(signals: DataFrame, reach: DataFrame) -> DataFrame:
-    """(run, descendant, ancestor) where both ends drifted."""
+def roots(signals: DataFrame, over: Hops) -> DataFrame:
+    """(run, root): affected nodes that are downstream of no affected node."""
     hit = affected(signals)
-    low = hit.withColumnRenamed("model_name", "descendant").join(reach, "descendant")
-    return low.join(hit.withColumnRenamed("model_name", "ancestor"), ["run_id", "ancestor"])
+    tainted = below(hit.withColumnRenamed("model_name", "node"), over).withColumnRenamed("node", "model_name")
+    return hit.join(tainted, ["run_id", "model_name"], "left_anti").select("run_id", F.col("model_name").alias("root"))
 
 
-def roots(signals: DataFrame, reach: DataFrame) -> DataFrame:
-    """(run, root): affected nodes without an affected ancestor."""
-    below = drifted_paths(signals, reach).select("run_id", F.col("descendant").alias("model_name"))
-    return affected(signals).join(below, ["run_id", "model_name"], "left_anti").select(
-        "run_id", F.col("model_name").alias("root")
-    )
-
-
-def blast_radius(signals: DataFrame, reach: DataFrame) -> DataFrame:
-    """(run, root, node): drifted nodes downstream of a root."""
-    paths = drifted_paths(signals, reach).select(
-        "run_id", F.col("ancestor").alias("root"), F.col("descendant").alias("node")
-    )
-    return paths.join(roots(signals, reach), ["run_id", "root"])
+def blast_radius(signals: DataFrame, root: DataFrame, over: Hops) -> DataFrame:
+    """(run, root, node): drifted nodes downstream of a root, through nodes that did not drift too."""
+    reached = below(root.select("run_id", "root", F.col("root").alias("node")), over)
+    return reached.join(affected(signals).withColumnRenamed("model_name", "node"), ["run_id", "node"])
 
 
-def evidence(signals: DataFrame, reach: DataFrame) -> DataFrame:
+def evidence(signals: DataFrame, root: DataFrame) -> DataFrame:
     """The signals at the root of each incident."""
-    return roots(signals, reach).join(
+    return root.join(
         signals.withColumnRenamed("model_name", "root"), ["run_id", "root"]
     ).withColumn("partitions", F.coalesce("partitions", F.lit(0)))
 
@@ -62,14 +56,15 @@ def ordered_evidence(rows: DataFrame) -> DataFrame:
     )
 
 
-def incidents(signals: DataFrame, reach: DataFrame, nodes: DataFrame) -> DataFrame:
+def incidents(signals: DataFrame, over: Hops, nodes: DataFrame) -> DataFrame:
     """One row per run and root, with columns, blast radius and evidence.
 
     The arrays are bounded by the shape of the lineage graph (nodes x columns x
     metrics), not by data volume.
     """
+    root = materialise(roots(signals, over), "roots")
     per_root = (
-        ordered_evidence(evidence(signals, reach))
+        ordered_evidence(evidence(signals, root))
         .groupBy("run_id", "root")
         .agg(
             F.min("sev_rank").alias("sev_rank"),
@@ -82,7 +77,7 @@ def incidents(signals: DataFrame, reach: DataFrame, nodes: DataFrame) -> DataFra
         F.array_sort(F.collect_set("column_name")).alias("columns")
     )
     down = (
-        blast_radius(signals, reach)
+        blast_radius(signals, root, over)
         .join(columns, ["run_id", "node"])
         .groupBy("run_id", "root")
         .agg(F.array_sort(F.collect_list(F.struct("node", "columns"))).alias("downstream"))
@@ -105,8 +100,7 @@ def incidents(signals: DataFrame, reach: DataFrame, nodes: DataFrame) -> DataFra
 
 def ranked(found: DataFrame) -> DataFrame:
     """Incidents of a run in order: severity, then blast size, then name."""
-    order = Window.partitionBy("run_id").orderBy("sev_rank", F.desc(F.size("blast_radius")), "root")
-    return found.withColumn("incident_rank", F.row_number().over(order))
+    return positions(found, ["run_id"], [F.col("sev_rank"), F.desc(F.size("blast_radius")), F.col("root")], "incident_rank")
 
 
 def flattened(found: DataFrame) -> DataFrame:

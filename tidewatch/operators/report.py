@@ -20,7 +20,7 @@ def series(partitions: DataFrame, pairs: DataFrame, how: str = "inner") -> DataF
     that exist in one run only.
     """
     keys = ["model_name", "column_name", "partition_value"]
-    pair = drift.paired(partitions, pairs, keys, list(CHART_METRICS), how)
+    pair = drift.paired(drift.with_grain(partitions), pairs, [*keys, "grain"], list(CHART_METRICS), how)
     entries = F.array(
         *[
             F.struct(
@@ -114,26 +114,29 @@ def overview(columns: DataFrame, signals: DataFrame, found: DataFrame) -> DataFr
     )
 
 
-def lineage_status(nodes: DataFrame, depths: DataFrame, runs: DataFrame, signals: DataFrame, reach: DataFrame) -> DataFrame:
-    """Every node of every run with both labels in use.
+def lineage_status(
+    nodes: DataFrame, depths: DataFrame, profiled: DataFrame, signals: DataFrame, root: DataFrame, blast: DataFrame
+) -> DataFrame:
+    """Every node that a run profiled or named, with both labels in use.
 
     `status` (report) marks only nodes inside a blast radius as affected;
-    `state` (dashboard) marks every node that has a signal.
+    `state` (dashboard) marks every node that has a signal.  What is known of a node is a union of
+    facts, one group-by folds them, and a node of which nothing but its profile is known is clean.
+    profiled: (run_id, model_name, ...) of the runs to label.
     """
-    root = rca.roots(signals, reach).select("run_id", F.col("root").alias("name"), F.lit(True).alias("is_root"))
-    blast = rca.blast_radius(signals, reach).select("run_id", F.col("node").alias("name")).distinct()
-    hit = rca.affected(signals).select("run_id", F.col("model_name").alias("name"), F.lit(True).alias("has_signal"))
-    # The node list reaches every run as a scalar subquery, not as a join.
-    listed = nodes.join(depths, "name").agg(
-        F.collect_list(F.struct("name", "is_source", "materialized", "depth")).alias("nodes")
-    )
-    every = runs.select("run_id").distinct().select("run_id", F.inline(listed.scalar()))
-    labelled = (
-        every.join(root, ["run_id", "name"], "left")
-        .join(blast.withColumn("in_blast", F.lit(True)), ["run_id", "name"], "left")
-        .join(hit, ["run_id", "name"], "left")
-    )
-    return labelled.select(
+    facts = {
+        "seen": profiled.select("run_id", F.col("model_name").alias("name")).distinct(),
+        "has_signal": rca.affected(signals).select("run_id", F.col("model_name").alias("name")),
+        "in_blast": blast.select("run_id", F.col("node").alias("name")).distinct(),
+        "is_root": root.select("run_id", F.col("root").alias("name")),
+    }
+    union = None
+    for fact, rows in facts.items():
+        told = rows.withColumn("fact", F.lit(fact))
+        union = told if union is None else union.unionByName(told)
+    labels = union.groupBy("run_id", "name").agg(*[F.bool_or(F.col("fact") == f).alias(f) for f in facts])
+    known = nodes.select("name", "is_source").distinct().join(depths, "name")
+    return labels.join(known, "name").select(
         "run_id", "name",
         F.when(F.col("is_source"), "source").otherwise("model").alias("kind"),
         "depth",

@@ -26,10 +26,11 @@ class Observed:
     pairs: DataFrame
     nodes: DataFrame
     edges: DataFrame
-    reach: DataFrame
+    hops: lineage.Hops
     settings: Settings
     _signals: DataFrame | None = None
     _incidents: DataFrame | None = None
+    _roots: DataFrame | None = None
 
     @property
     def signals(self) -> DataFrame:
@@ -38,10 +39,16 @@ class Observed:
             self._signals = materialise(found, "signals")
         return self._signals
 
+    @property
+    def roots(self) -> DataFrame:
+        if self._roots is None:
+            self._roots = materialise(rca.roots(self.signals, self.hops), "roots")
+        return self._roots
+
     @property
     def incidents(self) -> DataFrame:
         if self._incidents is None:
-            found = rca.ranked(rca.incidents(self.signals, self.reach, self.nodes))
+            found = rca.ranked(rca.incidents(self.signals, self.hops, self.nodes))
             self._incidents = materialise(found, "incidents")
         return self._incidents
 
@@ -70,7 +77,7 @@ def observe(events: DataFrame, scenarios: Sequence[Scenario], settings: Settings
         pairs=drift.run_pairs(spark, [(BASELINE, s.id) for s in scenarios]) if scenarios else None,
         nodes=nodes,
         edges=edge,
-        reach=lineage.closure(edge),
+        hops=lineage.hops(edge),
         settings=settings,
     )
 

@@ -60,7 +60,7 @@ def lineage_edges(spark, sf):
 def lineage_closure(spark, sf):
     seen = observed(spark, sf)
     above = seen.signals.groupBy(F.col("model_name").alias("ancestor")).agg(F.count("metric").alias("signals_above"))
-    return seen.reach.join(above, "ancestor", "left").select(
+    return L.closure(seen.edges).join(above, "ancestor", "left").select(
         "descendant", "ancestor", F.coalesce("signals_above", F.lit(0)).alias("signals_above")
     )
 
@@ -71,23 +71,21 @@ def lineage_closure(spark, sf):
         "(select descendant, count(*) as depth from reach group by 1) d on d.descendant = n.name left join sig s on s.model_name = n.name group by all"),
 )
 def lineage_depth(spark, sf):
-    # The events nodes form a tree, where the depth is the number of ancestors.
     seen = observed(spark, sf)
-    depths = L.depth(seen.nodes, seen.edges, seen.reach)
+    depths = L.depth(seen.nodes, seen.hops)
     drifted = seen.signals.groupBy(F.col("model_name").alias("name")).agg(F.count_distinct("column_name").alias("drifted_columns"))
     return depths.join(drifted, "name", "left").select("name", "depth", F.coalesce("drifted_columns", F.lit(0)).alias("drifted_columns"))
 
 
 @query("rca_roots", sql("select run_id, root from roots"))
 def rca_roots(spark, sf):
-    seen = observed(spark, sf)
-    return R.roots(seen.signals, seen.reach)
+    return observed(spark, sf).roots
 
 
 @query("rca_blast_radius", sql("select run_id, root, node from blast"))
 def rca_blast_radius(spark, sf):
     seen = observed(spark, sf)
-    return R.blast_radius(seen.signals, seen.reach).select("run_id", "root", "node")
+    return R.blast_radius(seen.signals, seen.roots, seen.hops).select("run_id", "root", "node")
 
 _INCIDENT_SQL = "run_id, root, is_source, severity, columns, blast_radius, signal_count, incident_rank"
 
@@ -149,8 +147,9 @@ def status(spark, sf):
     from ..operators.report import lineage_status as labels
 
     seen = observed(spark, sf)
-    runs = seen.signals.select("run_id").distinct()
-    return labels(seen.nodes, L.depth(seen.nodes, seen.edges, seen.reach), runs, seen.signals, seen.reach)
+    compared = seen.columns.join(seen.signals.select("run_id").distinct(), "run_id", "left_semi")
+    blast = R.blast_radius(seen.signals, seen.roots, seen.hops)
+    return labels(seen.nodes, L.depth(seen.nodes, seen.hops), compared, seen.signals, seen.roots, blast)
 
 
 # ---------------------------------------------------------------- worked example on the given orders
@@ -263,7 +262,7 @@ def _sales(spark, sf):
         pairs = D.run_pairs(spark, [("baseline", r) for r in SALES.RUN_IDS[1:]])
         signals = materialise(D.previous_run(P.column_profiles(stored), P.partition_profiles(stored), pairs), "sales_signals")
         nodes = L.node_frame(spark, SALES.PARENTS)
-        return signals, L.closure(L.edges(nodes)), nodes
+        return signals, L.hops(L.edges(nodes)), nodes
 
     return once(spark, ("sales", sf), make)
 
@@ -276,6 +275,6 @@ def sales_drift(spark, sf):
 
 @query("sales_incidents", sql(f"select {_INCIDENT_SQL} from incidents", _SALES_CTES))
 def sales_incidents(spark, sf):
-    signals, reach, nodes = _sales(spark, sf)
-    found = R.ranked(R.incidents(signals, reach, nodes))
+    signals, hops, nodes = _sales(spark, sf)
+    found = R.ranked(R.incidents(signals, hops, nodes))
     return R.flattened(found).join(found.select("run_id", "root", "incident_rank"), ["run_id", "root"])

@@ -133,13 +133,7 @@ _RANKED = f"{O.RANK}, round(change, 9) desc, model_name, column_name, metric, pa
     sql(f"select {SIGNAL_SQL}, row_number() over (partition by run_id order by {_RANKED}) as position from sig order by run_id, position"),
 )
 def signals_ranked(spark, sf):
-    from pyspark.sql import Window
-
-    signals = D.ranked(observed(spark, sf).signals)
-    order = Window.partitionBy("run_id").orderBy(
-        X.severity_rank(F.col("severity")), F.desc(X.settled(F.col("change"))), "model_name", "column_name", "metric", "partitions"
-    )
-    numbered = signals.withColumn("position", F.row_number().over(order))
+    numbered = D.numbered(observed(spark, sf).signals).orderBy("run_id", "position")
     return numbered.select(*signal_view(numbered).columns, "position").withColumns(
         {c: r6(c) for c in ("baseline_value", "current_value", "change")}
     )

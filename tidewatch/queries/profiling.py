@@ -12,10 +12,11 @@ from ..operators import profile as P
 from ..operators import report as R
 from ..oracle import build as O
 from ..plans import events as E
+from ..session import materialise
 from ..settings import Settings
 from ..sources import store
 from ..sources import tables as T
-from .base import observed, query, r6, sql, table, text
+from .base import observed, once, query, r6, sql, table, text
 
 # table -> {column: class} of the given data, for the oracle (see oracle.build.metrics)
 SCHEMAS = {
@@ -194,7 +195,7 @@ def _profile_sql(extra: str, source: str) -> str:
 
 
 _ALL = " union all ".join(
-    f"select '{t}' as model_name, '{c}' as column_name, {O.metrics(c, k, bounds=k != 'l')} from {t}"
+    f"select '{t}' as model_name, '{c}' as column_name, {O.metrics(c, k)} from {t}"
     for t, cols in SCHEMAS.items()
     for c, k in cols.items()
 )
@@ -206,8 +207,6 @@ def profile_whole_table(spark, sf):
     nodes = _tables(spark, sf)
     whole_only = Settings(partition_columns={n: None for n in nodes})
     p = P.column_profiles(P.profile_nodes(nodes, whole_only))
-    listed = F.col("column_name") == "embedding"
-    p = p.withColumns({c: F.when(~listed, F.col(c)) for c in ("min_value", "max_value")})
     return _profile_view(p, r6("distinct_rate").alias("distinct_rate"))
 
 
@@ -249,16 +248,87 @@ def partition_axis(spark, sf):
     return out
 
 
+LIMITS = (2000, 60)  # days a node may have; the wide axes then need months, or years
+
+
+def _grain_sql(t: str, axis: str, limit: int) -> str:
+    day, month, year = (f"count(distinct date_trunc('{g}', {axis}))" for g in ("day", "month", "year"))
+    return (
+        f"select '{t}' as model_name, {limit} as partition_limit, {day} as partitions, case when {day} <= {limit} then 'day' "
+        f"when {month} <= {limit} then 'month' when {year} <= {limit} then 'year' end as grain from {t}"
+    )
+
+
+def _coarse(limit: int) -> Settings:
+    return Settings(max_partitions=limit, coarser=("month", "year"))
+
+
+def _axes_profile(spark, sf):
+    """The date columns and one number of the dated tables, at all grains."""
+    def make():
+        numbers = {"orders": "o_totalprice", "lineitem": "l_partkey", "events": "user_id"}
+        nodes = {n: df.select(AXES[n], numbers[n]) for n, df in _tables(spark, sf, AXES).items()}
+        return materialise(P.profile_nodes(nodes, Settings(max_partitions=1, coarser=("month", "year"), sketches=True)), "grains")
+
+    return once(spark, ("grains", sf), make)
+
+
+@query("partition_guard", " union all ".join(_grain_sql(t, a, n) for t, a in AXES.items() for n in LIMITS))
+def partition_guard(spark, sf):
+    p = _axes_profile(spark, sf)
+    each = [P.partition_guard(p, _coarse(n)).withColumn("partition_limit", F.lit(n)) for n in LIMITS]
+    return each[0].unionByName(each[1]).select("model_name", "partition_limit", "partitions", "grain")
+
+
+_NUMBERED = {"orders": ("o_totalprice", "f"), "lineitem": ("l_partkey", "i"), "events": ("user_id", "i")}
+_GRAINED = {
+    f"p_{t}": " union all ".join(
+        f"select '{t}' as model_name, '{c}' as column_name, '{g}' as grain, cast(date_trunc('{g}', {a}) as date) as partition_value, "
+        f"{O.metrics(c, k)} from {t} where {a} is not null group by 4"
+        for g in ("day", "month", "year") for c, k in ((a, "o"), _NUMBERED[t])
+    )
+    for t, a in AXES.items()
+}
+
+
 @query(
-    "partition_guard",
+    "profile_coarse",
+    sql("select g.partition_limit, p.model_name, p.grain, cast(partition_value as varchar) as partition_value, column_name, row_count, null_count, "
+        "distinct_count, min_value, max_value, round(mean_value, 6) as mean_value from prof p join guard g using (model_name, grain)",
+        {**_GRAINED, "prof": " union all ".join(f"select * from p_{t}" for t in AXES),
+         "guard": " union all ".join(_grain_sql(t, a, n) for t, a in AXES.items() for n in LIMITS)}),
+)
+def profile_coarse(spark, sf):
+    """Per-period profiles at the finest grain that each limit allows."""
+    p = _axes_profile(spark, sf)
+    each = [P.partition_profiles(p, _coarse(n)).withColumn("partition_limit", F.lit(n)) for n in LIMITS]
+    return each[0].unionByName(each[1]).select(
+        "partition_limit", "model_name", "grain", text("partition_value").alias("partition_value"), "column_name", "row_count", "null_count",
+        "distinct_count", "min_value", "max_value", r6("mean_value").alias("mean_value"),
+    )
+
+
+@query(
+    "distinct_by_sketch",
     " union all ".join(
-        f"select '{t}' as model_name, count(distinct cast({a} as date)) as partitions, count(distinct cast({a} as date)) <= 400 as kept from {t}"
-        for t, a in AXES.items()
+        f"select '{t}' as model_name, '{c}' as column_name, cast(year({a}) as varchar) as span, count(distinct {f'round({c}, 6)' if k == 'f' else c}) "
+        f"as distinct_count, true as within_5_percent from {t} where {a} is not null group by 3"
+        for t, a in AXES.items() for c, k in ((a, "o"), _NUMBERED[t])
     ),
 )
-def partition_guard(spark, sf):
-    p = P.profile_nodes({n: df.select(AXES[n]) for n, df in _tables(spark, sf, AXES).items()})
-    return P.partition_guard(p, Settings(max_partitions=400)).drop("run_id")
+def distinct_by_sketch(spark, sf):
+    """Distinct values of a year, exactly and as the union of the sketches of its days."""
+    p = _axes_profile(spark, sf)
+    years = p.where(F.col("grain") == "year").select("model_name", "column_name", F.year("partition_value").cast("string").alias("span"), "distinct_count")
+    spans = p.where(F.col("grain") == "year").select("partition_value").distinct().select(
+        F.year("partition_value").cast("string").alias("span"), F.col("partition_value").alias("first_day"),
+        F.last_day(F.add_months("partition_value", 11)).alias("last_day"),
+    )
+    guess = P.distinct_over(p.where(F.col("grain") == P.DAY), spans).drop("run_id")
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    return years.join(guess, ["model_name", "column_name", "span"]).select(
+        "model_name", "column_name", "span", "distinct_count", (off <= F.col("distinct_count") * 0.05 + 1).alias("within_5_percent")
+    )
 
 
 MASKED = Settings(mask_values=("event_*", "*_KEY"))

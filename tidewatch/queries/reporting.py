@@ -274,57 +274,50 @@ def response_parse(spark, sf):
 # ---------------------------------------------------------------- alerts
 
 
-def _compact(c: str) -> str:
-    return (
-        f"case when {c} is null then '—' when abs({c}) >= 1000 and {c} = floor({c}) then format('{{:,}}', {c}::bigint) "
-        f"else rtrim(rtrim(format('{{:,.4f}}', round({c}, 4)), '0'), '.') end"
-    )
-
-
-_ICON = "case severity when 'critical' then '🔴' when 'high' then '🟠' else '🟡' end"
+_VALUE = "coalesce(case when {0}_text <> '' then " + _quoted("{0}_text") + " end, " + _num("{0}_value").replace("{:,.4f}", "{{:,.4f}}") + ")"
+_FOUND = "severity in ('critical', 'high')"
 ALERT = {
     **PROMPT,
     "hit": f"""select s.*, r.root is not null as is_root, row_number() over (partition by s.run_id order by r.root is null, {O.RANK},
       round(abs(change), 9) desc, model_name, column_name, metric, partitions) as position, count(*) over (partition by s.run_id) as n_hits,
-      {_ICON} || '  *' || model_name || '* · `' || column_name || '` · ' || metric || chr(10) ||
-      case when baseline_text <> '' then baseline_text else {_compact('baseline_value')} end || ' → ' ||
-      case when current_text <> '' then current_text else {_compact('current_value')} end || '   (' ||
-      case when metric in ('min_value', 'max_value') then 'changed' else {_pct('change')} end || ')   ·   ' ||
-      case when partitions = 1 then '1 day' when partitions > 1 then partitions || ' days' else 'whole table' end ||
-      coalesce(' · since ' || first_partition, '') as line
-      from sig s left join roots r on r.run_id = s.run_id and r.root = s.model_name where severity in ('critical', 'high')""",
-    "cause_line": """select run_id, incident_rank, '*' || root || '* (' || case when is_source then 'source' else 'model' end || ') · ' ||
-      '`' || replace(columns, ', ', '`, `') || '`' || case when blast_size > 0 then '  →  ' || blast_size || ' downstream: ' || blast_radius
-      else '' end as line from incidents where incident_rank <= 3""",
-    "head": f"""select h.run_id, max(n_hits) as n_hits, (select count(*) from incidents i where i.run_id = h.run_id) as causes,
-      first({_ICON} order by position) as icon from hit h group by 1""",
-    "message": """select run_id, icon || ' demo: ' || causes || case when causes = 1 then ' root cause, ' else ' root causes, ' end || n_hits ||
-      case when n_hits = 1 then ' signal' else ' signals' end as text, n_hits from head""",
+      '[' || severity || '] ' || model_name || ' / ' || column_name || ' / ' || metric || ': ' || {_VALUE.format("baseline")} || ' to ' ||
+      {_VALUE.format("current")} || case when metric in ('min_value', 'max_value') then '' else ', moved ' || {_pct('change')} end ||
+      case when partitions = 1 then ', on 1 day' when partitions > 1 then ', on ' || partitions || ' days' else '' end ||
+      coalesce(' from ' || first_partition, '') as line
+      from sig s left join roots r on r.run_id = s.run_id and r.root = s.model_name where {_FOUND}""",
+    "origin_line": """select run_id, incident_rank, root || case when is_source then ' (source) in ' else ' (model) in ' end || columns ||
+      case when blast_size > 0 then '; reached ' || blast_size || ': ' || blast_radius else '' end as line from incidents""",
+    "message": f"""select h.run_id, count(*) as n_hits, case min({O.RANK}) when 0 then 'critical' when 1 then 'high' else 'warning' end as worst,
+      (select count(*) from incidents i where i.run_id = h.run_id) as n_origins from hit h group by 1""",
+    "titled": """select *, 'Drift in demo, worst ' || worst || ': ' || n_hits || ' signals from ' || n_origins || ' origins' as text from message""",
 }
 _SECTION = """'{{"type":"section","text":{{"type":"mrkdwn","text":' || to_json({0}) || '}}}}'"""
 
 
+def _listed(title: str, source: str, position: str, shown: int, total: str) -> str:
+    lines = f"(select string_agg(line, chr(10) order by {position}) from {source} x where x.run_id = m.run_id and {position} <= {shown})"
+    more = f"case when {total} > {shown} then chr(10) || '... and ' || ({total} - {shown}) || ' more' else '' end"
+    return _SECTION.format(f"'*{title}*' || chr(10) || {lines} || {more}")
+
+
 @query(
     "alert_topk",
     sql("select run_id, position, is_root, model_name, column_name, metric, severity, line, greatest(n_hits - 6, 0) as rest from hit where position <= 6", ALERT),
 )
 def alert_topk(spark, sf):
     seen = observed(spark, sf)
-    return A.top_signals(A.hits(seen.signals, seen.reach, "high"))
+    return A.top_signals(A.hits(seen.signals, seen.roots, "high"))
 
 
 @query(
     "alert_payload",
     sql(f"""select run_id, text, '[' || concat_ws(',',
-      '{{"type":"header","text":{{"type":"plain_text","text":' || to_json(text) || ',"emoji":true}}}}',
-      '{{"type":"context","elements":[{{"type":"mrkdwn","text":' || to_json('*demo*  ·  baseline `previous_run`  ·  threshold `high`') || '}}]}}',
-      '{{"type":"divider"}}',
-      {_SECTION.format("'*Root cause*' || chr(10) || (select string_agg('•  ' || line, chr(10) order by incident_rank) from cause_line c where c.run_id = m.run_id)")},
-      {_SECTION.format("'*Evidence*'")},
-      (select string_agg({_SECTION.format('line')}, ',' order by position) from hit h where h.run_id = m.run_id and position <= 6),
-      case when n_hits > 6 then '{{"type":"context","elements":[{{"type":"mrkdwn","text":"_+' || (n_hits - 6) || ' more signal(s) not shown_"}}]}}' end
-      ) || ']' as blocks from message m""", ALERT),
+      '{{"type":"header","text":{{"type":"plain_text","text":' || to_json(text) || '}}}}',
+      {_listed("Began at", "origin_line", "incident_rank", 3, "n_origins")},
+      {_listed("Strongest signals", "hit", "position", 6, "n_hits")},
+      '{{"type":"context","elements":[{{"type":"mrkdwn","text":"compared with previous_run  |  shown from high on"}}]}}'
+      ) || ']' as blocks from titled m""", ALERT),
 )
 def alert_payload(spark, sf):
     seen = observed(spark, sf)
-    return A.messages(seen.signals, seen.incidents, seen.reach, "demo", threshold="high")
+    return A.messages(seen.signals, seen.incidents, seen.roots, "demo", threshold="high")

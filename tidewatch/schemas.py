@@ -12,13 +12,13 @@ PROFILE_RUNS = "run_id string, started_at timestamp, finished_at timestamp, mode
 COLUMN_PROFILES = (
     "run_id string, profiled_at timestamp, model_name string, column_name string, data_type string, "
     "row_count bigint, null_count bigint, null_rate double, distinct_count bigint, distinct_rate double, "
-    "min_value string, max_value string, mean_value double"
+    "min_value string, max_value string, mean_value double, distinct_sketch binary"
 )
 
 PARTITION_PROFILES = (
     "run_id string, profiled_at timestamp, model_name string, partition_value date, column_name string, "
     "row_count bigint, null_count bigint, null_rate double, distinct_count bigint, "
-    "min_value string, max_value string, mean_value double"
+    "min_value string, max_value string, mean_value double, grain string, distinct_sketch binary"
 )
 
 DRIFT_SIGNALS = (
