@@ -246,7 +246,7 @@ def sanitise(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Dat
     mentions = scanned.select("text_key", F.explode(F.concat(*of_kinds)).alias("m")).select("text_key", "m.*").distinct()
     mentions = materialise(mentions, "mentions")
     terms = materialise(disclosing(texts, mentions), "terms")
-    marked = scanned.join(marks(texts, terms), "text_key", "left")
+    marked = scanned.join(materialise(marks(texts, terms), "marks"), "text_key", "left")
 
     placed = {k: F.transform(f"found.{k}", lambda m: F.struct(m.start.alias("start"), m.end.alias("end"))) for k in KINDS}
     clear = F.filter("term", lambda s: ~F.exists(F.concat(*placed.values()), lambda e: (s.start < e.end) & (e.start < s.end)))
