@@ -1,3 +1,6 @@
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.overlay import Edit, Scope, apply_fault, apply_faults
@@ -5,7 +8,7 @@ from tidewatch.functions.runs import RUNS, run_names
 from tidewatch.plans import evaluate as V
 from tidewatch.plans import scenarios as S
 from tidewatch.settings import Settings
-from tidewatch.sources.store import MetricStore, conform
+from tidewatch.sources.store import MetricStore, conform, history
 from tidewatch.sources.tables import read_parquet, sample_rows, write_sample
 from tidewatch.schemas import DRIFT_SIGNALS
 
@@ -104,4 +107,32 @@ def test_retried_append_does_not_duplicate(spark, tmp_path):
     for _ in range(2):
         store.append("column_profiles", rows)
     store.append("column_profiles", rows.withColumn("run_id", F.lit("r2")))
+    assert store.read("column_profiles").count() == 0  # no run is complete
+    for run in ("r1", "r2"):
+        store.commit(run, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 1)
     assert store.read("column_profiles").groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 2), ("r2", 2)]
+
+
+def test_a_run_that_died_shows_nothing(spark, tmp_path, monkeypatch):
+    """Neither a first writing nor a second one is seen before its last row."""
+    store = MetricStore(spark, str(tmp_path))
+    nodes, at = {"n": spark.range(5).withColumn("d", F.lit(dt.date(2024, 1, 1)))}, dt.datetime(2024, 1, 1)
+    store.run_profile(nodes, "whole", at)
+
+    def dies(table, rows):
+        if table == "column_profiles":
+            raise RuntimeError("lost")
+        return append(table, rows)
+
+    append = store.append
+    for run, seen in (("half", {"whole"}), ("whole", set())):
+        monkeypatch.setattr(store, "append", dies)
+        with pytest.raises(RuntimeError):
+            store.run_profile(nodes, run, at)
+        monkeypatch.undo()
+        for table in ("partition_profiles", "column_profiles"):
+            assert {r.run_id for r in store.read(table).select("run_id").distinct().collect()} == seen
+            assert store.read(table, [run]).count() == 0
+        assert history(store.read("column_profiles"), "n", "id").count() == len(seen)
+    store.run_profile(nodes, "whole", at)
+    assert store.read("partition_profiles", ["whole"]).count() == 2

@@ -124,15 +124,32 @@ def test_prompt_and_answers(watch, signals):
 
 def test_alert(watch, signals):
     (m,) = watch.alert("r3", report_url="http://reports.test/r3").collect()
-    assert m.text == "🔴 tidewatch: 1 root cause, 22 signals"
-    blocks = json.loads(m.blocks)
-    kinds = [b["type"] for b in blocks]
-    assert kinds == ["header", "context", "divider", "section", "section"] + ["section"] * 6 + ["context", "actions"]
-    assert blocks[-1]["elements"][0]["style"] == "primary"
-    assert blocks[-2]["elements"][0]["text"] == "_+16 more signal(s) not shown_"
+    assert m.text == "Drift in tidewatch, worst critical: 22 signals from 1 origins"
+    head, began, strongest, foot = json.loads(m.blocks)
+    assert head["accessory"]["url"] == "http://reports.test/r3" and head["text"]["text"] == m.text
+    assert began["text"]["text"].startswith("*Began at*\n") and "more" not in began["text"]["text"]
+    lines = strongest["text"]["text"].split("\n")
+    assert len(lines) == 8 and lines[1].startswith("[critical] ") and lines[-1] == "... and 16 more"
+    assert foot["type"] == "context"
     assert watch.alert("r2").count() == 0
 
 
+def test_report_parts_and_feeds(watch, signals):
+    parts = watch.save_report("r3", "r2", watch.explain("r3"))
+    count = {r.part: r["count"] for r in parts.groupBy("part").count().collect()}
+    assert (count["node"], count["signal"], count["incident"], count["explanation"]) == (4, 22, 1, 1)
+    over = {r.metric: r.current for r in parts.where("part = 'overview'").collect()}
+    assert over == {"nodes": 4, "rows_profiled": 270090, "signals": 22, "incidents": 1}
+    assert watch.save_report("r3", "r2").where("part = 'signal'").count() == 22  # written again, not twice
+    feed = watch.runs(2).collect()
+    assert [r.run_id for r in feed][0] == watch.latest_runs(1)[0] and len(feed) == 2
+    point = watch.store.read("report_parts", ["r3"]).where("part = 'point'").first()
+    one = watch.one_series("r3", "r2", point.model_name, point.column_name, point.metric)
+    assert one.where(f"cast(partition_value as string) = '{point.day}'").first().current == point.current
+    with pytest.raises(ValueError):
+        watch.one_series("r3", "r2", "orders", "amount", "median")
+
+
 def test_report(watch, signals):
     doc = json.loads(watch.report("r3", "r2", watch.explain("r3")).first().payload)
     assert doc["overview"] == {"nodes": 4, "rows_profiled": 270090, "signals": 22, "incidents": 1}

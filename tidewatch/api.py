@@ -179,6 +179,24 @@ class Observatory:
         columns = self._of("column_profiles", run_id)
         return P.overview(columns, self.signals(run_id), self.incidents(run_id))
 
+    def runs(self, n: int = 10) -> DataFrame:
+        """The last runs with what each measured and found, newest first."""
+        latest = self.latest_runs(n)
+        of = {t: self._of(t, *latest) for t in ("profile_runs", "column_profiles", "drift_signals", "incidents")}
+        return P.run_feed(of["profile_runs"], of["column_profiles"], of["drift_signals"], of["incidents"], n)
+
+    def one_series(self, run_id: str, baseline: str, model: str, column: str, metric: str) -> DataFrame:
+        return P.validated(self.series(run_id, baseline, "full_outer"), model, column, metric)
+
+    def save_report(self, run_id: str, baseline: str, explanations: DataFrame | None = None) -> DataFrame:
+        """Write the parts of a run's report to the store and give them back from there."""
+        found, points = materialise(self.incidents(run_id), "incidents"), materialise(self.series(run_id, baseline), "series")
+        picks = P.chart_picks(found, points)
+        self.store.save_report(P.report_parts(
+            self._of("column_profiles", run_id), self.signals(run_id), found, self.lineage_status(run_id), self.edges, picks, points, explanations
+        ))
+        return self.store.read("report_parts", [run_id])
+
     def report(self, run_id: str, baseline: str, explanations: DataFrame | None = None) -> DataFrame:
         """The whole report of a run as one JSON document."""
         found, points = self.incidents(run_id), self.series(run_id, baseline)

@@ -213,7 +213,8 @@ def payload(
         "run_id", F.struct("nodes", "rows_profiled", "signals", "incidents").alias("overview")
     )
     node_list = _array_of(status, ["run_id"], [F.col("name")], F.struct("name", "kind", "status"), "nodes")
-    edge_list = edges.agg(
+    shown = edges.join(status.select("run_id", F.col("name").alias("child")), "child")  # of the nodes of each run
+    edge_list = shown.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("parent").alias("from"), F.col("child").alias("to")))).alias("edges")
     )
     s = signals.withColumns({"sev_rank": X.severity_rank(F.col("severity")), "down": -X.settled(F.col("change"))})
@@ -258,7 +259,7 @@ def payload(
     return (
         pairs.join(over, "run_id")
         .join(node_list, "run_id", "left")
-        .withColumn("edges", edge_list.scalar())
+        .join(edge_list, "run_id", "left")
         .join(signal_list, "run_id", "left")
         .join(incident_list, "run_id", "left")
         .select(
@@ -268,5 +269,77 @@ def payload(
     )
 
 
+PART_COLUMNS = [
+    "run_id", "part", "item", "root", "model_name", "column_name", "metric", "day", "baseline", "current", "change", "severity",
+    "partitions", "baseline_text", "current_text", "detail",
+]
+_PART_TYPES = {
+    "item": "bigint", "baseline": "double", "current": "double", "change": "double", "partitions": "int",
+}
+
+
+def report_parts(
+    columns: DataFrame, signals: DataFrame, found: DataFrame, status: DataFrame, edges: DataFrame, picks: DataFrame, points: DataFrame,
+    explanations: DataFrame | None = None,
+) -> DataFrame:
+    """All that a report page shows as rows (run_id, part, item, ...), one per thing shown.
+
+    Nothing is gathered: a page reads the parts it shows, and a run with very many signals has as
+    many rows.  Parts: overview, node, edge, signal, incident, evidence, point and explanation.
+    """
+    def part(name: str, rows: DataFrame, **given: str | Column) -> DataFrame:
+        made = {k: F.col(v) if isinstance(v, str) else v for k, v in given.items()} | {"part": F.lit(name), "run_id": F.col("run_id")}
+        return rows.select(*[made.get(c, F.lit(None)).cast(_PART_TYPES.get(c, "string")).alias(c) for c in PART_COLUMNS])
+
+    measured = {
+        "model_name": "model_name", "column_name": "column_name", "metric": "metric", "baseline": "baseline_value", "current": "current_value",
+        "change": "change", "severity": "severity", "partitions": "partitions", "baseline_text": "baseline_text", "current_text": "current_text",
+        "day": "first_partition",
+    }
+    over = overview(columns, signals, found)
+    totals = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("n")) for c in ("nodes", "rows_profiled", "signals", "incidents")])
+    of_run = edges.join(status.select("run_id", F.col("name").alias("child")), "child")
+    lines = found.select("run_id", "root", F.posexplode("evidence").alias("at", "e")).select(
+        "run_id", "root", (F.col("at") + 1).alias("at"), F.col("root").alias("model_name"),
+        *[F.col(f"e.{c}") for c in rca.EVIDENCE_FIELDS if c not in ("sev_rank", "order_change")],
+    )
+    drawn = picks.join(points, ["run_id", "model_name", "column_name", "metric"])
+    parts = [
+        part("overview", over.select("run_id", F.inline(totals)), metric="name", current="n"),
+        part("node", status, model_name="name", detail="kind", severity="status"),
+        part("edge", of_run, model_name="child", detail="parent", item="position"),
+        part("signal", drift.numbered(signals), item="position", **measured),
+        part(
+            "incident", found, item="incident_rank", root="root", severity="severity", column_name=F.array_join("columns", ", "),
+            detail=F.array_join("blast_radius", ", "), baseline_text=F.when(F.col("is_source"), "source table").otherwise("model"),
+        ),
+        part("evidence", lines, item="at", root="root", **measured),
+        part(
+            "point", drawn, item="chart", root="root", model_name="model_name", column_name="column_name", metric="metric", day="partition_value",
+            baseline="baseline", current="current",
+        ),
+    ]
+    if explanations is not None:
+        parts.append(part("explanation", explanations, root="root", detail="explanation"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def run_feed(profile_runs: DataFrame, columns: DataFrame, signals: DataFrame, found: DataFrame, n: int = 10) -> DataFrame:
+    """The last runs, newest first, with what each measured and found."""
+    last = latest_runs(profile_runs, n)
+    return last.select("run_id", "started_at").join(overview(columns, signals, found), "run_id").orderBy(F.desc("started_at"), F.desc("run_id"))
+
+
+def validated(points: DataFrame, model: str, column: str, metric: str) -> DataFrame:
+    """One series; a metric that is not drawn is an error, a column without points an empty series."""
+    if metric not in CHART_METRICS:
+        raise ValueError(f"no series of {metric!r}; there are {', '.join(CHART_METRICS)}")
+    one = (F.col("model_name") == model) & (F.col("column_name") == column) & (F.col("metric") == metric)
+    return points.where(one).orderBy("partition_value")
+
+
 def payload_json(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", F.to_json(F.struct(*rows.columns)).alias("payload"))

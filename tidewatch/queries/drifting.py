@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import drift as D
+from ..operators import report as R
 from ..operators import rolling as W
 from ..oracle import build as O
 from ..session import materialise
 from ..settings import DEFAULT_THRESHOLDS, Settings
 from .base import CTES, ROLLING, RUNS, SIGNAL_SQL, observed, once, query, r6, rounded, signal_view, sql, text
+from .profiling import HISTORY, _history
 
 _KEYS = "run_id, model_name, column_name"
 
@@ -141,14 +143,14 @@ def signals_ranked(spark, sf):
 
 @query(
     "top_movers",
-    sql(f"select {SIGNAL_SQL} from (select * from sig where run_id = 'null-spike-large-week' "
-        "order by round(change, 9) desc, model_name, column_name, metric, partitions limit 10)"),
+    sql(f"select {SIGNAL_SQL} from (select * from sig where run_id = (select run_id from started order by started_at desc limit 1) "
+        "order by round(change, 9) desc, model_name, column_name, metric, partitions limit 10)", HISTORY),
 )
 def top_movers(spark, sf):
-    latest = observed(spark, sf).signals.where(F.col("run_id") == "null-spike-large-week")
-    return signal_view(
-        latest.orderBy(F.desc(X.settled(F.col("change"))), "model_name", "column_name", "metric", "partitions").limit(10)
-    )
+    """The ten largest changes of the latest run of the history."""
+    latest = R.latest_runs(_history(spark, sf).read("profile_runs"), 1).select("run_id")
+    signals = observed(spark, sf).signals.join(latest, "run_id", "left_semi")
+    return signal_view(signals.orderBy(F.desc(X.settled(F.col("change"))), "model_name", "column_name", "metric", "partitions").limit(10))
 
 
 VOLUME = {

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -12,11 +13,11 @@ from ..operators import profile as P
 from ..operators import report as R
 from ..oracle import build as O
 from ..plans import events as E
-from ..session import materialise
+from ..session import materialise, shared_dir
 from ..settings import Settings
 from ..sources import store
 from ..sources import tables as T
-from .base import observed, once, query, r6, sql, table, text
+from .base import CTES, OBSERVED, observed, once, query, r6, sql, table, text
 
 # table -> {column: class} of the given data, for the oracle (see oracle.build.metrics)
 SCHEMAS = {
@@ -77,7 +78,9 @@ def demo_sample(spark, sf):
     window = events.where(
         (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz"))
     )
-    rows = T.sample_rows(window, "event_id", 2000, seed=7)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/sample"
+    T.write_sample(T.sample_rows(window, "event_id", 2000, seed=7), path)  # zstd; what is compared is the file's
+    rows = T.read_parquet(spark, path)
     return rows.select("event_id", text("ts").alias("ts"), "event_type", r6("value").alias("value"))
 
 
@@ -354,51 +357,83 @@ def mask_bounds(spark, sf):
 
 # ---------------------------------------------------------------- history
 
-AT = {"baseline": datetime(2024, 2, 1, 6), "null-spike-large-week": datetime(2024, 2, 2, 6), "case-change-large-week": datetime(2024, 2, 3, 6)}
-_AT_SQL = " ".join(f"when '{r}' then '{t}'" for r, t in AT.items())
+# The history of the observed runs: one a day from the last event on, in the order they are observed.
+_ORDER = ["baseline", *OBSERVED]
+_STARTED = "case run_id " + " ".join(f"when '{r}' then {i}" for i, r in enumerate(_ORDER)) + " end"
+HISTORY = {
+    **CTES,
+    "started": "select run_id, models_count, cast((select max(ts) from events)::timestamp + to_days(" + _STARTED + ") as varchar) as started_at "
+               "from (select run_id, count(distinct model_name)::int as models_count from cp group by 1)",
+}
 
 
-def _runs(spark, sf):
-    """The profile_runs rows of three observed runs, oldest first, with their node counts."""
-    columns = observed(spark, sf).columns
-    at = None
-    for run, t in AT.items():
-        hit = F.col("run_id") == run
-        at = F.when(hit, F.lit(str(t))) if at is None else at.when(hit, F.lit(str(t)))
-    return columns.withColumn("started_at", at).where(F.col("started_at").isNotNull())
+def _history(spark, sf) -> store.MetricStore:
+    """A store that holds every observed run, written as `run_profile` writes one."""
+    def make():
+        last = table(spark, sf, "events").agg(F.max("ts").cast("string").alias("ts")).first().ts
+        start = datetime.fromisoformat(last)
+        kept = store.MetricStore(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+        seen = observed(spark, sf)
+        both = seen.partitions.withColumns({"data_type": F.lit(None).cast("string"), "distinct_rate": F.lit(None).cast("double")})
+        whole = seen.columns.withColumns({"grain": F.lit(P.WHOLE), "partition_value": F.lit(None).cast("date")})
+        kept.add_profiles(whole.unionByName(both), {r: start + timedelta(days=i) for i, r in enumerate(_ORDER)}, finished_at=start)
+        at = F.lit(start).cast("timestamp")
+        # Signals of some runs were written before three columns existed.
+        early = F.col("run_id").startswith("unit")
+        old = seen.signals.where(early).withColumn("detected_at", at).drop("partitions", "baseline_text", "current_text", "first_partition")
+        old.write.partitionBy("run_id").parquet(kept.path("drift_signals"))
+        kept.append("drift_signals", seen.signals.where(~early).withColumn("detected_at", at))
+        return kept
+
+    return once(spark, ("history", sf), make)
 
 
 @query(
     "column_history",
-    sql(f"select run_id, case run_id {_AT_SQL} end as profiled_at, row_count, round(null_rate, 6) as null_rate, distinct_count, min_value, "
-        f"max_value from cp where model_name = 'events' and column_name = 'user_id' and run_id in {tuple(AT)} order by 2"),
+    sql("select run_id, started_at as profiled_at, row_count, round(null_rate, 6) as null_rate, distinct_count, min_value, "
+        "max_value from cp join started using (run_id) where model_name = 'events' and column_name = 'user_id' order by 2", HISTORY),
 )
 def column_history(spark, sf):
-    rows = _runs(spark, sf).withColumn("profiled_at", F.col("started_at"))
-    return store.history(rows, "events", "user_id").withColumn("null_rate", r6("null_rate"))
+    rows = store.history(_history(spark, sf).read("column_profiles"), "events", "user_id")
+    return rows.withColumns({"null_rate": r6("null_rate"), "profiled_at": text("profiled_at")})
+
+
+@query("latest_runs", sql("select run_id, started_at, models_count from started order by 2 desc limit 2", HISTORY))
+def latest_runs(spark, sf):
+    """The two newest runs of the stored history."""
+    runs = R.latest_runs(_history(spark, sf).read("profile_runs"), 2)
+    return runs.select("run_id", text("started_at").alias("started_at"), "models_count")
 
 
 @query(
-    "latest_runs",
-    sql(f"select run_id, case run_id {_AT_SQL} end as started_at, count(distinct model_name) as models_count from cp "
-        f"where run_id in {tuple(AT)} group by 1 order by 2 desc limit 2"),
+    "run_feed",
+    sql("select s.run_id, s.started_at, s.models_count::bigint as nodes, sum(v.n)::bigint as rows_profiled, "
+        "(select count(*) from sig x where x.run_id = s.run_id) as signals, (select count(*) from roots x where x.run_id = s.run_id) as incidents "
+        "from started s join (select run_id, model_name, max(row_count) as n from cp group by 1, 2) v on v.run_id = s.run_id group by all "
+        "order by 2 desc limit 4", HISTORY),
 )
-def latest_runs(spark, sf):
-    runs = _runs(spark, sf).groupBy("run_id", "started_at").agg(F.count_distinct("model_name").alias("models_count"))
-    return R.latest_runs(runs, 2)
+def run_feed(spark, sf):
+    """The last four runs of the history with what each measured and found."""
+    kept = _history(spark, sf)
+    feed = R.run_feed(kept.read("profile_runs"), kept.read("column_profiles"), kept.read("drift_signals"), observed(spark, sf).incidents, 4)
+    return feed.withColumn("started_at", text("started_at"))
 
 
 @query(
     "profile_run_history",
-    sql("select run_id, model_name, 'table' as grain, count(*) as profiles, sum(row_count)::bigint as measured from cp group by 1, 2 union all "
-        "select run_id, model_name, 'day', count(*), sum(row_count)::bigint from pp group by 1, 2"),
+    sql("select run_id, model_name, 'table' as grain, count(*) as profiles, sum(row_count)::bigint as measured, any_value(started_at) as first_at from cp "
+        "join started using (run_id) group by 1, 2 union all "
+        "select run_id, model_name, 'day', count(*), sum(row_count)::bigint, any_value(started_at) from pp join started using (run_id) group by 1, 2", HISTORY),
 )
 def profile_run_history(spark, sf):
-    seen = observed(spark, sf)
-    both = seen.columns.select("run_id", "model_name", "row_count", F.lit("table").alias("grain")).unionByName(
-        seen.partitions.select("run_id", "model_name", "row_count", F.lit("day").alias("grain"))
+    """Rows of both profile tables as the store holds them."""
+    kept = _history(spark, sf)
+    both = kept.read("column_profiles").select("run_id", "model_name", "row_count", "profiled_at", F.lit("table").alias("grain")).unionByName(
+        kept.read("partition_profiles").select("run_id", "model_name", "row_count", "profiled_at", "grain")
+    )
+    return both.groupBy("run_id", "model_name", "grain").agg(
+        F.count(F.lit(1)).alias("profiles"), F.sum("row_count").alias("measured"), text(F.min("profiled_at")).alias("first_at")
     )
-    return both.groupBy("run_id", "model_name", "grain").agg(F.count(F.lit(1)).alias("profiles"), F.sum("row_count").alias("measured"))
 
 
 @query(
@@ -407,12 +442,9 @@ def profile_run_history(spark, sf):
         "case when run_id like 'unit%' then null else baseline_text end as baseline_text from sig"),
 )
 def history_merge_schema(spark, sf):
-    """Signals written before three columns existed, read next to current ones."""
-    signals = observed(spark, sf).signals
-    early = F.col("run_id").startswith("unit")
-    old = signals.where(early).drop("partitions", "baseline_text", "current_text", "first_partition")
-    merged = signals.where(~early).unionByName(old, allowMissingColumns=True)
-    return merged.select("run_id", "model_name", "column_name", "metric", "severity", "partitions", "baseline_text")
+    """Signals written before three columns existed, read from one table next to current ones."""
+    kept = _history(spark, sf).read("drift_signals")
+    return kept.select("run_id", "model_name", "column_name", "metric", "severity", "partitions", "baseline_text")
 
 
 @query(

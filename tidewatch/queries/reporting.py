@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import alert as A
 from ..operators import explain as X
 from ..operators import report as R
 from ..oracle import build as O
-from ..session import materialise
+from ..session import materialise, shared_dir
+from ..sources.store import MetricStore
 from .base import CTES, OBSERVED, observed, once, query, r6, sql, text
 from .causes import status
 
@@ -169,6 +172,58 @@ def report_payload(spark, sf):
     )
 
 
+_PARTS = "run_id, part, item, root, model_name, column_name, metric, day, baseline, current, change, severity, partitions, baseline_text, current_text, detail"
+
+
+def _part(part: str, source: str, **given: str) -> str:
+    columns = {c: "null" for c in _PARTS.split(", ")} | given | {"part": f"'{part}'", "run_id": "run_id"}
+    kinds = {"item": "bigint", "baseline": "double", "current": "double", "change": "double", "partitions": "int"}
+    return "select " + ", ".join(f"cast({v} as {kinds.get(c, 'varchar')}) as {c}" for c, v in columns.items()) + f" from {source}"
+
+
+_MEASURED = {
+    "model_name": "model_name", "column_name": "column_name", "metric": "metric", "baseline": "baseline_value", "current": "current_value",
+    "change": "change", "severity": "severity", "partitions": "partitions", "baseline_text": "baseline_text", "current_text": "current_text",
+    "day": "first_partition",
+}
+_RUN_OF = "(select distinct run_id from sig)"
+REPORT = {
+    **PICKS,
+    "over": _OVER,
+    "parts": " union all ".join([
+        *[_part("overview", f"(select * from over where run_id in {_RUN_OF})", metric=f"'{c}'", current=c) for c in ("nodes", "rows_profiled", "signals", "incidents")],
+        _part("node", f"(select r.run_id, n.*, case when exists (select 1 from roots x where x.run_id = r.run_id and x.root = n.name) then 'root' when exists "
+              f"(select 1 from blast x where x.run_id = r.run_id and x.node = n.name) then 'affected' else 'clean' end as status from {_RUN_OF} r cross join nodes n)",
+              model_name="name", detail="case when is_source then 'source' else 'model' end", severity="status"),
+        _part("edge", f"(select r.run_id, e.* from {_RUN_OF} r cross join edges e)", model_name="child", detail="parent", item="0"),
+        _part("signal", f"(select *, row_number() over (partition by run_id order by {O.RANK}, round(change, 9) desc, model_name, column_name, metric, partitions) "
+              "as position from sig)", item="position", **_MEASURED),
+        _part("incident", "incidents", item="incident_rank", root="root", severity="severity", column_name="columns", detail="blast_radius",
+              baseline_text="case when is_source then 'source table' else 'model' end"),
+        _part("evidence", "(select *, root as model_name, row_number() over (partition by run_id, root order by sev_rank, round(change, 9) desc, column_name, metric, "
+              "partitions) as position from evidence)", item="position", root="root", **_MEASURED),
+        _part("point", "(select * from picks p join ser s using (run_id, model_name, column_name, metric))", item="chart", root="root", model_name="model_name",
+              column_name="column_name", metric="metric", day="partition_value", baseline="baseline", current="current"),
+    ]),
+}
+_SHOWN = ", ".join(f"round({c}, 6) as {c}" if c in ("baseline", "current", "change") else c for c in _PARTS.split(", "))
+
+
+@query("report_parts", sql(f"select {_SHOWN} from parts", REPORT))
+def report_parts(spark, sf):
+    """The whole report of every run, value by value, written by run and part and read back."""
+    def make():
+        seen, points = observed(spark, sf), _series(spark, sf)
+        picks = R.chart_picks(seen.incidents, points)
+        compared = seen.columns.join(seen.signals.select("run_id").distinct(), "run_id", "left_semi")
+        kept = MetricStore(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+        kept.save_report(R.report_parts(compared, seen.signals, seen.incidents, status(spark, sf), seen.edges, picks, points))
+        return kept.read("report_parts")
+
+    rows = once(spark, ("report", sf), make)
+    return rows.select(*[r6(c).alias(c) if c in ("baseline", "current", "change") else c for c in R.PART_COLUMNS])
+
+
 # ---------------------------------------------------------------- prompts
 
 

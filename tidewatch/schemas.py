@@ -34,6 +34,12 @@ INCIDENTS = (
 
 SKIPPED_NODES = "run_id string, model_name string, partitions bigint, partition_limit int"
 
+REPORT_PARTS = (
+    "run_id string, part string, item bigint, root string, model_name string, column_name string, metric string, "
+    "day string, baseline double, current double, change double, severity string, partitions int, "
+    "baseline_text string, current_text string, detail string"
+)
+
 ANSWERS = "prompt_key string, prompt string, response string"
 
 TABLES = {
@@ -44,4 +50,5 @@ TABLES = {
     "partition_profiles": PARTITION_PROFILES,
     "drift_signals": DRIFT_SIGNALS,
     "incidents": INCIDENTS,
+    "report_parts": REPORT_PARTS,
 }

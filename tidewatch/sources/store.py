@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,9 @@ from ..session import materialise
 from ..settings import Settings
 
 
+PROFILED = ("column_profiles", "partition_profiles", "skipped_nodes")
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Rows in a table's current shape; columns added since they were written are null."""
     target = T.StructType.fromDDL(schema)
@@ -46,22 +49,35 @@ class MetricStore:
         """The table in its current schema, of the named runs only if any are named.
 
         Naming runs names their folders, so the others are not even listed.  An empty
-        table if nothing was written yet.
+        table if nothing was written yet.  Profiles of a run are seen once the run has its row in
+        `profile_runs`, which is written last: a run that died half-way shows nothing.
         """
         schema = T.StructType.fromDDL(TABLES[table])
         root = self.path(table)
+        if runs is not None and table in PROFILED:
+            runs = [r for r in runs if self._exists(self._marker(r))]
         paths = [root] if runs is None else [f"{root}/run_id={run}" for run in dict.fromkeys(runs)]
         paths = [p for p in paths if self._exists(p)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         # An explicit schema is the merged one: older files lack later columns.
         df = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+        if runs is None and table in PROFILED:
+            df = df.join(self.read("profile_runs").select("run_id").distinct(), "run_id", "left_semi")
         return df.select(*[f.name for f in schema.fields])
 
+    def _marker(self, run: str) -> str:
+        return f"{self.path('profile_runs')}/run_id={run}"
+
     def _exists(self, path: str) -> bool:
         where, fs = self._fs(path)
         return fs.exists(where)
 
+    def _remove(self, path: str) -> None:
+        where, fs = self._fs(path)
+        if fs.exists(where):
+            fs.delete(where, True)
+
     def add_answers(self, fresh: DataFrame) -> None:
         """Keep new answers; a prompt that two jobs asked has two rows, and either serves."""
         conform(fresh, TABLES["answers"]).write.mode("append").parquet(self.path("answers"))
@@ -87,24 +103,37 @@ class MetricStore:
         if present:
             self.append(table, rows)
         for run in set(run_ids) - present:
-            where, fs = self._fs(f"{self.path(table)}/run_id={run}")
-            if fs.exists(where):
-                fs.delete(where, True)
+            self._remove(f"{self.path(table)}/run_id={run}")
 
     def run_profile(
         self, nodes: dict[str, DataFrame], run_id: str, started_at: datetime,
         settings: Settings | None = None, finished_at: datetime | None = None,
     ) -> None:
-        """Profile nodes and add them to the history; the run row is written last."""
-        settings = settings or Settings()
+        """Profile nodes and add them to the history."""
         stored = materialise(P.profile_nodes(nodes, settings, [run_id]), "profiles")
-        at = F.lit(started_at).cast("timestamp")
+        self.add_profiles(stored, {run_id: started_at}, settings, finished_at)
+
+    def add_profiles(
+        self, stored: DataFrame, started: Mapping[str, datetime], settings: Settings | None = None, finished_at: datetime | None = None
+    ) -> None:
+        """Add the profiles of some runs, all grains, to the history.
+
+        The rows that make the runs visible go first, if they were written before, and come
+        back last.
+        """
+        settings = settings or Settings()
+        for run in started:
+            self._remove(self._marker(run))
+        starts = self.spark.createDataFrame(list(started.items()), "run_id string, profiled_at timestamp")
+        dated = stored.join(starts, "run_id")
         if settings.max_partitions is not None:
             over = P.partition_guard(stored, settings).where(~F.col("kept"))
             self.append("skipped_nodes", over.withColumn("partition_limit", F.lit(settings.max_partitions)))
-        self.append("partition_profiles", P.partition_profiles(stored, settings).withColumn("profiled_at", at))
-        self.append("column_profiles", P.column_profiles(stored).withColumn("profiled_at", at))
-        self.commit(run_id, started_at, finished_at or datetime.now(), len(nodes))
+        self.append("partition_profiles", P.partition_profiles(dated, settings))
+        self.append("column_profiles", P.column_profiles(dated))
+        models = stored.groupBy("run_id").agg(F.count_distinct("model_name").cast("int").alias("models_count"))
+        runs = starts.withColumnRenamed("profiled_at", "started_at").join(models, "run_id", "left")
+        self.append("profile_runs", runs.withColumn("finished_at", F.lit(finished_at or datetime.now()).cast("timestamp")))
 
     def commit(self, run_id: str, started_at: datetime, finished_at: datetime, models: int) -> None:
         row = [(run_id, started_at, finished_at, models)]
@@ -119,6 +148,12 @@ class MetricStore:
         self.replace_runs("incidents", R.flattened(found).withColumn("detected_at", at), run_ids)
 
 
+    def save_report(self, parts: DataFrame) -> None:
+        """Keep the rows of reports, by run and part; those of the same run and part are replaced."""
+        rows = conform(parts, TABLES["report_parts"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("run_id", "part").parquet(self.path("report_parts"))
+
+
 def history(columns: DataFrame, model: str, column: str) -> DataFrame:
     """One column's measurements across runs, oldest first."""
     return (
