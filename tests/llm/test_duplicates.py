@@ -216,6 +216,15 @@ def test_templates_of_odd_rows(odd, empty):
     assert line_templates.drop_templates(empty).collect() == []
 
 
+def test_working_columns_of_templates_clash_with_nothing(spark, odd):
+    names = ["dropped", "text_key", "form", "form_key", "leaf", "at", "row", "n", "first", "exact", "docs"]
+    clash = odd.selectExpr("*", *[f"'{n}!' AS `{n}`" for n in names], "'gone' AS n_lines")
+    got = line_templates.drop_templates(clash)
+    assert got.columns == [c for c in clash.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    rows = got.collect()
+    assert len(rows) == odd.count() and all(r[n] == f"{n}!" for r in rows for n in names)
+
+
 def dropped(spark, texts, **how):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.text for r in line_templates.drop_templates(rows, **how).collect()}
