@@ -183,7 +183,8 @@ def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     pairs = materialise(candidates(mentions), "candidates")
     n = docs.select("text_key").distinct().agg(F.count("*").alias("n"))
     n_e = mentions.groupBy("entity").agg(F.countDistinct("text_key").alias("n_e"))
-    held = terms_of(docs, pairs.select("term").distinct())
+    # Written, as what docs are joined with must have a size that Spark knows before it plans the join.
+    held = terms_of(docs, materialise(pairs.select("term").distinct(), "candidate_terms"))
     n_t = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     graded = pairs.join(n_e, "entity").join(n_t, "term").withColumn("n", n.scalar())
     left = F.log2(F.col("n_t") / F.col("n_et"))
@@ -196,7 +197,7 @@ def marks(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_key, term) with the places of the disclosing terms in each text that holds any."""
     held = terms_of(docs, terms).distinct().join(terms, "term")
     of_text = held.groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"))
-    texts = docs.join(of_text, "text_key").dropDuplicates(["text_key"])
+    texts = docs.join(materialise(of_text, "texts_with_terms"), "text_key").dropDuplicates(["text_key"])
 
     def made(m: Column, start: Column, parts: Column, i: Column) -> Column:
         return F.struct(
