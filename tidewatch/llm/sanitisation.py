@@ -169,7 +169,11 @@ def candidates(mentions: DataFrame) -> DataFrame:
     counts = told.groupBy("entity", "term").agg(
         F.countDistinct("text_key").alias("n_et"), F.countDistinct("around").alias("n_around")
     )
-    return counts.where((F.col("n_et") >= SUPPORT) & (2 * F.col("n_around") >= F.col("n_et"))).select("entity", "term", "n_et")
+    counts = counts.where((F.col("n_et") >= SUPPORT) & (2 * F.col("n_around") >= F.col("n_et")))
+    # A term is in as many texts at least as hold it beside any entity: common words need no further count.
+    least = told.groupBy("term").agg(F.countDistinct("text_key").alias("n_beside"))
+    possible = F.log2(F.col("n_beside") / F.col("n_et")) <= GENERALISE_BITS
+    return counts.join(least, "term").where(possible).select("entity", "term", "n_et")
 
 
 def terms_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
