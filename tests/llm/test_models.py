@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -244,16 +245,68 @@ def test_quality_rules_of_odd_rows(odd, empty):
     assert quality_rules.judge(empty).collect() == []
 
 
-def test_languages_without_a_reference_are_kept(spark):
-    """By language or by script; junk in a known language, or in none, still goes."""
+def test_verdicts_do_not_follow_the_named_language(spark):
+    """Clean text of a language or script without a reference stays, junk goes, whatever they name."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     rnd = random.Random(4)
     stems = ["".join(rnd.choice("bcdklmnprstwz") + rnd.choice("aeiouy") for _ in range(rnd.randint(1, 4))) for _ in range(500)]
     greek = str.maketrans("abcdeiklmnoprstuwyz", "αβγδεικλμνοπρστυωψζ")
-    text = " ".join(rnd.choice(stems) for _ in range(400)) + "."
-    own = [(-1, text, "pl"), (-2, text.translate(greek), "el"), (-3, text.translate(greek), None), (-4, text, "en"), (-5, text, None), (-6, text, "en-GB")]
+    sentence = lambda: ", ".join(" ".join(rnd.choice(stems) for _ in range(5)) for _ in range(rnd.randint(1, 3))).capitalize() + "."
+    text = " ".join(sentence() for _ in range(45))
+    junk = " ".join(rnd.choice(stems) + rnd.choice(["###", "$$$", "&&&"]) for _ in range(400))
+    named = ["pl", "el", "it", "pt", "en", "en-GB", None]
+    own = [(-1 - 3 * i - k, t, lang) for i, lang in enumerate(named) for k, t in enumerate((text, text.translate(greek), junk))]
     got = quality_rules.judge(docs.unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string"))).where("doc_id < 0")
-    assert {r.doc_id: r.rules.kept for r in got.collect()} == {-1: True, -2: True, -3: True, -4: False, -5: False, -6: False}
+    assert {r.doc_id: r.rules.kept for r in got.collect()} == {d: (-1 - d) % 3 != 2 for d, _, _ in own}
+
+
+def test_op3_verdicts_equal_brute_force(spark, small):
+    """Common words, references of two rounds and verdicts, counted in plain Python."""
+    rows = [(r.doc_id, r.text or "", r.lang or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    plain = lambda w: w.rstrip(".,;:!?").lower()
+    long = [(t, lang) for _, t, lang in rows if len(words(t)) >= 50]
+    sizes = Counter(lang for _, lang in long)
+    sizes = {k: n for k, n in sizes.items() if n >= quality_rules.LANGUAGE_SHARE * len(long)}
+    held = {k: Counter(w for t, lang in long if lang == k for w in {plain(w) for w in words(t)}) for k in sizes}
+    tops = {k: sorted((-n, w) for w, n in held[k].items() if w and n >= quality_rules.HELD * sizes[k])[: quality_rules.TOP] for k in sizes}
+    assert quality_rules.common_words(spark.read.parquet(f"{small}/documents.parquet")) == {k: [w for _, w in tops[k]] for k in sizes}
+    bins = sorted({w for top in tops.values() for _, w in top})
+
+    def histograms(t):
+        classes = [sum(1 for c in t if re.match(f"[{k}]", c)) for k in quality_rules.CLASSES]
+        chars = sum(map(len, words(t)))
+        seen = Counter(plain(w) for w in words(t))
+        counted = [seen[b] for b in bins]
+        return [*classes, len(t) - chars, chars - sum(classes)], [*counted, len(words(t)) - sum(counted)]
+
+    def jsd(p, q):
+        p = [x / sum(p) for x in p]
+        terms = [(x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)]
+        return math.sqrt(max(sum(terms) / 2, 0))
+
+    made = {d: (lang, *histograms(t), brute_rules(t)) for d, t, lang in rows}
+
+    def reference(of):
+        out = []
+        for k in sizes:
+            mine = [made[d] for d in of if made[d][0] == k]
+            if mine:
+                sums = [[sum(x) for x in zip(*[m[i] for m in mine])] for i in (1, 2)]
+                out.append([[x / sum(s) for x in s] for s in sums])
+        return out
+
+    def kept(d, known):
+        _, chars, counted, base = made[d]
+        if base[-1]:
+            return False
+        n, far = sum(counted), [min(jsd(h, r[i]) for r in known) for i, h in enumerate((chars, counted))]
+        off = [length >= least and f > a + b / math.sqrt(length) for f, length, (least, a, b) in zip(far, (sum(chars), n), (quality_rules.CHAR_LIMIT, quality_rules.WORD_LIMIT))]
+        return not (off[0] or (off[1] and counted[-1] <= (1 - quality_rules.KNOWN) * n))
+
+    first = reference([d for d in made if not made[d][3][-1]])
+    known = reference([d for d in made if kept(d, first)])
+    got = {r.doc_id: r.kept for r in entry.queries()["op3_quality_rules"](spark, small).collect()}
+    assert got == {d: kept(d, known) for d in made} and len(set(got.values())) == 2
 
 
 def test_rules_stay_native(spark, small):

@@ -1,9 +1,12 @@
 """Quality rules by distribution divergence, in DataFrame operations only.
 
 A document is described by two histograms: of its characters over eight classes, and of its
-words over the common words of some languages (and one bin for all other words).  The
-references are the same histograms of each language's documents, summed over those that pass
-the base rule; a second round leaves out the documents that the first references reject.
+words over the common words of the corpus' languages (and one bin for all other words).  Common
+are the `TOP` words of a language that most of its documents hold, at least `HELD` of them; they are
+counted over all documents.  The references are the histograms of each language's documents, summed
+over those that pass the base rule; a second round leaves out the documents that the first
+references reject.  A language is what documents name as theirs (those that name none are a group
+of their own), and has a reference if `LANGUAGE_SHARE` of all documents name it: at most 50 do.
 A document whose Jensen-Shannon distance to its nearest reference is above a threshold is
 rejected.  A short text says little about a distribution: each distance counts only from a
 minimum length on, and its threshold falls with the root of the length.
@@ -13,9 +16,10 @@ word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
 word_distance, kept), which replaces a column of that name.  A null or empty text has no
 words, fails the base rule and has null distances; repeated rows are judged each; an empty
 table gives an empty table; with no reference the distances are null and only the base rule
-counts.  No reference fits a document in a language that isn't among COMMON_WORDS, or one mostly
-of letters that aren't Latin: its distances are given, but the base rule alone decides.  A document
-without a language is held against the nearest reference like those of the known languages.
+counts.  What a document names as its language decides nothing: it is held against every
+reference.  A text of which less than `KNOWN` are common words of any language is in none of them, and
+its words are not judged, only its characters; of one mostly of letters that aren't Latin, the
+base rule alone decides.
 """
 
 from __future__ import annotations
@@ -23,19 +27,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import SPACES, materialise, query, table, text_of
 
-# Frequent function words of each language, the bins of the word histogram.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "on", "be", "by"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"],
-}
-BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
+TOP, HELD, LANGUAGE_SHARE, KNOWN = 16, 0.1, 0.02, 0.1
 
 # Character classes, as regular expressions know them.  Two more classes are
 # white space, whose count is what words leave, and the rest.
@@ -80,13 +77,45 @@ def _repeat_words(words: Column) -> Column:
     return let(windows, lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(covered(found)))
 
 
-def _word_counts(words: Column) -> Column:
-    """Counts of the common words, and of all others, in the order of BINS."""
-    plain = F.transform(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
-    common = F.filter(plain, lambda w: w.isin(*BINS))
+def _plain(word: Column) -> Column:
+    return F.lower(F.rtrim(word, F.lit(".,;:!?")))
+
+
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Of each language with a reference the words that most of its documents hold.
+
+    A document has so many words, so that few can be held by a tenth of all; the rest is left out
+    before any are ranked.
+    """
+    known = docs.select(_language(lang).alias("lang"), words_of(text_of(text)).alias("words")).where(F.size("words") >= MIN_WORDS)
+    sizes = {r.lang: r["count"] for r in _shares(known).collect()}  # at most 1 / LANGUAGE_SHARE rows
+    if not sizes:
+        return {}
+    each = known.where(F.col("lang").isin(*sizes)).select("lang", F.explode(F.array_distinct(F.transform("words", _plain))).alias("word"))
+    least = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, HELD * n)])[F.col("lang")]
+    counts = each.groupBy("lang", "word").count().where((F.col("count") >= least) & (F.col("word") != ""))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    out: dict[str, list[str]] = {k: [] for k in sizes}
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= TOP).orderBy("lang", "rank").collect():
+        out[r.lang].append(r.word)
+    return out
+
+
+def _shares(known: DataFrame) -> DataFrame:
+    """The languages that enough documents name."""
+    counts = known.groupBy("lang").count()
+    total = known.agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("count") >= LANGUAGE_SHARE * total.scalar())
+
+
+def _word_counts(words: Column, bins: list[str]) -> Column:
+    """Counts of the common words, and of all others, in the order of bins."""
+    if not bins:
+        return F.array(F.size(words))
+    common = F.filter(F.transform(words, _plain), lambda w: w.isin(*bins))
     return let(
         common,
-        lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, b)) for b in BINS], F.size(words) - F.size(c)),
+        lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, b)) for b in bins], F.size(words) - F.size(c)),
     )
 
 
@@ -113,7 +142,7 @@ def _language(lang: str) -> Column:
     return F.when(found == "und", "").otherwise(F.coalesce(found, F.lit("")))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, bins: list[str], text: str = "text") -> DataFrame:
     """docs with the struct `__measured`: the base counts and both histograms."""
     t = text_of(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
@@ -123,7 +152,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).alias("word_chars"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
-            _word_counts(words).alias("words"),
+            _word_counts(words, bins).alias("words"),
         )
 
     return docs.withColumn("__measured", let(words_of(t), of_words)).withColumn(
@@ -147,17 +176,16 @@ def base_failed(m: str = "__measured") -> Column:
     )
 
 
-def references(measured: DataFrame, lang: str = "lang") -> list[tuple[list[float], list[float]]]:
-    """Of each known language the character and word distribution of its documents.
-
-    One row for each of the languages of COMMON_WORDS, whatever else the column holds.
-    """
+def references(measured: DataFrame, languages: dict[str, list[str]], n_bins: int, lang: str = "lang") -> list[tuple[list[float], list[float]]]:
+    """Of each language the character and word distribution of its documents."""
     def sums(field: str, n: int) -> list[Column]:
         return [F.sum(F.get(F.col(f"__measured.{field}"), F.lit(i)).cast("long")).alias(f"{field}{i}") for i in range(n)]
 
-    n_chars, n_words = len(CLASSES) + 2, len(BINS) + 1
-    known = measured.where(F.col(lang).isin(*COMMON_WORDS) & ~F.col("__measured.foreign"))
-    rows = known.groupBy(lang).agg(*sums("chars", n_chars), *sums("words", n_words)).collect()
+    if not languages:
+        return []
+    n_chars = len(CLASSES) + 2
+    known = measured.withColumn("__language", _language(lang)).where(F.col("__language").isin(*languages) & ~F.col("__measured.foreign"))
+    rows = known.groupBy("__language").agg(*sums("chars", n_chars), *sums("words", n_bins + 1)).collect()
     out = []
     for row in sorted(rows, key=lambda r: r[0]):
         chars, words = row[1 : 1 + n_chars], row[1 + n_chars :]
@@ -179,7 +207,7 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda t: F.when(t > 0, of(t.cast("double"))))
 
 
-def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]], lang: str = "lang") -> DataFrame:
+def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
     """measured with both distances and the verdict, against the references."""
     def nearest(field: str, which: int) -> Column:
         found = [distance(F.col(f"__measured.{field}"), r[which]) for r in known]
@@ -191,24 +219,28 @@ def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]],
 
     n_chars = F.aggregate("__measured.chars", F.lit(0), lambda a, x: a + x)
     near = measured.select("*", nearest("chars", 0).alias("__chars_off"), nearest("words", 1).alias("__words_off"))
-    rejected = off(n_chars, "__chars_off", CHAR_LIMIT) | off(F.col("__measured.n_words"), "__words_off", WORD_LIMIT)
-    fits = ~F.col("__measured.foreign") & _language(lang).isin("", *COMMON_WORDS)
-    return near.withColumn("__kept", ~base_failed() & ~(fits & rejected))
+    n_words = F.col("__measured.n_words")
+    in_known = F.element_at("__measured.words", -1) <= (1 - KNOWN) * n_words
+    rejected = off(n_chars, "__chars_off", CHAR_LIMIT) | (in_known & off(n_words, "__words_off", WORD_LIMIT))
+    return near.withColumn("__kept", ~base_failed() & ~(~F.col("__measured.foreign") & rejected))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """The texts' measures are written once, as the references need all of them."""
-    measured = measure(docs.drop("rules"), text)
+    docs = docs.drop("rules")
+    languages = common_words(docs, text, lang)
+    bins = sorted({w for words in languages.values() for w in words})
+    measured = measure(docs, bins, text)
     measured = materialise(measured if keep_text else measured.drop(text), "measured")
-    first = references(measured.where(~base_failed()), lang)
-    known = references(verdicts(measured, first, lang).where("__kept"), lang)
+    first = references(measured.where(~base_failed()), languages, len(bins), lang)
+    known = references(verdicts(measured, first).where("__kept"), languages, len(bins), lang)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rules = F.struct(
         *[F.col(f"__measured.{c}").alias(c) for c in counts],
         base_failed().alias("base_failed"), F.col("__chars_off").alias("char_distance"), F.col("__words_off").alias("word_distance"),
         F.col("__kept").alias("kept"),
     )
-    return verdicts(measured, known, lang).select(*[f"`{c}`" for c in measured.columns if c != "__measured"], rules.alias("rules"))
+    return verdicts(measured, known).select(*[f"`{c}`" for c in measured.columns if c != "__measured"], rules.alias("rules"))
 
 
 @query("op3_quality_rules")
