@@ -113,8 +113,9 @@ def metrics(column: str, kind: str, bounds: bool = True) -> str:
         lo, hi = (f"cast(round({fn}({c}), 6)::decimal(38, 6) as varchar)" for fn in ("min", "max"))
     else:
         lo, hi = (f"cast({fn}({c}) as varchar)" for fn in ("min", "max"))
-    if kind == "l":  # lists are written without blanks
-        lo, hi = (f"replace({x}, ', ', ',')" for x in (lo, hi))
+    if kind == "l":  # by six digits
+        digits = "list_transform({}, lambda x: cast(round(cast(x as decimal(38, 12)), 6) as decimal(38, 6))::varchar)"
+        lo, hi = (f"'[' || array_to_string({digits.format(f'{fn}({c})')}, ',') || ']'" for fn in ("min", "max"))
     return (
         f"count(*) as row_count, count(*) - count({c}) as null_count, {distinct} as distinct_count, "
         f"{lo} as min_value, {hi} as max_value, {mean} as mean_value"
