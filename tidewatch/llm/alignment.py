@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import agreeing, binary, blocks, materialise, query, table
+from .base import agreeing, binary, blocks, materialise, nullable, query, table
 from .token_counts import PROVEN
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -236,17 +236,6 @@ def align(
     return back.select(*[F.col(f"row.`{c}`") for c in own], *[c for c in made if keep_groups or c != "groups"])
 
 
-def nullable(kind: T.DataType) -> T.DataType:
-    """The type with nulls allowed at every depth, as Python workers return it."""
-    if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
-    if isinstance(kind, T.ArrayType):
-        return T.ArrayType(nullable(kind.elementType))
-    if isinstance(kind, T.MapType):
-        return T.MapType(kind.keyType, nullable(kind.valueType))
-    return kind
-
-
 def schema_without(schema: T.StructType, *names: str) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in names])
 

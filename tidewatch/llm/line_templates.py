@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .alignment import nullable
-from .base import SPACES, blocks, materialise, query, table
+from .base import SPACES, blocks, materialise, nullable, query, table
 
 DEPTH, MIN_DOCS = 3, 10
 SAME_DOCS = 2  # documents that make a line recur which is the same in all of them
