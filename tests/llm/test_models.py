@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -382,3 +383,40 @@ def test_decontamination_of_odd_rows(spark, odd, empty, monkeypatch, block):
     assert hit == {50: [(1, 3, 3 + len(first), 0)]}
     assert all(not r.matches for r in decontamination.find(odd, bench.where("false")).collect())
     assert decontamination.find(empty, bench).collect() == []
+
+
+@pytest.mark.parametrize("held", [{"STRETCH": 100, "EVENTS": 7, "KNOWN": 2}, {"STRETCH": 1 << 20, "EVENTS": 1, "KNOWN": 1}])
+def test_what_a_worker_holds_does_not_change_matches(small, spark, texts, monkeypatch, held):
+    rows = spark.read.parquet(f"{small}/benchmark.parquet").collect()
+    index = decontamination.Index([r.item_id for r in rows], [decontamination.plain(r.text) for r in rows])
+    some = [t for t in texts.values() if len(t) < 5000] + ["- " * 400 + rows[0].text, rows[1].text[:-2] + "-" * 300]
+    whole = decontamination.search(index, some)
+    for name, value in held.items():
+        monkeypatch.setattr(decontamination, name, value)
+    assert any(whole) and [sorted(m) for m in decontamination.search(index, some)] == [sorted(m) for m in whole]
+
+
+@pytest.mark.parametrize("item", [b"-" * 300, b"one two three four five six " + b"-" * 300, b"- - ab-" * 60])
+def test_repeated_characters_take_bounded_memory(item):
+    index = decontamination.Index([1], [item])
+    peaks = []
+    for n in (500_000, 2_000_000):
+        tracemalloc.start()
+        bands = sum(1 for _ in index.bands(item[-14:] * (n // 14)))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 2**20)
+        tracemalloc.stop()
+        assert bands > n // 100
+    assert peaks[1] < 150 and peaks[1] < 1.7 * peaks[0] + 10
+    found = decontamination.search(index, ["x " + item.decode() + " y"])[0]
+    assert (1, 2, 2 + len(item), 0) in found
+
+
+def test_short_items_are_found_exactly_between_word_bounds(spark):
+    items = [(1, "Ünit 7"), (2, " is it so?\n"), (3, "so"), (4, " \n"), (5, None), (6, ""), (7, "(b)")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "An Ünit\t7, and IS IT SO? also"), (2, "Ünit 77 sofa"), (3, "a(b)c"), (4, None), (5, "so")], "doc_id long, text string"
+    )
+    found = {r.doc_id: sorted((m.item_id, m.first, m.end) for m in r.matches) for r in decontamination.find(docs, bench).collect()}
+    assert found == {1: [(1, 3, 10), (2, 16, 25), (3, 22, 24)], 2: [], 3: [(7, 1, 4)], 4: [], 5: [(3, 0, 2)]}
+    assert all(not r.matches for r in decontamination.find(docs, bench, short=False).collect())
