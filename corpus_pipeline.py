@@ -62,8 +62,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item go; an item of a few words is no reason to drop one."""
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), short=False)
     return found.where(F.size("matches") == 0).select(*docs.columns)
 
 
