@@ -225,6 +225,19 @@ def test_working_columns_of_templates_clash_with_nothing(spark, odd):
     assert len(rows) == odd.count() and all(r[n] == f"{n}!" for r in rows for n in names)
 
 
+def test_working_columns_of_duplicates_clash_with_nothing(spark, odd):
+    names = ["text_key", "runs", "starts", "Runs2", "__text_key", "__n", "__component", "signature", "set_key", "root", "first", "band"]
+    clash = odd.selectExpr("*", *[f"'{n}!' AS `{n}`" for n in names])
+    for operator, made in (
+        (substring_dedup.drop_repeats, ["n_words", "n_removed", "spans", "kept_text"]),
+        (near_dedup.near_duplicates, ["n_shingles", "component_id", "kept"]),
+    ):
+        got = operator(clash)
+        assert got.columns == [c for c in clash.columns if c not in made] + made
+        rows = got.collect()
+        assert len(rows) == odd.count() and all(r[n] == f"{n}!" for r in rows for n in names)
+
+
 def dropped(spark, texts, **how):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.text for r in line_templates.drop_templates(rows, **how).collect()}

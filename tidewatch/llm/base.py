@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,24 @@ def extended(schema: T.StructType, **extra: str) -> T.StructType:
     return T.StructType(fields + [T.StructType.fromDDL(f"{k} {v}").fields[0] for k, v in extra.items()])
 
 
+def set_aside(*names: str):
+    """Decorate an operator that uses columns of these names in its work: the caller's columns of
+    the same names pass it under other names and come back as they were."""
+
+    def decorate(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(fn)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            own = {n.lower() for n in names}
+            away = {c: f"__aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in own}
+            if not away:
+                return fn(docs, *args, **kwargs)
+            return fn(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()})
+
+        return run
+
+    return decorate
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed at every depth, as Python workers return it."""
     if isinstance(kind, T.StructType):

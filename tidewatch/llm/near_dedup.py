@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, join_hashes, map_texts, materialise, mix, partitions, query, rolling, table
+from .base import Words, join_hashes, map_texts, materialise, mix, partitions, query, rolling, set_aside, table
 
 SHINGLE = 5
 SIMILAR = (75, 100)  # linked when 100 * intersection >= 75 * union
@@ -271,6 +271,7 @@ def link_nodes(
     return components(links.unionByName(found))
 
 
+@set_aside("__text_key", "__n", "__component")
 def near_duplicates(
     docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE,
     similar: tuple[int, int] = SIMILAR, length: int = LENGTH, batch: int = BATCH, miss: float = MISS, keep_text: bool = True,

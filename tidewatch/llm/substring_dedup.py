@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, blocks, bounded_batches, extended, join_hashes, partitions, query, rolling, table
+from .base import Words, blocks, bounded_batches, extended, join_hashes, partitions, query, rolling, set_aside, table
 
 WINDOW = 20
 BATCH = 8 << 20  # bytes of text within which equal probes and windows travel once
@@ -333,11 +333,12 @@ def repeated(packed: DataFrame) -> DataFrame:
     return by_batch(by_bucket(packed, later), close, RUNS)
 
 
+@set_aside("text_key", "runs")
 def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     if window < 2 or window % 2:
         raise ValueError("the window must be an even number of words")
     block = window // 2
-    docs = docs.drop("n_words", "n_removed", "spans", "kept_text", "text_key", "runs", "starts")
+    docs = docs.drop("n_words", "n_removed", "spans", "kept_text")
     keyed = docs.withColumn("text_key", F.xxhash64(F.col(text)))
     own = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", F.col(text).alias("text"))
     n_buckets = 4 * partitions(docs.sparkSession)
