@@ -141,3 +141,39 @@ def test_volume_mismatch(spark):
     pairs = D.run_pairs(spark, [("a", "b"), ("b", "a"), ("a", "e")])
     got = {(r.baseline_run_id, r.run_id) for r in D.volume_mismatch(both, pairs).collect()}
     assert got == {("a", "b"), ("b", "a")}
+
+
+def profiled(spark, rows):
+    """rows: (run, node, column, day or None)."""
+    data = [(r, n, c, START + dt.timedelta(days=d) if d is not None else None, 10, 0.0, 5, 1.0) for r, n, c, d in rows]
+    df = spark.createDataFrame(data, COLUMNS).withColumns({"min_value": F.lit("a"), "max_value": F.lit("b")})
+    return df.where("partition_value is null").drop("partition_value"), df.where("partition_value is not null")
+
+
+def test_what_is_gone_is_a_signal_if_asked_for(spark):
+    rows = [("a", "t", c, None) for c in "xyz"] + [("b", "t", c, None) for c in "xw"] + [("a", "u", c, None) for c in "xy"]
+    rows += [("b", "new", "x", None)]
+    rows += [("a", "t", "x", d) for d in range(10)] + [("b", "t", "x", d) for d in (0, 1, 4, 5, 6, 7, 8, 9, 10, 11)]
+    columns, days = profiled(spark, rows)
+    pairs = D.run_pairs(spark, [("a", "b")])
+    got = {(s.model_name, s.column_name, s.metric): s for s in D.missing_signals(columns, days, pairs).collect()}
+    assert {k: s.severity for k, s in got.items()} == {
+        ("t", "y", "vanished_column"): "high", ("t", "z", "vanished_column"): "high",
+        ("u", "(table)", "vanished_table"): "critical", ("t", "(table)", "vanished_days"): "critical",
+    }
+    s = got["t", "(table)", "vanished_days"]
+    assert (s.partitions, s.first_partition, s.baseline_value, s.current_value, s.change) == (2, "2024-01-03", 10.0, 8.0, 0.2)
+    assert got["u", "(table)", "vanished_table"].baseline_value == 10.0
+    plain = D.previous_run(columns, days, pairs).collect()
+    assert not [r for r in plain if r.metric.startswith("vanished")]
+    assert len(D.previous_run(columns, days, pairs, Settings(report_missing=True)).collect()) == len(plain) + 4
+
+
+def test_a_coarser_grain_or_a_run_without_profiles_has_lost_nothing(spark):
+    rows = [(r, "t", "x", None) for r in "ab"] + [("a", "t", "x", d) for d in range(5)]
+    columns, days = profiled(spark, rows)
+    _, months = profiled(spark, [("b", "t", "x", 0)])
+    both = days.withColumn("grain", F.lit("day")).unionByName(months.withColumn("grain", F.lit("month")))
+    assert D.missing_signals(columns, both, D.run_pairs(spark, [("a", "b")])).collect() == []
+    assert D.missing_signals(columns, both, D.run_pairs(spark, [("a", "never")])).collect() == []
+    assert D.missing_signals(columns.where("false"), both.where("false"), D.run_pairs(spark, [("a", "b")])).collect() == []

@@ -148,13 +148,81 @@ def per_day_signals(profiles: DataFrame, pairs: DataFrame, settings: Settings |
     )
 
 
+# ---------------------------------------------------------------- what is gone
+
+
+def presence(profiles: DataFrame, pairs: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """Which of the two runs of a pair holds each key: `before` and `after`, one row per key.
+
+    Both sides are grouped together, so nothing is joined key by key.  The values are those of
+    the baseline run.
+    """
+    def side(run: str, before: bool) -> DataFrame:
+        renamed = profiles.withColumnRenamed("run_id", run) if run != "run_id" else profiles
+        flags = F.lit(before).alias("before"), F.lit(not before).alias("after")
+        return renamed.join(pairs, run).select(*_RUN_KEYS, *keys, *values, *flags)
+
+    both = side("baseline_run_id", True).unionByName(side("run_id", False))
+    names = [c for c in both.columns if c not in {*_RUN_KEYS, *keys, "before", "after"}]
+    return both.groupBy(*_RUN_KEYS, *keys).agg(
+        F.max("before").alias("before"), F.max("after").alias("after"),
+        *[F.max(F.when(F.col("before"), F.col(c))).alias(c) for c in names],
+    )
+
+
+def missing_signals(columns: DataFrame, partitions: DataFrame, pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Tables, columns and days of the baseline run that the current run no longer has.
+
+    A table that is gone is one critical signal, not one per column; a column of a table that is
+    still there is a high one.  Days are a property of the table: one signal with their number, the
+    first of them, and the share of the baseline's days that is gone as change, graded like rows.
+    Only a grain that both runs hold of a table is compared, so a table that went from days to
+    months, or is profiled without days now, has lost none.  A run without any profile tells
+    nothing.  New tables, columns and days are growth and no signal.
+    """
+    settings = settings or Settings()
+    seen = columns.select("run_id").distinct()
+    pairs = pairs.join(seen, "run_id", "left_semi")
+    nodes = presence(columns, pairs, ["model_name"], F.col("row_count").alias("baseline_value"))
+    node_keys = [*_RUN_KEYS, "model_name"]
+    tables = nodes.where("before and not after").withColumns(
+        {"column_name": F.lit("(table)"), "metric": F.lit("vanished_table"), "severity": F.lit("critical")}
+    )
+    lost = presence(columns, pairs, _KEYS, F.col("row_count").alias("baseline_value")).where("before and not after")
+    fields = lost.join(nodes.where("before and after").select(*node_keys), node_keys, "left_semi").withColumns(
+        {"metric": F.lit("vanished_column"), "severity": F.lit("high")}
+    )
+    days = presence(with_grain(partitions), pairs, ["model_name", "grain", "partition_value"])
+    gone = F.col("before") & ~F.col("after")
+    by_table = days.groupBy(*node_keys, "grain").agg(
+        F.count_if("before").alias("n_before"), F.count_if(F.col("before") & F.col("after")).alias("n_left"),
+        F.count_if("after").alias("n_after"), F.count_if(gone).cast("int").alias("partitions"),
+        F.min(F.when(gone, F.col("partition_value"))).cast("string").alias("first_partition"),
+    ).where("n_after > 0 and partitions > 0")
+    share = F.col("partitions") / F.col("n_before")
+    limit = settings.limit(F.col("model_name"), F.lit("row_count"))
+    periods = by_table.select(
+        *node_keys, F.lit("(table)").alias("column_name"), F.concat(F.lit("vanished_"), "grain", F.lit("s")).alias("metric"),
+        F.col("n_before").cast("double").alias("baseline_value"), F.col("n_left").cast("double").alias("current_value"),
+        share.alias("change"), settings.grade(X.settled(share), limit).alias("severity"), "partitions", "first_partition",
+    )
+    whole = [_signals(df.withColumn("baseline_value", F.col("baseline_value").cast("double")), change=F.lit(1.0)) for df in (tables, fields)]
+    return whole[0].unionByName(whole[1]).unionByName(_signals(periods))
+
+
 def previous_run(columns: DataFrame, partitions: DataFrame, pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """All signals of the paired runs, for any number of pairs in one plan."""
-    return (
+    """All signals of the paired runs, for any number of pairs in one plan.
+
+    What is gone is told with `report_missing` only.
+    """
+    found = (
         whole_table_signals(columns, pairs, settings)
         .unionByName(bound_signals(columns, pairs, settings))
         .unionByName(per_day_signals(partitions, pairs, settings))
     )
+    if settings is None or not settings.report_missing:
+        return found
+    return found.unionByName(missing_signals(columns, partitions, pairs, settings))
 
 
 def grain_of(first_partition: Column) -> Column:

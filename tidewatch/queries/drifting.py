@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import drift as D
+from ..operators import profile as P
 from ..operators import report as R
 from ..operators import rolling as W
 from ..oracle import build as O
 from ..session import materialise
 from ..settings import DEFAULT_THRESHOLDS, Settings
-from .base import CTES, ROLLING, RUNS, SIGNAL_SQL, observed, once, query, r6, rounded, signal_view, sql, text
+from .base import CTES, ROLLING, RUNS, SIGNAL_SQL, observed, once, query, r6, rounded, signal_view, sql, table, text
 from .profiling import HISTORY, _history
 
 _KEYS = "run_id, model_name, column_name"
@@ -41,6 +42,45 @@ def drift_previous_run(spark, sf):
     return signal_view(D.previous_run(seen.columns, seen.partitions, seen.pairs))
 
 
+# A later run of two tables that lost a column and some days each, and of one that is gone.
+_LATER = {
+    "events": ("props", "day(ts) not between 11 and 13"),
+    "orders": ("o_orderpriority", "year(o_orderdate) <> 1999 or month(o_orderdate) > 6"),
+}
+_AXIS = {"events": "ts", "orders": "o_orderdate"}
+
+
+def _missing_sql() -> str:
+    parts = []
+    for node, (column, keep) in _LATER.items():
+        axis, kept = _AXIS[node], keep.replace("day(", "dayofmonth(")
+        days = f"select distinct cast({axis} as date) as d from {node} where {axis} is not null"
+        parts.append(
+            f"select '{node}' as model_name, '{column}' as column_name, 'vanished_column' as metric, 'high' as severity, 0 as partitions, "
+            f"null::varchar as first_partition, (select count(*) from {node})::double as baseline_value, null::double as current_value, 1e0 as change"
+        )
+        gone = f"select d from ({days}) where d not in (select cast({axis} as date) from {node} where {axis} is not null and ({kept}))"
+        parts.append(
+            f"select '{node}', '(table)', 'vanished_days', {O.grade('round(n / total, 9)', '0.02')}, n::int, first, total::double, "
+            f"(total - n)::double, round(n / total, 6) from (select (select count(*) from ({days})) as total, count(*) as n, "
+            f"cast(min(d) as varchar) as first from ({gone})) where n > 0"
+        )
+    parts.append(
+        "select 'region', '(table)', 'vanished_table', 'critical', 0, null, (select count(*) from region)::double, null, 1.0"
+    )
+    return " union all ".join(parts)
+
+
+@query("drift_missing", _missing_sql())
+def drift_missing(spark, sf):
+    tables = {n: table(spark, sf, n) for n in (*_LATER, "region")}
+    later = {n: tables[n].where(keep).drop(column) for n, (column, keep) in _LATER.items()}
+    runs = [P.profile_nodes(nodes, runs=[run]) for run, nodes in (("before", tables), ("after", later))]
+    seen = materialise(runs[0].unionByName(runs[1]), "runs")
+    found = D.missing_signals(P.column_profiles(seen), P.partition_profiles(seen), D.run_pairs(spark, [("before", "after")]))
+    return signal_view(found).drop("run_id", "baseline_text", "current_text")
+
+
 @query(
     "relative_change",
     sql("select run_id, model_name, column_name, metric, cast(partition_value as varchar) as partition_value, "
