@@ -236,6 +236,38 @@ def test_distances_are_jensen_shannon(spark):
     assert spark.range(1).select(quality_rules.distance(F.array(*[F.lit(0)] * 8), q.tolist())).first()[0] is None
 
 
+def test_a_distance_takes_no_terms_for_bins_that_a_text_lacks(spark):
+    """Its plan is as long for many common words as for few: terms are met bin by bin, where a text holds any."""
+    def logs(n):
+        counts = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i == 1, F.col("id").cast("int")).otherwise(0))
+        far = spark.range(1, 2).select(quality_rules.distance(counts, [1 / n] * n).alias("far"))
+        p, q = 1.0, 1 / n
+        want = p * math.log2(2 * p / (p + q)) + q * math.log2(2 * q / (p + q)) + (n - 1) * q
+        assert far.first().far == pytest.approx(math.sqrt(want / 2))
+        return far._jdf.queryExecution().optimizedPlan().toString().lower().count("log2(")
+
+    assert logs(400) == logs(10) > 0
+
+
+@pytest.mark.parametrize("places", [20, 3, 60])
+def test_repeated_words_by_shortened_hashes(spark, monkeypatch, places):
+    """With few places a text has more windows than fit; with many all hashes are alike when shortened."""
+    monkeypatch.setattr(quality_rules, "PLACES", places)
+    rnd = random.Random(6)
+    own = [" ".join(rnd.choice("abcdefgh"[: rnd.randint(1, 8)]) for _ in range(n)) for n in [*range(12), *range(30, 400, 17)]]
+    rows = spark.createDataFrame([(t,) for t in own], "text string")
+    got = rows.select("text", quality_rules._repeat_words(quality_rules.words_of(F.col("text"))).alias("n")).collect()
+    assert [r.n for r in got] == [brute_rules(r.text)[4] for r in got] and len(got) == len(own)
+
+
+def test_common_words_are_of_documents_of_fifty_words(spark):
+    blanks = [" ", "\n", "\t\x0b", " \r\x0c"]
+    text = lambda n, word: "\n " + "".join(f"{word}{i % 3}!" + blanks[i % 4] for i in range(n))
+    docs = [(text(50, "Fifty"), "en"), (text(50, "Fifty").strip(), "en"), (text(49, "less"), "en"), (text(49, "less"), "fr"), ("", "en"), (None, "de")]
+    got = quality_rules.common_words(spark.createDataFrame(docs, "text string, lang string"))
+    assert got == {"en": ["fifty0", "fifty1", "fifty2"]}
+
+
 def test_quality_rules_of_odd_rows(odd, empty):
     rows = quality_rules.judge(odd).collect()
     assert len(rows) == odd.count()

@@ -39,6 +39,8 @@ TOP, HELD, LANGUAGE_SHARE, KNOWN = 16, 0.1, 0.02, 0.1
 CLASSES = ["a-z", "A-Z", "0-9", ".,;:?'\"()\\-", "!", "#*$%&|<>"]
 SYMBOLS = CLASSES.index("#*$%&|<>")
 
+PLACES = 20  # bits of a window's place beside its shortened hash
+
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rule: words, and per cent of words in repeated windows
 # From a length on, the most distance: a + b / sqrt(length), by characters and by words.
 CHAR_LIMIT = (200, 0.06, 3.2)
@@ -62,7 +64,10 @@ def _repeat_words(words: Column) -> Column:
         F.lit(1), F.greatest(n - 2, F.lit(0)),
     )
 
-    def covered(found: Column) -> Column:
+    def inside(places: Column) -> Column:
+        return F.size(F.array_distinct(F.concat(places, F.transform(places, lambda i: i + 1), F.transform(places, lambda i: i + 2))))
+
+    def by_rows(found: Column) -> Column:
         placed = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def of(ranked: Column) -> Column:
@@ -70,11 +75,36 @@ def _repeat_words(words: Column) -> Column:
                 ranked,
                 lambda s, k: (s.h == F.get(ranked, k + 1).h).eqNullSafe(True) | (s.h == F.get(ranked, k - 1).h).eqNullSafe(True),
             )
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda s: F.array(s.i, s.i + 1, s.i + 2)))))
+            return let(F.transform(twice, lambda s: s.i), inside)
+
+        return let(placed, of)
+
+    def by_numbers(found: Column) -> Column:
+        """The same by sorting plain numbers: a hash without its lowest bits, and the place in these."""
+        placed = F.sort_array(F.transform(found, lambda h, i: h.bitwiseAND(-1 << PLACES).bitwiseOR(i)))
+
+        def of(ranked: Column) -> Column:
+            def same(x: Column, at: Column) -> Column:  # all but the place
+                return (F.shiftright(x, PLACES) == F.shiftright(F.get(ranked, at), PLACES)).eqNullSafe(True)
+
+            twice = F.filter(ranked, lambda x, k: same(x, k + 1) | same(x, k - 1))
+            return let(F.transform(twice, lambda x: x.bitwiseAND((1 << PLACES) - 1).cast("int")), inside)
 
         return let(placed, of)
 
-    return let(windows, lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(covered(found)))
+    def covered(found: Column, distinct: Column) -> Column:
+        """Numbers do where there is room for the places, and no two hashes are the same when shortened."""
+        short = F.size(F.array_distinct(F.transform(found, lambda h: F.shiftright(h, PLACES))))
+        fits = F.when(F.size(found) <= 1 << PLACES, short == distinct).otherwise(False)
+        return F.when(fits, by_numbers(found)).otherwise(by_rows(found))
+
+    return let(
+        windows,
+        lambda found: let(
+            F.size(F.array_distinct(found)),
+            lambda distinct: F.when(distinct == F.size(found), 0).otherwise(covered(found, distinct)),
+        ),
+    )
 
 
 def _plain(word: Column) -> Column:
@@ -87,11 +117,14 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
     A document has so many words, so that few can be held by a tenth of all; the rest is left out
     before any are ranked.
     """
-    known = docs.select(_language(lang).alias("lang"), words_of(text_of(text)).alias("words")).where(F.size("words") >= MIN_WORDS)
+    # The words are not split only to be counted: the first ones tell.
+    enough = f"^[{SPACES}]*+(?:[^{SPACES}]++[{SPACES}]++){{{MIN_WORDS - 1}}}[^{SPACES}]"
+    known = docs.where(text_of(text).rlike(enough)).select(_language(lang).alias("lang"), text_of(text).alias("text"))
     sizes = {r.lang: r["count"] for r in _shares(known).collect()}  # at most 1 / LANGUAGE_SHARE rows
     if not sizes:
         return {}
-    each = known.where(F.col("lang").isin(*sizes)).select("lang", F.explode(F.array_distinct(F.transform("words", _plain))).alias("word"))
+    held = F.array_distinct(F.transform(F.array_distinct(words_of(F.col("text"))), _plain))
+    each = known.where(F.col("lang").isin(*sizes)).select("lang", F.explode(held).alias("word"))
     least = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, HELD * n)])[F.col("lang")]
     counts = each.groupBy("lang", "word").count().where((F.col("count") >= least) & (F.col("word") != ""))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
@@ -104,26 +137,34 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
 def _shares(known: DataFrame) -> DataFrame:
     """The languages that enough documents name."""
     counts = known.groupBy("lang").count()
-    total = known.agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("count").alias("n"))
     return counts.where(F.col("count") >= LANGUAGE_SHARE * total.scalar())
 
 
 def _word_counts(words: Column, bins: list[str]) -> Column:
-    """Counts of the common words, and of all others, in the order of bins."""
+    """Counts of the common words, in the order of bins, which ascend, and of all others."""
     if not bins:
         return F.array(F.size(words))
     common = F.filter(F.transform(words, _plain), lambda w: w.isin(*bins))
-    return let(
-        common,
-        lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, b)) for b in bins], F.size(words) - F.size(c)),
-    )
+
+    def counted(found: Column) -> Column:
+        """Lengths of the runs of sorted words, of which each bin is one more."""
+        def runs(ranked: Column) -> Column:
+            last = F.transform(ranked, lambda w, i: F.when(~w.eqNullSafe(F.get(ranked, i + 1)), i))
+            return let(F.array_compact(last), lambda at: F.transform(at, lambda i, k: i - F.coalesce(F.get(at, k - 1), F.lit(-1)) - 1))
+
+        return let(F.sort_array(F.concat(found, F.array(*map(F.lit, bins)))), runs)
+
+    return let(common, lambda c: F.concat(counted(c), F.array(F.size(words) - F.size(c))))
 
 
 def _char_counts(text: Column, word_chars: Column) -> Column:
-    """Counts of CLASSES, white space and the rest."""
-    counts = F.array(*[F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES])
+    """Counts of CLASSES, white space and the rest; most of a text are of the first class or white space."""
+    def counts(left: Column) -> Column:
+        return F.array(word_chars - F.length(left), *[F.length(F.regexp_replace(left, f"[^{c}]+", "")) for c in CLASSES[1:]])
+
     return let(
-        counts,
+        let(F.regexp_replace(text, f"[{CLASSES[0]}{SPACES}]+", ""), counts),
         lambda c: F.concat(
             c, F.array(F.length(text) - word_chars, word_chars - F.aggregate(c, F.lit(0), lambda a, x: a + x))
         ),
@@ -193,25 +234,42 @@ def references(measured: DataFrame, languages: dict[str, list[str]], n_bins: int
     return out
 
 
+def shares(counts: Column) -> Column:
+    """The bins of a histogram that hold anything, with their shares; null if none does."""
+    held = F.filter(F.transform(counts, lambda c, i: F.struct(i.alias("i"), c.alias("n"))), lambda s: s.n > 0)
+    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return let(
+        total.cast("double"),
+        lambda t: F.when(t > 0, F.transform(held, lambda s: F.struct(s.i.alias("i"), (s.n / t).alias("p")))),
+    )
+
+
+def apart(held: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance (base 2) of shares to a distribution.
+
+    A bin that the shares lack adds what the distribution has in it, so that only bins they hold are visited.
+    """
+    bins = F.array(*map(F.lit, reference))
+
+    def term(p: Column, q: Column) -> Column:
+        both = p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)) - q
+        return F.when(q > 0, both).otherwise(p)
+
+    total = F.aggregate(held, F.lit(float(sum(reference))), lambda a, s: a + term(s.p, F.get(bins, s.i)))
+    return F.when(held.isNotNull(), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
+
+
 def distance(counts: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram of counts to a distribution."""
-    def of(total: Column) -> Column:
-        terms = []
-        for i, q in enumerate(reference):
-            p = F.get(counts, F.lit(i)) / total
-            mine = F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
-            terms.append(mine + (F.lit(q) * F.log2(2 * q / (p + q)) if q > 0 else 0.0))
-        return F.sqrt(F.greatest(reduce(lambda a, b: a + b, terms) / 2, F.lit(0.0)))
-
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return let(total, lambda t: F.when(t > 0, of(t.cast("double"))))
+    return let(shares(counts), lambda held: apart(held, reference))
 
 
 def verdicts(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
     """measured with both distances and the verdict, against the references."""
     def nearest(field: str, which: int) -> Column:
-        found = [distance(F.col(f"__measured.{field}"), r[which]) for r in known]
-        return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
+        if not known:
+            return F.lit(None).cast("double")
+        return let(shares(F.col(f"__measured.{field}")), lambda held: F.array_min(F.array(*[apart(held, r[which]) for r in known])))
 
     def off(length: Column, found: str, limit: tuple[int, float, float]) -> Column:
         least, a, b = limit
