@@ -2,19 +2,23 @@
 
 A fault never changes stored data: it is a projection or a filter over it.  One
 fault can be applied on its own, or many at once, in which case only the rows a
-fault really changes are added to the table, next to the shared clean rows.
+fault really changes are added to the table, next to the shared clean rows.  Those
+rows can be kept apart in layers, so that what an edit leaves as it was is not
+looked at again (see functions.layers).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.layers import HIT, Layer, Layers, as_layers
 from ..functions.runs import RUNS, bit
+from ..session import materialise
 
 DROP = "drop"
 
@@ -116,3 +120,54 @@ def apply_faults(df: DataFrame, faults: Sequence[tuple[int, Edit, str]]) -> Data
     # Built in a projection, which is compiled; empty variants are dropped after the fan-out.
     fanned = masked.select(*rest, F.array(*variants).alias("_variants")).select(*rest, F.inline("_variants"))
     return fanned.where(F.col(RUNS) != 0).select(*df.columns)
+
+
+def add_faults(table: DataFrame | Layers, faults: Sequence[tuple[int, Edit, str]], store: bool = False) -> Layers:
+    """The rows of `apply_faults` as layers: one per edited column, beside the rows as they were.
+
+    Layers that are there already keep their rows, so a run takes its edit at one of the nodes.
+    With store, the base is written with its masks and conditions: what is made of many runs then
+    starts from columns, where dozens of conditions would be planned and generated for each use.
+    """
+    table = as_layers(table)
+    if not faults:
+        return table
+    bits = [bit(index) for index, _, _ in faults]
+    if len(set(bits)) < len(faults) or any(x.bits & sum(bits) for x in table.layers):
+        raise ValueError("a run takes one edit; chain apply_fault for several")
+    base, types = table.base, dict(table.base.dtypes)
+    # Many runs share a condition: each is evaluated once per row.
+    wheres = list(dict.fromkeys(where for _, _, where in faults))
+    marked = [f"_where{i}" for i in range(len(wheres))]
+    held = base.withColumns({m: F.expr(w) for m, w in zip(marked, wheres)})
+
+    def mask(members: Sequence[tuple[int, Edit, str]], runs: str = RUNS) -> str:
+        by_where: dict[int, int] = {}
+        for index, _, where in members:
+            i = wheres.index(where)
+            by_where[i] = by_where.get(i, 0) | bit(index)
+        parts = [f"(case when _where{i} then {b}L else 0L end)" for i, b in by_where.items()]
+        return f"(({' | '.join(parts)}) & {runs})"
+
+    columns = list(dict.fromkeys(e.column for _, e, _ in faults if e.op != DROP))
+    of = {c: [f for f in faults if f[1].op != DROP and f[1].column == c] for c in columns}
+    start = len(table.layers)
+    hits = {c: f"{HIT}{start + i}" for i, c in enumerate(columns)}
+    held = held.select(
+        *table.columns, F.expr(f"{RUNS} & ~{mask(faults)}").alias(RUNS), F.col(RUNS).alias("_all"),
+        *[x.hit for x in table.layers], *[F.expr(mask(of[c])).alias(h) for c, h in hits.items()], *marked,
+    )
+    if store:
+        held = materialise(held, "marked")
+    layers = []
+    for c in columns:
+        edits = list(dict.fromkeys(e for _, e, _ in of[c]))
+        variants = [
+            F.struct(F.expr(mask([f for f in of[c] if f[1] == e], "_all")).alias(RUNS), e.value(types[c]).alias(c)) for e in edits
+        ]
+        rest = [x for x in table.columns if x != c]
+        # Not a filter below: its condition would be carried upwards through every alias as a constraint.
+        rows = held.select(*rest, F.when(F.col(hits[c]) != 0, F.array(*variants)).alias("_variants"))
+        rows = rows.select(*rest, F.inline("_variants")).where(F.col(RUNS) != 0).select(*table.columns, RUNS)
+        layers.append(Layer(hits[c], rows, frozenset([c]), sum(bit(index) for index, _, _ in of[c])))
+    return replace(table, base=held.drop("_all", *marked), layers=(*table.layers, *layers))

@@ -8,6 +8,9 @@ aggregate would carry every column in every expanded row.  Both passes combine
 map-side, so a value or a day that holds most of the rows reaches its reducer as
 one row per task.
 
+Tables of many runs come in layers (functions.layers): both passes look at a row once, and at the
+copies that edits made of it only for the columns in which these differ.
+
 Where the settings name coarser grains, months and years are merged from the same daily
 partials and distinct values; the table is not read again for them.  With `sketches`, pass
 one also keeps a mergeable sketch of the distinct values per column and period, from which
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
-from ..functions.runs import RUNS, mask_of, run_names
+from ..functions.layers import Layer, Layers, as_layers
+from ..functions.runs import RUNS, run_names
 from ..settings import Settings
 
 WHOLE, DAY = "table", "day"
@@ -72,9 +76,19 @@ def _sketched(f: T.StructField) -> str:
     return "coalesce(" + ", ".join(f"cast({p} as string)" for p in _key_parts(f).values()) + ")"
 
 
-def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None, sketches: bool = False) -> DataFrame:
+def _counted_apart(table: Layers, fields: Sequence[T.StructField], axis: str | None) -> dict[str | None, tuple[Layer, ...]]:
+    """The layers that hold copies of a column of their own; under None, those that hold rows of their own.
+
+    Copies that may lie on another day than their row are rows of their own in every column.
+    """
+    moved = table.differing(axis) if axis else ()
+    apart = {f.name: tuple(x for x in table.layers if x in moved or f.name in x.differs) for f in fields}
+    return {None: moved, **apart}
+
+
+def _partials(df: DataFrame, fields: dict[int, T.StructField], axis: str | None, keys: Sequence[str], sketches: bool) -> DataFrame:
     aggs = ["count(1) as n"]
-    for i, f in enumerate(fields):
+    for i, f in fields.items():
         c = X.name(f.name)
         aggs.append(f"count({c}) as n{i}")
         if isinstance(f.dataType, T.NumericType):
@@ -87,11 +101,34 @@ def _mergeable(df: DataFrame, fields: Sequence[T.StructField], axis: str | None,
     # table by day to aggregate it.  One object-buffer aggregate in the list makes
     # the whole aggregation hash-based instead; it doubles as the day of the group.
     aggs.append("collect_set(_day) as _days")
-    return (
-        df.withColumns({"_day": _day(axis), RUNS: mask_of(df)})
-        .groupBy("_day", RUNS)
-        .agg(*[F.expr(a) for a in aggs])
-    )
+    return df.withColumn("_day", _day(axis)).groupBy("_day", *keys).agg(*[F.expr(a) for a in aggs])
+
+
+def _mergeable(table: Layers, fields: Sequence[T.StructField], axis: str | None, sketches: bool = False) -> DataFrame:
+    """Partial numbers per day and mask, one column each; a partial that tells nothing of a column is null there."""
+    numbered = dict(enumerate(fields))
+    part = _partials(table.base, numbered, axis, [RUNS, *[x.hit for x in table.layers]], sketches)
+    if not table.layers:
+        return part
+    apart = _counted_apart(table, fields, axis)
+    types = {f.name: f.dataType.simpleString() for f in part.schema.fields}
+    owner = {c: None if c == "n" else fields[int(c.lstrip("nslohik"))].name for c in types if c[0] != "_"}
+
+    def told(columns: set[str]) -> list[str]:
+        return [f"{c if c in columns else f'cast(null as {types[c]})'} as {c}" for c in owner]
+
+    # Columns that are told by the same masks share a row.
+    by_layers: dict[tuple[Layer, ...], set[str]] = {}
+    for c, of in owner.items():
+        by_layers.setdefault(apart[of], set()).add(c)
+    rows = [f"struct({table.mask(x)} as {RUNS}, {', '.join(told(columns))})" for x, columns in by_layers.items()]
+    out = part.selectExpr("_days", f"inline(array({', '.join(rows)}))")
+    for x in table.layers:
+        held = {i: f for i, f in numbered.items() if x in apart[f.name]}
+        copies = _partials(x.rows, held, axis, [RUNS], sketches)
+        columns = {c for c, of in owner.items() if x in apart[of]}
+        out = out.unionByName(copies.selectExpr("_days", RUNS, *told(columns)))
+    return out
 
 
 def grains_of(settings: Settings, axis: str | None) -> list[str]:
@@ -184,21 +221,31 @@ def _key_parts(f: T.StructField) -> dict[str, str]:
     return {"k_text": f"case when length({text}) <= 40 then {text} else sha2({text}, 256) end"}
 
 
-def distinct_values(df: DataFrame, fields: Sequence[T.StructField], axis: str | None) -> DataFrame:
+def distinct_values(table: Layers, fields: Sequence[T.StructField], axis: str | None) -> DataFrame:
     """(idx, day, value key) once each, with the mask of the runs that hold it."""
     parts = [_key_parts(f) for f in fields]
     used = [k for k in _KEY_TYPES if any(k in p for p in parts)]
-
-    def entry(i: int, p: dict[str, str]) -> str:
-        keys = ", ".join(f"{p.get(k, f'cast(null as {_KEY_TYPES[k]})')} as {k}" for k in used)
-        return f"struct({i} as idx, {keys})"
-
-    entries = ", ".join(entry(i, p) for i, p in enumerate(parts))
-    # The cells are built in a projection, which is compiled; a generator would interpret them.
-    row = df.select(_day(axis).alias("_day"), mask_of(df).alias(RUNS), F.expr(f"array({entries})").alias("_cells"))
-    cells = row.select("_day", RUNS, F.inline("_cells"))
+    apart = _counted_apart(table, fields, axis)
+
+    def cells(df: DataFrame, masks: dict[int, str]) -> DataFrame:
+        def entry(i: int) -> str:
+            keys = ", ".join(f"{parts[i].get(k, f'cast(null as {_KEY_TYPES[k]})')} as {k}" for k in used)
+            return f"struct({i} as idx, {keys}, {masks[i]} as {RUNS})"
+
+        # The cells are built in a projection, which is compiled; a generator would interpret them.
+        row = df.select(_day(axis).alias("_day"), F.expr(f"array({', '.join(map(entry, masks))})").alias("_cells"))
+        return row.select("_day", F.inline("_cells"))
+
+    # Columns told by the same masks share one, taken once per row.
+    kinds = list(dict.fromkeys(apart[f.name] for f in fields))
+    base = table.base.selectExpr("*", *[f"{table.mask(k)} as _mask{i}" for i, k in enumerate(kinds)])
+    out = cells(base, {i: f"_mask{kinds.index(apart[f.name])}" for i, f in enumerate(fields)})
+    for x in table.layers:
+        held = {i: RUNS for i, f in enumerate(fields) if x in apart[f.name]}
+        if held:
+            out = out.unionByName(cells(x.rows, held))
     present = " or ".join(f"{k} is not null" for k in used)
-    return cells.where(present).groupBy("idx", "_day", *used).agg(F.bit_or(RUNS).alias(RUNS))
+    return out.where(f"({present}) and {RUNS} != 0").groupBy("idx", "_day", *used).agg(F.bit_or(RUNS).alias(RUNS))
 
 
 def _distinct_counts(values: DataFrame, runs: Sequence[str], grains: Sequence[str]) -> DataFrame:
@@ -210,9 +257,12 @@ def _distinct_counts(values: DataFrame, runs: Sequence[str], grains: Sequence[st
     keys = [k for k in values.columns if k in _KEY_TYPES]
     names = run_names(RUNS, runs)
 
-    def count(of: DataFrame, grain: str, period: str) -> DataFrame:
+    def count(of: DataFrame, grain: str, period: str, *held: Column) -> DataFrame:
         # Few masks exist, so counting per mask first keeps the fan-out tiny.
-        per_mask = of.groupBy("idx", F.expr(period).alias("period"), RUNS).agg(F.count(F.lit(1)).alias("d"))
+        per_mask = of.groupBy("idx", F.expr(period).alias("period"), RUNS).agg(F.count(F.lit(1)).alias("d"), *held)
+        # A condition on the day itself would be moved below the distinct values, which are then found
+        # a second time for the days alone; one on an aggregate is not.
+        per_mask = per_mask.where("_held is not null") if held else per_mask
         each = per_mask.select("idx", "period", "d", F.explode(names).alias("run_id"))
         summed = each.groupBy("run_id", "idx", "period").agg(F.sum("d").alias("distinct_count"))
         return summed.withColumn("grain", F.lit(grain))
@@ -222,10 +272,11 @@ def _distinct_counts(values: DataFrame, runs: Sequence[str], grains: Sequence[st
     coarser = [g for g in grains if g != DAY]
     dealt = values.repartition("idx", *keys) if coarser else values
     out = count(dealt.groupBy("idx", *keys).agg(F.bit_or(RUNS).alias(RUNS)), WHOLE, "cast(null as date)")
-    out = out.unionByName(count(values.where("_day is not null"), DAY, "_day"))
+    out = out.unionByName(count(values, DAY, "_day", F.max("_day").alias("_held")))
     for g in coarser:
-        within = dealt.where("_day is not null").groupBy("idx", F.expr(PERIODS[g]).alias("_period"), *keys)
-        out = out.unionByName(count(within.agg(F.bit_or(RUNS).alias(RUNS)), g, "_period"))
+        within = dealt.groupBy("idx", F.expr(PERIODS[g]).alias("_period"), *keys)
+        merged = within.agg(F.bit_or(RUNS).alias(RUNS))
+        out = out.unionByName(count(merged, g, "_period", F.max("_period").alias("_held")))
     return out
 
 
@@ -233,20 +284,22 @@ def _distinct_counts(values: DataFrame, runs: Sequence[str], grains: Sequence[st
 
 
 def profile(
-    df: DataFrame,
+    df: DataFrame | Layers,
     node: str,
     settings: Settings | None = None,
     runs: Sequence[str] = ("run",),
 ) -> DataFrame:
     """Profile one node for one or many runs: PROFILE_COLUMNS, both grains."""
     settings = settings or Settings()
-    axis = partition_axis(df, node, settings)
-    fields = [f for f in df.schema.fields if f.name != RUNS]
+    table = as_layers(df)
+    held = table.base.drop(RUNS, *[x.hit for x in table.layers])
+    axis = partition_axis(held, node, settings)
+    fields = held.schema.fields
 
     grains = grains_of(settings, axis)
-    parts = _mergeable(df, fields, axis, settings.sketches)
+    parts = _mergeable(table, fields, axis, settings.sketches)
     stats = _long(_per_run(parts, fields, runs, grains, settings.sketches), fields, settings.sketches)
-    counts = _distinct_counts(distinct_values(df, fields, axis), runs, grains)
+    counts = _distinct_counts(distinct_values(table, fields, axis), runs, grains)
 
     c = counts.selectExpr("run_id as c_run", "idx as c_idx", "grain as c_grain", "period as c_period", "distinct_count as d")
     joined = stats.join(c, F.expr("run_id = c_run and idx = c_idx and grain = c_grain and period <=> c_period"), "left")
@@ -270,7 +323,7 @@ def profile(
 
 
 def profile_nodes(
-    nodes: dict[str, DataFrame],
+    nodes: dict[str, DataFrame | Layers],
     settings: Settings | None = None,
     runs: Sequence[str] = ("run",),
 ) -> DataFrame:

@@ -59,7 +59,10 @@ def profiles(events: DataFrame, scenarios: Sequence[Scenario], settings: Setting
     batches = [scenarios[i : i + step] for i in range(0, len(scenarios), step)] or [[]]
     out = None
     for batch in batches:
-        part = profile.profile_nodes(E.build(events, batch), settings, E.run_ids(batch))
+        nodes = E.layers(events, batch, store=True)
+        # A mart is small, but what it is made of is not: written once, it is not made again for each pass.
+        nodes |= {mart: materialise(nodes[mart], mart) for mart in E.MARTS}
+        part = profile.profile_nodes(nodes, settings, E.run_ids(batch))
         out = part if out is None else out.unionByName(part.where(F.col("run_id") != BASELINE))
     return out
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import any_of, exact_sums, exact_totals
-from ..functions.runs import RUNS, aggregate_per_run, bit, has_runs
-from ..operators.overlay import apply_faults
+from ..functions.layers import Layers, marks
+from ..functions.runs import RUNS, aggregate_per_run, bit
+from ..operators.overlay import add_faults
 from .scenarios import BASELINE, Scenario
 
 PARENTS = {
@@ -19,6 +20,7 @@ PARENTS = {
     "agg_daily_events": ["fct_events"],
     "agg_daily_quality": ["fct_events"],
 }
+MARTS = ("agg_daily_events", "agg_daily_quality")
 
 # Documented codes and the period the data covers.
 EVENT_TYPES = ("signup", "error", "click", "view", "purchase")
@@ -28,7 +30,7 @@ FLAGS = ("negative_value", "no_user", "error", "low_purchase", "unknown_type", "
 
 
 def _carry(df: DataFrame) -> list[Column]:
-    return [F.col(RUNS)] if has_runs(df) else []
+    return [F.col(c) for c in marks(df)]
 
 
 def _when(text: str) -> Column:
@@ -98,30 +100,38 @@ def run_ids(scenarios: Sequence[Scenario]) -> list[str]:
 _SCOPE_COLUMNS = {"events": ("ts", "event_id"), "fct_events": ("event_at", "event_id")}
 
 
-def build(events: DataFrame, scenarios: Sequence[Scenario] = ()) -> dict[str, DataFrame]:
-    """All nodes; with scenarios, each node holds the rows of every run (see functions.runs)."""
+# What the marts read of the fact: copies of an event that are equal in these are one row.
+_DAILY_EVENTS = ("is_clean", "event_date", "event_type", "value_usd")
+_DAILY_QUALITY = ("is_clean", "event_date", *[f"flag_{n}" for n in FLAGS])
+
 
-    def broken(df: DataFrame, node: str) -> DataFrame:
+def layers(events: DataFrame, scenarios: Sequence[Scenario] = (), store: bool = False) -> dict[str, DataFrame | Layers]:
+    """All nodes; the source, staging and fact in layers (see functions.layers), the marts flat."""
+
+    def broken(table: DataFrame | Layers, node: str, store: bool = False) -> Layers:
         time_column, key_column = _SCOPE_COLUMNS[node]
         faults = [
             (i + 1, s.edit, s.scope.sql(time_column, key_column))
             for i, s in enumerate(scenarios)
             if s.node == node and s.edit is not None
         ]
-        return apply_faults(df, faults)
+        return add_faults(table, faults, store)
 
-    raw = events
-    if scenarios:
-        everyone = bit(len(scenarios) + 1) - 1
-        raw = broken(events.withColumn(RUNS, F.lit(everyone).cast("bigint")), "events")
-    stg = staging(raw)
-    fct = fact(stg)
+    everyone = bit(len(scenarios) + 1) - 1
+    raw = broken(events.withColumn(RUNS, F.lit(everyone).cast("bigint")), "events", store) if scenarios else Layers(events)
+    stg = raw.map(staging)
+    fct = stg.map(fact)
     if scenarios:
         fct = broken(fct, "fct_events")
     return {
         "events": raw,
         "stg_events": stg,
         "fct_events": fct,
-        "agg_daily_events": daily_events(fct),
-        "agg_daily_quality": daily_quality(fct),
+        "agg_daily_events": daily_events(fct.flat(_DAILY_EVENTS)),
+        "agg_daily_quality": daily_quality(fct.flat(_DAILY_QUALITY)),
     }
+
+
+def build(events: DataFrame, scenarios: Sequence[Scenario] = ()) -> dict[str, DataFrame]:
+    """All nodes; with scenarios, each node holds the rows of every run (see functions.runs)."""
+    return {name: node.flat() if isinstance(node, Layers) else node for name, node in layers(events, scenarios).items()}

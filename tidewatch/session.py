@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,15 @@ PLAN_CONF = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
 
+# What holds while a derived table is written, whatever the session: these do not change results.
+WRITE_CONF = {
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": PLAN_CONF["spark.sql.objectHashAggregate.sortBased.fallbackThreshold"],
+    # The JVM never compiles a method of over 8,000 bytes; the default lets one of 65,535 be interpreted per row.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Masks of sixty runs are long expressions: carried along as constraints they take the planner a minute per node.
+    "spark.sql.constraintPropagation.enabled": "false",
+}
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -41,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+@contextmanager
+def write_conf(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in WRITE_CONF}
+    try:
+        for key, value in WRITE_CONF.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a derived table once and read it back.
 
@@ -49,5 +72,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     joins from real sizes.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    with write_conf(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
